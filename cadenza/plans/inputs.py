@@ -45,3 +45,28 @@ PART_CATALOGUE_SQL = "SELECT p_partkey AS id, p_name AS name, p_brand AS artist
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+
+def playlist_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlist inserts ``(id, username, song, added_at)``: every click or
+    view event saves the part named by its ``props.k``."""
+    ev = read_table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view"))
+    pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    ev = ev.select("event_id", "user_id", "ts", event_k().alias("k"))
+    return ev.join(pa, ev.k == pa.p_partkey).select(
+        F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
+        F.col("p_name").alias("song"), F.col("ts").alias("added_at"))
+
+
+def playlist_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests ``(id)``: each purchase event removes playlist row
+    ``props.k`` (unknown ids remove nothing)."""
+    ev = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    return ev.select(event_k().alias("id"))
+
+
+PLAYLIST_ADDS_SQL = f"""
+SELECT event_id AS id, 'u' || CAST(user_id AS VARCHAR) AS username, p_name AS song, ts AS added_at
+FROM events JOIN part ON p_partkey = {DUCK_EVENT_K} WHERE event_type IN ('click', 'view')
+"""
+PLAYLIST_DELETES_SQL = f"SELECT {DUCK_EVENT_K} AS id FROM events WHERE event_type = 'purchase'"
