@@ -42,3 +42,8 @@ def load_all() -> None:
         except ModuleNotFoundError as e:  # family not built yet
             if mod not in str(e):
                 raise
+
+
+def sql_str(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
