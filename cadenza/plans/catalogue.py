@@ -61,6 +61,7 @@ def songs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     happy = (F.col("p_retailprice") - F.lit(900.0)) / F.lit(100.0)
     return j.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("bigint").alias("key"),
         F.col("p_name").alias("name"),
         F.col("c_name").alias("artist"),
         F.year("l_shipdate").alias("year"),
@@ -83,9 +84,10 @@ def songs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat catalogue (duplicates of ``id`` included)."""
-    return songs_raw(spark, sf_dir).select(*CATALOGUE_COLUMNS)
+def songs(spark: SparkSession, sf_dir: str, with_key: bool = False) -> DataFrame:
+    """The flat catalogue (duplicates of ``id`` included); ``key`` is the
+    numeric form of ``id`` (order key x 1000 + line number)."""
+    return songs_raw(spark, sf_dir).select(*CATALOGUE_COLUMNS, *(["key"] if with_key else []))
 
 
 def recommend_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

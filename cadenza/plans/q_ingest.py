@@ -16,9 +16,16 @@ from .registry import query, r6
 
 # Fixed rules that make some derived records dirty (so rejects have data):
 # a free-text date, an empty title, a null gender.
-BAD_DATE = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("o_orderpriority") == "2-HIGH")
-EMPTY_TITLE = (F.col("l_returnflag") == "A") & (F.col("o_orderpriority") == "5-LOW")
-NULL_GENDER = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")
+def _bad_date():
+    return (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("o_orderpriority") == "2-HIGH")
+
+
+def _empty_title():
+    return (F.col("l_returnflag") == "A") & (F.col("o_orderpriority") == "5-LOW")
+
+
+def _null_gender():
+    return (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")
 
 DIRTY_SQL = f"""
 SELECT id,
@@ -53,9 +60,9 @@ def write_json_tree(spark, sf) -> str:
     raw = songs_raw(spark, sf)
     dirty = raw.select(
         "id", "artist", *SCORE_COLUMNS, "genre", "mirex", "l_returnflag", "l_linestatus",
-        F.when(EMPTY_TITLE, F.array().cast("array<string>")).otherwise(F.array("name")).alias("title"),
-        F.when(BAD_DATE, F.col("o_orderpriority")).otherwise(F.col("date")).alias("date"),
-        F.when(NULL_GENDER, F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
+        F.when(_empty_title(), F.array().cast("array<string>")).otherwise(F.array("name")).alias("title"),
+        F.when(_bad_date(), F.col("o_orderpriority")).otherwise(F.col("date")).alias("date"),
+        F.when(_null_gender(), F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
     )
     path = scratch_path(spark, "json-tree")
     (J.to_records(dirty, extra=["l_returnflag", "l_linestatus"])
