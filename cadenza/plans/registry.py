@@ -36,7 +36,7 @@ def r6(c: Column | str) -> Column:
 
 def load_all() -> None:
     from . import q_search, q_vectors  # noqa: F401
-    for mod in ("q_text", "q_features", "q_ingest", "q_sessions", "q_io", "q_model"):
+    for mod in ("q_text", "q_features", "q_ingest", "q_sessions", "q_io", "q_model", "q_stream"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # family not built yet
