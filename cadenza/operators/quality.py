@@ -56,7 +56,8 @@ def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Bin 1..bins of an equal-width histogram over [lo, hi]; the maximum goes
     to the last bin; null when lo == hi (no width)."""
     width = F.nullif(hi - lo, F.lit(0.0))
-    return F.least(F.floor((x - lo) / width * F.lit(float(bins))) + 1, F.lit(bins)).cast("bigint")
+    raw = F.floor((x - lo) / width * F.lit(float(bins))) + 1
+    return F.when(raw.isNull(), F.lit(None)).otherwise(F.least(raw, F.lit(bins))).cast("bigint")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -142,7 +142,7 @@ def _duck_hist(expr: str, src: str, bins: int) -> str:
     return f"""
     SELECT bin, round(lo + (bin - 1) * (hi - lo) / {bins}.0, 6) AS lo,
            round(lo + bin * (hi - lo) / {bins}.0, 6) AS hi, count(*) AS n
-    FROM (SELECT CAST(least(floor((x - lo) / nullif(hi - lo, 0) * {bins}.0) + 1, {bins}) AS BIGINT) AS bin, lo, hi
+    FROM (SELECT CAST(CASE WHEN hi = lo OR x IS NULL THEN NULL ELSE least(floor((x - lo) / (hi - lo) * {bins}.0) + 1, {bins}) END AS BIGINT) AS bin, lo, hi
           FROM (SELECT CAST({expr} AS DOUBLE) AS x FROM {src}),
                (SELECT min(CAST({expr} AS DOUBLE)) AS lo, max(CAST({expr} AS DOUBLE)) AS hi FROM {src}))
     GROUP BY bin, lo, hi
