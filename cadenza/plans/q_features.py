@@ -9,7 +9,7 @@ from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators.recommend import training_pairs
 from ..functions import vectors as V
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .catalogue import (CATALOGUE_COLUMNS, GENRE_CODES, SCORE_COLUMNS, SONGS_SQL, songs)
 from .registry import query, r6
 
@@ -30,9 +30,12 @@ SELECT {', '.join(CATALOGUE_COLUMNS)} FROM (
 """
 
 
-def catalogue(spark, sf):
-    """The keyed catalogue: songs with one row per id (keep-first)."""
-    return Q.dedup_first(songs(spark, sf), "id", DEDUP_ORDER)
+def catalogue(spark, sf, with_key: bool = False):
+    """The keyed catalogue: songs with one row per id (keep-first), written
+    once to the shared folder (like the application's stored table) so the
+    dictionary, the statistics and the output read it instead of
+    recomputing the joins."""
+    return cut_lineage(Q.dedup_first(songs(spark, sf, with_key), "id", DEDUP_ORDER))
 
 
 def _duck_dummies(col, values):

@@ -20,7 +20,11 @@ from .registry import ORACLE, query
 @query("stream_ingest", _OUT_SQL + f" FROM ({KEPT_SQL})")
 def q_stream_ingest(spark, sf):
     root = write_json_tree(spark, sf)
-    return _out(jobs.ingest_stream(spark, root, DEDUP_ORDER, max_files_per_trigger=16))
+    n_files = len(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*json")
+                  .text(root).inputFiles())
+    # two micro-batches: the second merges into the state of the first
+    return _out(jobs.ingest_stream(spark, root, DEDUP_ORDER,
+                                   max_files_per_trigger=max(1, (n_files + 1) // 2)))
 
 
 @query("stream_topk", TOPK_SQL + """

@@ -80,3 +80,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared folder (survives executor loss)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Round-robin over the cluster's cores when the input has fewer
+    partitions than that (a scan of a few large row groups), before CPU-heavy
+    per-row work. A large input already has more splits than cores and is
+    left as it is, so this never adds a shuffle at scale."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
