@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ordered import ordered_positions
 from ..operators.quality import missing_text
 from ..session import cut_lineage
 
@@ -26,7 +27,18 @@ from ..session import cut_lineage
 def request_runs(requests: DataFrame, session: str = "session_id", ts: str = "ts",
                  rid: str = "request_id", query: str = "query") -> DataFrame:
     """Adds ``run_no`` (1-based within the session) and ``pos`` (1-based
-    within the run). Order within a session: ``ts`` then request id."""
+    within the run). Order within a session: ``ts`` then request id.
+
+    Skew-safe: a session with a large share of all requests is split over
+    tasks by range partitioning (see ``ordered``)."""
+    out = ordered_positions(requests, session, [F.col(ts).asc(), F.col(rid).asc()], value=query)
+    return out.drop("pos").withColumnRenamed("pos_in_run", "pos")
+
+
+def request_runs_window(requests: DataFrame, session: str = "session_id", ts: str = "ts",
+                        rid: str = "request_id", query: str = "query") -> DataFrame:
+    """The plain window form of :func:`request_runs` (one task per session);
+    kept as the reference the skew-safe form is tested against."""
     w = Window.partitionBy(session).orderBy(F.col(ts), F.col(rid))
     prev = F.lag(F.col(query)).over(w)
     change = F.when(prev.isNull() | (prev != F.col(query)), F.lit(1)).otherwise(F.lit(0))
@@ -89,7 +101,13 @@ def playlist_state(adds: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
-    """Per user, newest first (null times first), ties by id: ``pos`` 1.."""
+    """Per user, newest first (null times first), ties by id: ``pos`` 1..
+    Skew-safe for a user holding a large share of all rows."""
+    return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()])
+
+
+def playlist_listing_window(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
+    """Window form of :func:`playlist_listing` (reference for tests)."""
     w = Window.partitionBy(user).orderBy(F.col(ts).desc_nulls_first(), F.col("id").asc())
     return state.withColumn("pos", F.row_number().over(w).cast("bigint"))
 

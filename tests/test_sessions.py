@@ -89,3 +89,27 @@ def test_playlist(spark):
     dels = spark.createDataFrame([(4,), (99,)], "id long")
     st = S.playlist_listing(S.playlist_state(adds, dels)).orderBy("username", "pos").collect()
     assert [(r["id"], r["pos"]) for r in st] == [(3, 1), (2, 2), (1, 3)]
+
+
+def _same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_skew_safe_runs_equal_window_with_hot_session(spark):
+    from cadenza.session import read_table
+    ev = read_table(spark, SF001, "events").select("event_id", "user_id", "ts", "event_type")
+    # a third of the rows in one session, and a session spread over every partition
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    for df in (ev, hot, ev.withColumn("user_id", F.lit(5))):
+        args = ("user_id", "ts", "event_id", "event_type")
+        a = S.request_runs(df.repartition(8), *args).select("event_id", "run_no", "pos")
+        b = S.request_runs_window(df, *args).select("event_id", "run_no", "pos")
+        assert _same_rows(a, b)
+
+
+def test_skew_safe_listing_equals_window(spark):
+    from cadenza.plans.inputs import playlist_adds
+    adds = playlist_adds(spark, SF001).withColumn("username", F.lit("hot"))
+    a = S.playlist_listing(adds).select("id", "pos")
+    b = S.playlist_listing_window(adds).select("id", "pos")
+    assert _same_rows(a, b)
