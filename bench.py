@@ -33,6 +33,8 @@ def main() -> None:
     registry.load_all()
     # warm-up: JVM, Python workers, file listing
     registry.QUERIES["vector_norm"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(64, numPartitions=int(cpus) if cpus.isdigit() else 8).mapInPandas(
+        lambda it: it, "id long").write.format("noop").mode("overwrite").save()
     times = {}
     for name in only:
         t0 = time.perf_counter()

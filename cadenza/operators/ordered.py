@@ -26,10 +26,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Element-wise null-safe equality of two object/number arrays."""
@@ -94,16 +96,54 @@ def _chunk_offsets(key_type: str):
     return fix
 
 
+# A key is hot when it holds more rows than this and more than twice a fair
+# share per core; then one task per key would be a straggler.
+HOT_MIN_ROWS = 100_000
+
+
+def hottest_key_rows(df: DataFrame, key: str) -> tuple[int, int]:
+    """(rows of the largest key, all rows): one partial aggregate, two numbers
+    to the driver."""
+    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("mx"), F.sum("n").alias("tot")).first()
+    return int(r["mx"] or 0), int(r["tot"] or 0)
+
+
+def _window_form(df: DataFrame, key: str, order: Sequence[Column], value: str | None) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order)
+    out = df.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    if value:
+        prev = F.lag(F.col(value)).over(w)
+        change = F.when((F.col("pos") == 1) | ~prev.eqNullSafe(F.col(value)), F.lit(1)).otherwise(F.lit(0))
+        out = out.withColumn("_chg", change).withColumn(
+            "run_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            .cast("bigint"))
+        wr = Window.partitionBy(key, "run_no").orderBy(*order)
+        out = out.withColumn("pos_in_run", F.row_number().over(wr).cast("bigint")).drop("_chg")
+    return out
+
+
 def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: str | None = None,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, strategy: str = "auto") -> DataFrame:
     """``df`` plus ``pos`` (and ``run_no``, ``pos_in_run`` when ``value`` is
-    given). ``order`` must be total within a key (end with a unique id)."""
+    given). ``order`` must be total within a key (end with a unique id).
+
+    ``strategy``: ``"window"`` (one task per key), ``"range"`` (hot keys
+    split over tasks), or ``"auto"``: measure the largest key first and take
+    the range form only when it is hot."""
+    if strategy == "auto":
+        mx, tot = hottest_key_rows(df, key)
+        fair = tot / max(1, df.sparkSession.sparkContext.defaultParallelism)
+        strategy = "range" if mx > HOT_MIN_ROWS and mx > 2 * fair else "window"
+    if strategy == "window":
+        return _window_form(df, key, order, value)
     sort = [F.col(key).asc_nulls_first(), *order]
     ranged = (df.repartitionByRange(partitions, *sort) if partitions
               else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
     schema = (T.StructType(list(df.schema.fields)).add("_pid", T.IntegerType())
               .add("_lpos", T.LongType()).add("_lrun", T.LongType()).add("_lrpos", T.LongType()))
-    local = ranged.mapInPandas(_local_numbering(key, value), schema)
+    # numbered once and materialised: read by the summary and by the join
+    local = cut_lineage(ranged.mapInPandas(_local_numbering(key, value), schema))
     vcol = F.col(value) if value else F.lit(0)
     summ = local.groupBy(F.col("_pid").alias("pid"), F.col(key).alias("k")).agg(
         F.max("_lpos").alias("n"), F.max("_lrun").alias("runs"),

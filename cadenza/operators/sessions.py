@@ -25,13 +25,14 @@ from ..session import cut_lineage
 
 
 def request_runs(requests: DataFrame, session: str = "session_id", ts: str = "ts",
-                 rid: str = "request_id", query: str = "query") -> DataFrame:
+                 rid: str = "request_id", query: str = "query", strategy: str = "auto") -> DataFrame:
     """Adds ``run_no`` (1-based within the session) and ``pos`` (1-based
     within the run). Order within a session: ``ts`` then request id.
 
     Skew-safe: a session with a large share of all requests is split over
     tasks by range partitioning (see ``ordered``)."""
-    out = ordered_positions(requests, session, [F.col(ts).asc(), F.col(rid).asc()], value=query)
+    out = ordered_positions(requests, session, [F.col(ts).asc(), F.col(rid).asc()], value=query,
+                            strategy=strategy)
     return out.drop("pos").withColumnRenamed("pos_in_run", "pos")
 
 
@@ -100,10 +101,12 @@ def playlist_state(adds: DataFrame, deletes: DataFrame) -> DataFrame:
     return adds.join(deletes.select("id").distinct(), "id", "left_anti")
 
 
-def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
+def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_at",
+                     strategy: str = "auto") -> DataFrame:
     """Per user, newest first (null times first), ties by id: ``pos`` 1..
     Skew-safe for a user holding a large share of all rows."""
-    return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()])
+    return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()],
+                             strategy=strategy)
 
 
 def playlist_listing_window(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:

@@ -102,7 +102,7 @@ def test_skew_safe_runs_equal_window_with_hot_session(spark):
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
     for df in (ev, hot, ev.withColumn("user_id", F.lit(5))):
         args = ("user_id", "ts", "event_id", "event_type")
-        a = S.request_runs(df.repartition(8), *args).select("event_id", "run_no", "pos")
+        a = S.request_runs(df.repartition(8), *args, strategy="range").select("event_id", "run_no", "pos")
         b = S.request_runs_window(df, *args).select("event_id", "run_no", "pos")
         assert _same_rows(a, b)
 
@@ -110,6 +110,14 @@ def test_skew_safe_runs_equal_window_with_hot_session(spark):
 def test_skew_safe_listing_equals_window(spark):
     from cadenza.plans.inputs import playlist_adds
     adds = playlist_adds(spark, SF001).withColumn("username", F.lit("hot"))
-    a = S.playlist_listing(adds).select("id", "pos")
+    a = S.playlist_listing(adds, strategy="range").select("id", "pos")
     b = S.playlist_listing_window(adds).select("id", "pos")
     assert _same_rows(a, b)
+
+
+def test_auto_strategy_picks_window_without_hot_key(spark):
+    from cadenza.operators.ordered import hottest_key_rows
+    from cadenza.session import read_table
+    ev = read_table(spark, SF001, "events")
+    mx, tot = hottest_key_rows(ev, "user_id")
+    assert tot == ev.count() and 0 < mx < tot
