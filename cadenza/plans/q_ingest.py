@@ -65,7 +65,7 @@ def write_json_tree(spark, sf) -> str:
         F.when(_null_gender(), F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
     )
     path = scratch_path(spark, "json-tree")
-    (spread(J.to_records(dirty, extra=["l_returnflag", "l_linestatus"]))
+    (spread(J.to_records(dirty, extra=["l_returnflag", "l_linestatus", "id"]), "id").drop("id")
      .write.partitionBy("l_returnflag", "l_linestatus").json(path))
     return path
 

@@ -82,10 +82,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Round-robin over the cluster's cores when the input has fewer
-    partitions than that (a scan of a few large row groups), before CPU-heavy
-    per-row work. A large input already has more splits than cores and is
-    left as it is, so this never adds a shuffle at scale."""
+def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
+    """Spread over the cluster's cores when the input has fewer partitions
+    than that (a scan of a few large row groups), before CPU-heavy per-row
+    work. Hash partitioning on ``by`` (a row key) is repeatable without the
+    row sort a round-robin repartition needs. A large input already has more
+    splits than cores and is left as it is, so this adds no shuffle at scale."""
     target = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *by) if by else df.repartition(target)

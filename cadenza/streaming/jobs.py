@@ -2,11 +2,11 @@
 
 Each gives the same rows as its batch form:
 
-* ``ingest_stream``: new JSON files -> the same flatten/validate -> a
-  streaming ``min(struct)`` per id (state store keyed by id, one row per id)
-  in update mode; each micro-batch's changed rows are merged into the target
-  table (anti join + union, written as a new version). The result equals the
-  batch keep-first whatever order the files arrive in.
+* ``ingest_stream``: new JSON files -> the same flatten/validate -> streaming
+  ``dropDuplicates`` on the whole record (JVM state store) appends each
+  distinct record once to a Parquet sink; reading keeps the first per id by
+  the same partial aggregate as the batch form. Equal to the batch keep-first
+  whatever order the files arrive in.
 * ``topk_stream``: request vectors arrive as a stream; each micro-batch is
   scored against the static catalogue with the batch operator (its queries
   are a bounded micro-batch, so the size check passes by construction) and
@@ -31,6 +31,7 @@ from pyspark.sql.streaming.state import GroupState
 from ..operators import sessions as S
 from ..operators import topk as TK
 from ..session import scratch_path
+from ..operators.quality import dedup_first
 from ..sources import json_ingest as J
 
 
@@ -48,6 +49,9 @@ def _run(writer, timeout_s: float = 600.0):
 
 def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """Validated records land once per distinct content (streaming
+    ``dropDuplicates`` on the whole record: JVM state store, append mode),
+    and the keyed table is the keep-first over what landed."""
     src = (spark.readStream.schema(J.record_schema())
            .option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*json")
@@ -56,36 +60,13 @@ def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
            .option("columnNameOfCorruptRecord", J.CORRUPT))
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = src.json(root).withColumn("_file", F.col("_metadata.file_path"))
-    good, _ = J.split_good(J.flatten(raw))
+    good, _ = J.split_good(J.flatten(src.json(root).withColumn("_file", F.col("_metadata.file_path"))))
     good = good.drop("date", "_file")
-    order = list(dedup_order)
-    rest = [c for c in good.columns if c not in ["id"] + order]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in rest])
-    best = good.groupBy("id").agg(F.min(packed).alias("_best"))
-    cols = ["id"] + [c for c in good.columns if c != "id"]
-    flat_cols = [F.col("id")] + [
-        F.col(f"_best._o{order.index(c)}").alias(c) if c in order else F.col(f"_best.{c}").alias(c)
-        for c in cols[1:]]
+    landed = good.dropDuplicates(good.columns)
     base = scratch_path(spark, "ingest-stream")
-    state = {"version": 0}
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        upd = batch.select(*flat_cols)
-        cur = f"{base}/v{state['version']}"
-        nxt = f"{base}/v{state['version'] + 1}"
-        if state["version"] == 0:
-            upd.write.mode("overwrite").parquet(nxt)
-        else:
-            old = spark.read.parquet(cur)
-            old.join(upd.select("id"), "id", "left_anti").unionByName(upd).write.mode("overwrite").parquet(nxt)
-        state["version"] += 1
-
-    _run(best.writeStream.outputMode("update").foreachBatch(merge)
-         .option("checkpointLocation", f"{base}/_checkpoint"))
-    if state["version"] == 0:
-        return spark.createDataFrame([], good.schema)
-    return spark.read.parquet(f"{base}/v{state['version']}")
+    _run(landed.writeStream.outputMode("append").format("parquet")
+         .option("path", f"{base}/landed").option("checkpointLocation", f"{base}/_checkpoint"))
+    return dedup_first(spark.read.schema(good.schema).parquet(f"{base}/landed"), "id", list(dedup_order))
 
 
 # ---- X2 -----------------------------------------------------------------
