@@ -11,8 +11,12 @@ from ..operators import sessions as S
 from ..session import read_table
 from .inputs import (DUCK_EVENT_K, PART_CATALOGUE_SQL, PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL,
                      SEARCH_REQUESTS_SQL, event_k, part_catalogue, playlist_adds,
-                     playlist_deletes, search_requests)
+                     playlist_deletes, search_requests, vectors)
 from .q_search import _duck_hits
+from .q_vectors import TOPK_SQL
+from .catalogue import RECOMMEND_CATALOGUE_SQL, recommend_catalogue
+from ..operators import topk
+from ..operators.recommend import recommend_lookup
 from .registry import query, sql_str
 
 LIST_USER = "u7"
@@ -135,3 +139,34 @@ def q_login_lookup(spark, sf):
     att = read_table(spark, sf, "events").filter(F.col("event_type") == "view").select(
         "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"))
     return S.login_lookup(att, users).select("event_id", "found", "message")
+
+
+def vector_requests(spark, sf):
+    """Recommendation request log: every event asks for the songs closest to
+    vector ``props.k`` (the encoded description)."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts", event_k().alias("k"))
+    return ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"),
+                     "ts", F.col("k").alias("query"))
+
+
+@query("replay_recommend", TOPK_SQL + f"""
+, cat AS ({RECOMMEND_CATALOGUE_SQL}),
+res AS (SELECT qid, rank, name, artist FROM ranked JOIN cat ON ranked.id = cat.id WHERE rank <= 15),
+runs AS ({_duck_runs(f"SELECT event_id AS request_id, user_id AS session_id, ts, {DUCK_EVENT_K} AS query FROM events",
+                     'session_id', 'ts', 'request_id', 'query')})
+SELECT request_id, runs.pos,
+  CASE WHEN res.name IS NOT NULL THEN '- ' || res.name || ' by ' || res.artist
+       WHEN runs.pos = 1 THEN {sql_str(T.RECOMMEND_NONE)} ELSE {sql_str(T.RECOMMEND_EXHAUSTED)} END AS reply
+FROM runs LEFT JOIN res ON runs.query = res.qid AND runs.pos = res.rank
+""")
+def q_replay_recommend(spark, sf):
+    """Each recommendation request's reply: the n-th of the 15 closest songs
+    to its vector, n = position in its run of equal requests."""
+    req = vector_requests(spark, sf)
+    v = vectors(spark, sf)
+    asked = v.join(req.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
+    res = topk.topk_cosine(asked.select(F.col("id").alias("qid"), "vec"), v, k=15)
+    top = recommend_lookup(res, recommend_catalogue(spark, sf)).select(
+        F.col("qid").alias("q"), "rank", "name", "artist")
+    out = S.replay(S.request_runs(req), top, S.RECOMMEND_REPLIES)
+    return out.select("request_id", "pos", "reply")
