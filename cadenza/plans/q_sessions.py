@@ -118,7 +118,30 @@ def q_register_unique_name(spark, sf):
     return out.select("reg_id", "accepted", "message")
 
 
-@query("register_accept")
+# The oracle replays the sequential greedy (arrival order) as a recursive CTE:
+# one step per sign-up, carrying the taken names, e-mails and accepted ids.
+REGISTER_TWO_KEYS_SQL = f"""
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER (ORDER BY ts, reg_id) AS i, reg_id, username, email FROM ({REGISTRATIONS_SQL})),
+g(i, users, emails, won) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+  UNION ALL
+  SELECT r.i,
+    CASE WHEN ok THEN list_append(g.users, r.username) ELSE g.users END,
+    CASE WHEN ok THEN list_append(g.emails, r.email) ELSE g.emails END,
+    CASE WHEN ok THEN list_append(g.won, r.reg_id) ELSE g.won END
+  FROM g JOIN r ON r.i = g.i + 1,
+  LATERAL (SELECT coalesce(r.username, '') <> '' AND coalesce(r.email, '') <> ''
+                  AND NOT list_contains(g.users, r.username) AND NOT list_contains(g.emails, r.email) AS ok)),
+fin AS (SELECT won FROM g ORDER BY i DESC LIMIT 1)
+SELECT reg_id, username, email, list_contains(fin.won, reg_id) AS accepted,
+  CASE WHEN coalesce(username, '') = '' OR coalesce(email, '') = '' THEN '{S.FILL_ALL}'
+       WHEN list_contains(fin.won, reg_id) THEN '{S.REGISTERED}' ELSE '{S.TAKEN}' END AS message
+FROM r, fin
+"""
+
+
+@query("register_accept", REGISTER_TWO_KEYS_SQL)
 def q_register_accept(spark, sf):
     """Unique username and unique email, first come wins (rounds)."""
     out, _ = S.register_two_keys(registrations(spark, sf), ["ts", "reg_id"])
