@@ -48,3 +48,10 @@ def test_no_hit_reply(spark):
     rep = {r["qid"]: r["reply"] for r in fuzzy.search_replies(req, res).collect()}
     assert rep[10].startswith("We might not have this song")
     assert rep[11].startswith("Here's our closest song: red widget by Brand#1")
+
+
+def test_ranked_search_limits_before_shuffle(spark):
+    req, cat = search_requests(spark, SF001), part_catalogue(spark, SF001)
+    plan = fuzzy.fuzzy_search(req, cat, qid_col="request_id", q_col="query") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
