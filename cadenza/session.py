@@ -76,10 +76,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint to the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
+    it back: the plan is computed once (an RDD checkpoint computes it twice
+    unless persisted), the lineage is cut, a lost executor re-reads files
+    instead of recomputing, and later reads prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
