@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: s
     the range form only when it is hot."""
     if strategy == "auto":
         mx, tot = hottest_key_rows(df, key)
-        fair = tot / max(1, df.sparkSession.sparkContext.defaultParallelism)
+        fair = tot / max(1, parallelism(df.sparkSession))
         strategy = "range" if mx > HOT_MIN_ROWS and mx > 2 * fair else "window"
     if strategy == "window":
         return _window_form(df, key, order, value)

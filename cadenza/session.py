@@ -41,13 +41,47 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    conf = spark.conf.get("spark.default.parallelism", None)
+    return int(conf) if conf else (os.cpu_count() or 8)
+
+
+class _Held:
+    """Stands in for a broadcast variable where there is no SparkContext: the
+    value travels with the task closure (callers bound its size first)."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def broadcast_value(spark: SparkSession, value):
+    sc = _context(spark)
+    return sc.broadcast(value) if sc is not None else _Held(value)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
     Reads ``spark.checkpoint.dir`` from the session; sets one only where it is
     unset (single-machine tests), never overriding a cluster's setting.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -92,7 +126,11 @@ def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
     work. Hash partitioning on ``by`` (a row key) is repeatable without the
     row sort a round-robin repartition needs. A large input already has more
     splits than cores and is left as it is, so this adds no shuffle at scale."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    target = parallelism(df.sparkSession) * factor
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
+        return df
+    if n >= target:
         return df
     return df.repartition(target, *by) if by else df.repartition(target)
