@@ -3,13 +3,15 @@ hold-out split, training pairs, dedup, key checks and histograms."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
 from ..operators import quality as Q
 from ..operators.recommend import training_pairs
 from ..functions import vectors as V
-from ..session import cut_lineage, read_table
+from ..session import materialised, read_table
 from .catalogue import (CATALOGUE_COLUMNS, GENRE_CODES, SCORE_COLUMNS, SONGS_SQL, songs)
 from .registry import query, r6
 
@@ -35,7 +37,9 @@ def catalogue(spark, sf, with_key: bool = False):
     once to the shared folder (like the application's stored table) so the
     dictionary, the statistics and the output read it instead of
     recomputing the joins."""
-    return cut_lineage(Q.dedup_first(songs(spark, sf, with_key), "id", DEDUP_ORDER))
+    inputs = [os.path.join(sf, f"{t}.parquet") for t in ("lineitem", "orders", "customer", "part")]
+    return materialised(spark, f"catalogue{'-key' if with_key else ''}", inputs,
+                        lambda: Q.dedup_first(songs(spark, sf, with_key), "id", DEDUP_ORDER))
 
 
 def _duck_dummies(col, values):

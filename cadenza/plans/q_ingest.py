@@ -4,11 +4,13 @@ and the dirty-value parse on ``pages.url``."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import json_ingest as J
-from ..session import read_table, scratch_path, spread
+from ..session import read_table, scratch_path, spread, written_once
 from ..operators import quality as Q
 from .catalogue import SCORE_COLUMNS, SONGS_RAW_SQL, songs_raw
 from .q_features import DEDUP_ORDER, _REST
@@ -55,6 +57,12 @@ SELECT * FROM (
 
 
 def write_json_tree(spark, sf) -> str:
+    """The derived JSON tree for ``sf`` (written once per session)."""
+    inputs = [os.path.join(sf, f"{t}.parquet") for t in ("lineitem", "orders", "customer", "part")]
+    return written_once(spark, "json-tree", inputs, lambda: _write_json_tree(spark, sf))
+
+
+def _write_json_tree(spark, sf) -> str:
     """Spark writes the derived records as a JSON tree, one folder level per
     return flag and line status, and returns its root."""
     raw = songs_raw(spark, sf)

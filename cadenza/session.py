@@ -134,3 +134,40 @@ def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
     if n >= target:
         return df
     return df.repartition(target, *by) if by else df.repartition(target)
+
+
+_MATERIALISED: dict[tuple, DataFrame] = {}
+
+
+def _input_stamp(inputs: list[str]) -> tuple:
+    stamp = []
+    for p in inputs:
+        local = p[len("file:"):] if p.startswith("file:") else p
+        try:
+            st = os.stat(local)
+            stamp.append((p, st.st_size, st.st_mtime_ns))
+        except OSError:
+            stamp.append((p, None, None))
+    return tuple(stamp)
+
+
+def materialised(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
+    """A table written once per session and read by later queries (like a
+    stored table the application loads once). The key includes the input
+    files' sizes and modification times, so changed inputs rebuild it."""
+    key = (id(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    if key not in _MATERIALISED:
+        _MATERIALISED[key] = cut_lineage(build(), name)
+    return _MATERIALISED[key]
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written_once(spark: SparkSession, name: str, inputs: list[str], write) -> str:
+    """Like :func:`materialised` for data kept as files (``write()`` returns
+    the path it wrote)."""
+    key = (id(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write()
+    return _WRITTEN[key]
