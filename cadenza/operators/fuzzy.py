@@ -52,11 +52,41 @@ def _string_postings(df: DataFrame, col: str, key_cols: Sequence[str]) -> DataFr
         *key_cols, F.size("tri").alias("n"), F.explode("tri").alias("trigram"))
 
 
-def string_hits(queries: DataFrame, strings: DataFrame, threshold: float) -> DataFrame:
+class TrigramIndex:
+    """The stored form of a trigram index over text columns: two Parquet
+    tables, postings of the distinct strings ``(field, s, n, trigram)`` and
+    the string-to-row map ``(field, s, id)``. Built once, read by searches."""
+
+    def __init__(self, spark, path: str):
+        self.path = path
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.rows = spark.read.parquet(f"{path}/rows")
+
+    @staticmethod
+    def build(catalogue: DataFrame, path: str, fields: Sequence[str] = ("name", "artist"),
+              id_col: str = "id") -> "TrigramIndex":
+        cat_long = _long(catalogue, fields, id_col)
+        cat_long.write.mode("overwrite").parquet(f"{path}/rows")
+        strings = cat_long.select("field", "s").distinct()
+        _string_postings(strings, "s", ["field", "s"]).write.mode("overwrite").parquet(f"{path}/postings")
+        return TrigramIndex(catalogue.sparkSession, path)
+
+
+def _long(catalogue: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
+    out = None
+    for f in fields:
+        part = catalogue.select(F.col(id_col).alias("id"), F.lit(f).alias("field"), F.col(f).alias("s"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def string_hits(queries: DataFrame, strings: DataFrame | None, threshold: float,
+                postings: DataFrame | None = None) -> DataFrame:
     """``queries(q)`` × ``strings(field, s)`` pairs with similarity > t,
-    found through shared trigrams. Both inputs should be distinct."""
+    found through shared trigrams. Both inputs should be distinct; stored
+    ``postings`` may stand in for ``strings``."""
     qp = _string_postings(queries, "q", ["q"]).withColumnRenamed("n", "m")
-    sp = _string_postings(strings, "s", ["field", "s"])
+    sp = postings if postings is not None else _string_postings(strings, "s", ["field", "s"])
     t = float(threshold)
     bound = (F.least(qp.m, sp.n) * F.lit(1.0 + t)) > (F.lit(t) * (qp.m + sp.n))
     pairs = qp.join(sp, (qp.trigram == sp.trigram) & bound)
@@ -69,17 +99,17 @@ def string_hits(queries: DataFrame, strings: DataFrame, threshold: float) -> Dat
 
 def fuzzy_join(queries: DataFrame, catalogue: DataFrame, threshold: float = DEFAULT_THRESHOLD,
                fields: Sequence[str] = ("name", "artist"), id_col: str = "id",
-               q_col: str = "q") -> DataFrame:
+               q_col: str = "q", index: TrigramIndex | None = None) -> DataFrame:
     """All catalogue rows with ``sim(field, q) > t`` for any field, per
-    distinct query text: ``(q, id, score)``, score = greatest similarity."""
+    distinct query text: ``(q, id, score)``, score = greatest similarity.
+    With a stored ``index`` the catalogue side is read, not re-derived."""
     qd = queries.select(F.col(q_col).alias("q")).distinct()
-    cat_long = None
-    for f in fields:
-        part = catalogue.select(F.col(id_col).alias("id"), F.lit(f).alias("field"),
-                                F.col(f).alias("s"))
-        cat_long = part if cat_long is None else cat_long.unionByName(part)
-    strings = cat_long.select("field", "s").distinct()
-    hits = string_hits(qd, strings, threshold)
+    if index is not None:
+        cat_long = index.rows
+        hits = string_hits(qd, None, threshold, postings=index.postings)
+    else:
+        cat_long = _long(catalogue, fields, id_col)
+        hits = string_hits(qd, cat_long.select("field", "s").distinct(), threshold)
     return (hits.join(cat_long, ["field", "s"])
             .groupBy("q", "id").agg(F.max("sim").alias("score")))
 
@@ -97,7 +127,7 @@ def rank_hits(hits: DataFrame, limit: int, order: str = "desc") -> DataFrame:
 def fuzzy_search(queries: DataFrame, catalogue: DataFrame, limit: int = DEFAULT_LIMIT,
                  order: str = "desc", threshold: float = DEFAULT_THRESHOLD,
                  fields: Sequence[str] = ("name", "artist"), id_col: str = "id",
-                 qid_col: str = "qid", q_col: str = "q") -> DataFrame:
+                 qid_col: str = "qid", q_col: str = "q", index: TrigramIndex | None = None) -> DataFrame:
     """Top ``limit`` hits per request, ranked by score then id.
 
     ``order="desc"`` gives the closest first (the stated intent);
@@ -106,7 +136,7 @@ def fuzzy_search(queries: DataFrame, catalogue: DataFrame, limit: int = DEFAULT_
     per distinct query text; requests then pick up their (at most ``limit``)
     rows by an equi join on the text.
     """
-    ranked = rank_hits(fuzzy_join(queries, catalogue, threshold, fields, id_col, q_col),
+    ranked = rank_hits(fuzzy_join(queries, catalogue, threshold, fields, id_col, q_col, index),
                        limit, order)
     meta = catalogue.select(F.col(id_col).alias("id"), *[F.col(f) for f in fields])
     top = ranked.join(meta, "id")

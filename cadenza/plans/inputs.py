@@ -70,3 +70,14 @@ SELECT event_id AS id, 'u' || CAST(user_id AS VARCHAR) AS username, p_name AS so
 FROM events JOIN part ON p_partkey = {DUCK_EVENT_K} WHERE event_type IN ('click', 'view')
 """
 PLAYLIST_DELETES_SQL = f"SELECT {DUCK_EVENT_K} AS id FROM events WHERE event_type = 'purchase'"
+
+
+def part_index(spark: SparkSession, sf_dir: str):
+    """The stored trigram index over the part catalogue (built once per session)."""
+    import os
+    from ..operators.fuzzy import TrigramIndex
+    from ..session import scratch_path, written_once
+    path = written_once(spark, "trigram-index", [os.path.join(sf_dir, "part.parquet")],
+                        lambda: TrigramIndex.build(part_catalogue(spark, sf_dir),
+                                                   scratch_path(spark, "trigram-index")).path)
+    return TrigramIndex(spark, path)

@@ -10,7 +10,7 @@ from ..functions.trigram import (duck_similarity, duck_trigram_set, register_sql
                                  similarity, trigram_set)
 from ..operators import fuzzy
 from ..session import read_table, register_tables
-from .inputs import (PART_CATALOGUE_SQL, SEARCH_REQUESTS_SQL, part_catalogue,
+from .inputs import (PART_CATALOGUE_SQL, SEARCH_REQUESTS_SQL, part_catalogue, part_index,
                      search_requests)
 from .registry import query, r6
 
@@ -56,7 +56,11 @@ SELECT field, trigram, id, CAST(n AS BIGINT) AS n FROM (
 ), unnest(t) AS u(trigram)
 """)
 def q_trigram_postings(spark, sf):
-    return fuzzy.trigram_postings(part_catalogue(spark, sf))
+    """Per-row postings read from the stored index (distinct-string postings
+    joined to the string-to-row map)."""
+    idx = part_index(spark, sf)
+    return idx.postings.join(idx.rows, ["field", "s"]).select(
+        "field", "trigram", "id", F.col("n").cast("bigint").alias("n"))
 
 
 def _duck_hits():
@@ -76,7 +80,8 @@ SELECT q, id, round(score, 6) AS score FROM hits
 """)
 def q_fuzzy_join(spark, sf):
     """Every distinct request text against the whole catalogue."""
-    hits = fuzzy.fuzzy_join(search_requests(spark, sf), part_catalogue(spark, sf), q_col="query")
+    hits = fuzzy.fuzzy_join(search_requests(spark, sf), part_catalogue(spark, sf), q_col="query",
+                            index=part_index(spark, sf))
     return hits.select("q", "id", r6("score").alias("score"))
 
 
@@ -92,6 +97,7 @@ def _duck_search(order: str):
 
 def _search(spark, sf, order):
     res = fuzzy.fuzzy_search(search_requests(spark, sf), part_catalogue(spark, sf), order=order,
+                             index=part_index(spark, sf),
                              qid_col="request_id", q_col="query")
     return res.select("qid", "rank", "id", "name", "artist", r6("score").alias("score"))
 
@@ -117,7 +123,7 @@ FROM req LEFT JOIN (SELECT * FROM firsts WHERE rank = 1) f ON req.request_id = f
 """)
 def q_search_reply(spark, sf):
     req = search_requests(spark, sf)
-    res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1,
+    res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1, index=part_index(spark, sf),
                              qid_col="request_id", q_col="query")
     return fuzzy.search_replies(req.withColumnRenamed("request_id", "qid"), res)
 

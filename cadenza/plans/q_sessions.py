@@ -11,7 +11,7 @@ from ..operators import sessions as S
 from ..session import read_table
 from .inputs import (DUCK_EVENT_K, PART_CATALOGUE_SQL, PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL,
                      SEARCH_REQUESTS_SQL, event_k, part_catalogue, playlist_adds,
-                     playlist_deletes, search_requests, vectors)
+                     playlist_deletes, search_requests, vectors, part_index)
 from .q_search import _duck_hits
 from .q_vectors import TOPK_SQL
 from .catalogue import RECOMMEND_CATALOGUE_SQL, recommend_catalogue
@@ -54,7 +54,7 @@ def q_replay_requests(spark, sf):
     """Each search request's reply: the n-th of the top 5 results of its text,
     n = position in its run of equal requests."""
     req = search_requests(spark, sf)
-    hits = fuzzy.fuzzy_join(req, part_catalogue(spark, sf), q_col="query")
+    hits = fuzzy.fuzzy_join(req, part_catalogue(spark, sf), q_col="query", index=part_index(spark, sf))
     top = fuzzy.rank_hits(hits, 5).join(part_catalogue(spark, sf), "id")
     runs = S.request_runs(req)
     out = S.replay(runs, top.select("q", "rank", "name", "artist"), S.SEARCH_REPLIES)

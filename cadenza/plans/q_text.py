@@ -14,7 +14,7 @@ from ..session import read_table
 from .catalogue import (CATALOGUE_COLUMNS, RECOMMEND_CATALOGUE_SQL, SCORE_COLUMNS, SONGS_SQL,
                         recommend_catalogue, songs)
 from .inputs import (DUCK_EVENT_K, PART_CATALOGUE_SQL, SEARCH_REQUESTS_SQL, event_k,
-                     part_catalogue, search_requests, vectors)
+                     part_catalogue, part_index, search_requests, vectors)
 from .q_search import _duck_hits
 from .q_vectors import TOPK_SQL
 from .registry import query, r6
@@ -107,7 +107,7 @@ FROM replies
 """)
 def q_reply_flags(spark, sf):
     req = search_requests(spark, sf)
-    res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1,
+    res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1, index=part_index(spark, sf),
                              qid_col="request_id", q_col="query")
     rep = fuzzy.search_replies(req.withColumnRenamed("request_id", "qid"), res)
     return rep.select("qid", T.reply_text(F.col("reply")).alias("shown"),

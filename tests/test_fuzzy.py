@@ -55,3 +55,11 @@ def test_ranked_search_limits_before_shuffle(spark):
     plan = fuzzy.fuzzy_search(req, cat, qid_col="request_id", q_col="query") \
         ._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_stored_index_equals_direct(spark, tmp_dir):
+    req, cat = search_requests(spark, SF001), part_catalogue(spark, SF001)
+    idx = fuzzy.TrigramIndex.build(cat, tmp_dir)
+    a = fuzzy.fuzzy_join(req, cat, q_col="query")
+    b = fuzzy.fuzzy_join(req, cat, q_col="query", index=idx)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
