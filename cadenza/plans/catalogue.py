@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import broadcast_if_small, read_table, spread
 
 # The ten genre codes of the genre model, in the order the rule
 # below indexes them, and the five mood cluster names.
@@ -42,18 +42,21 @@ def _genre(p_size: Column) -> Column:
 def songs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows plus the raw fields the JSON form carries.
 
-    Smaller sides first: orders ⋈ customer, then lineitem on the order key,
-    then part; Catalyst prunes every scan to the columns used.
+    ``lineitem`` joined with orders, customer and part; Catalyst prunes every
+    scan to the columns used.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount",
-        "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+        "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"), "l_orderkey")
     od = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    oc = od.join(cu, od.o_custkey == cu.c_custkey)
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
+    # the fact rows stream through; each dimension is broadcast only when its
+    # estimated size is within the broadcast threshold (shuffle joins otherwise)
+    j = (li.join(broadcast_if_small(od), li.l_orderkey == od.o_orderkey)
+         .join(broadcast_if_small(cu), F.col("o_custkey") == cu.c_custkey)
+         .join(broadcast_if_small(pa), li.l_partkey == pa.p_partkey))
     dance = F.col("l_discount") * 10 + F.lit(0.0)
     acoustic = F.col("l_tax") / F.lit(0.08)
     aggressive = F.col("l_quantity") / F.lit(50.0)

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -171,3 +172,16 @@ def written_once(spark: SparkSession, name: str, inputs: list[str], write) -> st
     if key not in _WRITTEN:
         _WRITTEN[key] = write()
     return _WRITTEN[key]
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast hint only when the optimizer's size estimate is within
+    ``spark.sql.autoBroadcastJoinThreshold`` (a checked bound); otherwise the
+    planner keeps its shuffle join and AQE may still switch at run time."""
+    try:
+        limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+                    .lower().replace("b", ""))
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no plan statistics available: no hint
+        return df
+    return F.broadcast(df) if 0 < size <= limit else df
