@@ -12,10 +12,14 @@ place, with no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows
 
@@ -139,6 +143,17 @@ def predict_lang(docs: DataFrame, profiles: dict[str, list[int]], id_col: str =
                     f"`{id_col}` long, lang_pred string, score double", make, 256)
 
 
+def lang_of(text, profiles: dict[str, list[int]], length: int = PROFILE):
+    """The predicted language of a text column, as a column."""
+    @F.pandas_udf(T.StringType())
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = Classifier(profiles, length)
+        for s in parts:
+            yield pd.Series([c.predict(t)[0] for t in s], index=s.index, dtype=object)
+
+    return predict(text)
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents not learned from: crc32 of the id as text leaves 2 when divided by 4 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
