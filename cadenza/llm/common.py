@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage, read_table
 
-__all__ = ["cut_lineage", "read_table", "release", "ascii_lower", "arrow_rows", "map_rows", "min_label_components"]
+__all__ = ["cut_lineage", "read_table", "release", "forget", "ascii_lower", "arrow_rows", "map_rows", "min_label_components"]
 
 #: Rows that a Python task turns into objects at a time.
 SLICE_ROWS = 512
@@ -25,6 +25,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables made by ``cut_lineage`` that no later step reads."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("cadenza-"):
+                path.getFileSystem(conf).delete(path, True)
+
+
 @F.pandas_udf(T.StringType())
 def _lower_batch(s):  # noqa: ANN001, ANN202
     import pandas as pd

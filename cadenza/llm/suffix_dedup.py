@@ -12,7 +12,7 @@ neighbours in this order as in the alphabetical one, at one entry per 85 bytes.
 
 Suffixes whose beginning occurs once cannot lie in a repeat. For the others the
 text around the sync point, all strings of ``min_len`` bytes that it stands for,
-is compared byte by byte: equal surroundings are folded first, so that a
+is compared: equal surroundings are folded first, so that a
 passage shared by very many documents is one row; different surroundings of
 one beginning are compared in a task while they are few, and string by string
 through an aggregation where they are many.
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, release
+from .common import arrow_rows, cut_lineage, forget, release
 
 MIN_LEN = 200
 HEAD = 32
 BATCHES = 4
 #: Different surroundings of one beginning that a task compares at once; more are compared string by string.
-TOGETHER = 256
+TOGETHER = 2048
 #: Bytes of a text that are searched for sync points at a time.
 SLICE = 1 << 20
 _U = np.uint64
@@ -77,7 +77,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-_POINTS = pa.schema([("row", pa.int64()), ("head", pa.int64()), ("pos", pa.int64()), ("left", pa.int16()), ("right", pa.int16())])
+_POINTS = pa.schema([("row", pa.int64()), ("head", pa.int64()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16())])
 
 
 def find_sync_points(docs: DataFrame, min_len: int) -> DataFrame:
@@ -92,7 +92,7 @@ def find_sync_points(docs: DataFrame, min_len: int) -> DataFrame:
                                                     _POINTS.types)], names=_POINTS.names)
 
     return docs.where(F.octet_length("_text") >= min_len).select(_row_key().alias("row"), "_text").mapInArrow(
-        run, "row long, head long, pos long, left short, right short")
+        run, "row long, head long, pos int, left short, right short")
 
 
 class LevelIndex:
@@ -102,19 +102,20 @@ class LevelIndex:
         self.levels: dict[int, DataFrame] = {}
         self.repeated: list[DataFrame] = []
 
-    @staticmethod
-    def _array(rows: DataFrame) -> DataFrame:
-        return cut_lineage(rows.groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"), "suffixes")
-
     def add(self, heads: DataFrame) -> None:
-        """Take in a batch ``(head)``: build its suffix array, scan it against every level, merge equal-sized levels."""
-        level, rank = self._array(heads.withColumn("n", F.lit(1).cast("long"))), 0
-        while rank in self.levels:  # merging is the scan: a head of both sides has a count of at least 2
-            level = self._array(level.unionByName(self.levels.pop(rank)))
+        """Take in a batch ``(head)``: build its suffix array, scan it against every level, merge equal-sized levels.
+
+        The merge is the scan of the levels that it takes in: a head of both sides has a count of at least 2."""
+        rows, rank, old = heads.withColumn("n", F.lit(1).cast("long")), 0, []
+        while rank in self.levels:
+            old.append(self.levels.pop(rank))
+            rows = rows.unionByName(old[-1])
             rank += 1
+        level = cut_lineage(rows.groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"), "suffixes")
         for other in self.levels.values():
             self.repeated.append(cut_lineage(level.join(other.select("head"), "head").select("head"), "repeats"))
         self.levels[rank] = level
+        forget(*old)
 
     def repeated_heads(self) -> DataFrame:
         """Heads that occur more than once in all batches."""
@@ -164,10 +165,6 @@ _COVERED_PA = pa.schema([("head", pa.int64()), ("sid", pa.binary()), ("parts", p
 def compare_together(folded: DataFrame, min_len: int) -> DataFrame:
     """For beginnings with few different surroundings ``(head, left, sid, seg, n)``: the parts of each that repeat."""
     def group(rows: list[dict]):
-        if len(rows) == 1:
-            if rows[0]["n"] > 1:
-                yield rows[0]["head"], rows[0]["sid"], [{"a": 0, "z": len(rows[0]["seg"])}]
-            return
         seen: dict[tuple[int, bytes], int] = {}
         strings = []
         for r in rows:
@@ -217,7 +214,8 @@ def compare_strings(folded: DataFrame, min_len: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
                    batches: int = BATCHES) -> DataFrame:
-    """``(<id_col>, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per input row; ``kept`` has the remaining bytes.
+    """``(<id_col>, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per input row; ``kept`` has the remaining bytes, null
+    where no string of the text was looked at closely, so that all of it remains.
 
     Texts are UTF-8 bytes, null is empty. Removed is each byte covered by a ``min_len``-byte string that also starts
     anywhere else, in the same text (overlaps count) or another, judged on the input. Rows that repeat an id
@@ -236,17 +234,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "head", "left", "right"))).alias("points")))
     work = cut_lineage(texts.withColumn("_row", _row_key()).join(mine, F.col("_row") == F.col("row"), "left")
                        .select("_id", F.col("_row").alias("row"), "points", F.octet_length("_text").alias("n_bytes"),
-                               F.when(F.col("points").isNull(), F.sha2("_text", 256)).alias("whole_sha"), "_text"), "work")
+                               F.when(F.col("points").isNull(), F.sha2("_text", 256)).alias("whole_sha"),
+                               F.when(F.col("points").isNotNull(), F.col("_text")).alias("_text")), "work")
+    forget(points, *index.levels.values(), *index.repeated)
     release(spark)
     touched = work.where("points is not null")
     folded = cut_lineage(segments(touched, min_len, True).groupBy("head", "left", "sid", "seg").agg(F.count(F.lit(1)).alias("n")), "folded")
     release(spark)
     variety = folded.groupBy("head").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times"))
-    few = variety.where((F.col("kinds") <= TOGETHER) & (F.col("times") > 1)).select(F.col("head").alias("_h"))
-    many = variety.where(F.col("kinds") > TOGETHER).select(F.col("head").alias("_h"))
-    covered = cut_lineage(
-        compare_together(folded.join(few, F.col("head") == F.col("_h"), "left_semi"), min_len)
-        .unionByName(compare_strings(folded.join(many, F.col("head") == F.col("_h"), "left_semi"), min_len)), "covered")
+    variety = cut_lineage(variety.where("times > 1").select(F.col("head").alias("_h"), "kinds"), "variety")
+
+    def kinds(where):
+        return variety.where(where).select("_h")
+
+    one = (folded.where("n > 1").select("head", "sid", F.octet_length("seg").alias("z"))
+           .join(kinds("kinds = 1"), F.col("head") == F.col("_h"), "left_semi")
+           .select("head", "sid", F.array(F.struct(F.lit(0).alias("a"), "z")).alias("parts")))
+    few = folded.join(kinds(F.col("kinds").between(2, TOGETHER)), F.col("head") == F.col("_h"), "left_semi")
+    many = folded.join(kinds(F.col("kinds") > TOGETHER), F.col("head") == F.col("_h"), "left_semi")
+    covered = cut_lineage(one.unionByName(compare_together(few, min_len)).unionByName(compare_strings(many, min_len)), "covered")
+    forget(folded, variety)
     release(spark)
     spans = (segments(touched, min_len, False).join(covered.withColumnsRenamed({"head": "_h", "sid": "_s"}), F.expr("head = _h and sid = _s"))
              .select("row", F.explode("parts").alias("p"), "start")
@@ -277,5 +284,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                .mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     same = work.where("points is null").select(
         F.col("_id").alias(id_col), F.col("n_bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.lit(0).cast("long").alias("n_spans"), F.col("whole_sha").alias("kept_sha256"), F.encode("_text", "UTF-8").alias("kept"))
+        F.lit(0).cast("long").alias("n_spans"), F.col("whole_sha").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
     return changed.unionByName(same)
