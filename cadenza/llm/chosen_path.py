@@ -15,8 +15,10 @@ best partner of every document (large nodes are dealt into leaves at random,
 which joins a large group of near copies without comparing all its pairs);
 for every document the best pairs with each other component; and at last all
 pairs left between different components. Nodes that lie in one component are
-dropped; nodes still large are branched on, and what is large at the deepest
-level is compared block against block. No node is capped and no pair sampled.
+dropped. In a large node the documents outside its main component meet the
+whole node, block by block, if they are few; else the node is branched on, and
+at the deepest level they meet it in any case. No node is capped and no pair
+sampled.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, cut_lineage, min_label_components, release
+from .common import arrow_rows, cut_lineage, forget, min_label_components, release
 
 HASHES = 64
 TREES = 16
@@ -38,8 +40,10 @@ LEAF = 64
 DEPTH = 6
 #: A pair is confirmed if this many tokens of the sketch agree; a pair at 0.8 has fewer with a chance of 3e-7.
 AGREE = 34
-#: Round 2 confirms this many pairs of a document with each other component of a leaf.
-BEST = 8
+#: Round 2 confirms this many pairs of two components in a leaf.
+BEST = 4
+#: Documents outside the main component of a large node that are compared with the whole node at once.
+FEW = 256
 #: Characters per array computation.
 SLICE = 1 << 20
 
@@ -189,8 +193,8 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
     """Pairs ``(a, b)``, a < b, worth confirming in leaves ``(node, half, id, comp, n, sk)``: of different components, sizes
-    and sketches near enough. ``best`` > 0: only each document's best with every other component, so many of them
-    (with one-document components: its best overall). Where ``half`` is 1 and 2, only pairs between the halves."""
+    and sketches near enough. ``best`` = 1: only the best of each document; more: so many of each two components; 0:
+    all. Where ``half`` is 1 and 2, only pairs between the halves."""
     def run(batches):
         out: list[np.ndarray] = []
         size = 0
@@ -205,13 +209,17 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
             if not len(x):
                 continue
             if best:
-                # the best of every row and component: by agreement, ties to the smaller id
-                order = np.lexsort((ids[y], -agree[x, y], comp[y], x)) if best > 1 else np.lexsort((ids[y], -agree[x, y], x))
-                x, y = x[order], y[order]
-                new = np.ones(len(x), bool)
-                new[1:] = x[1:] != x[:-1]
-                if best > 1:
-                    new[1:] |= comp[y[1:]] != comp[y[:-1]]
+                # most agreement first, ties to the smaller ids; of each document, or of each two components
+                level = -agree[x, y]
+                if best == 1:
+                    first = np.lexsort((ids[y], level, x))
+                    x, y = x[first], y[first]
+                    new = np.append(True, x[1:] != x[:-1])
+                else:
+                    x, y, level = x[once := comp[x] < comp[y]], y[once], level[once]
+                    first = np.lexsort((ids[y], ids[x], level, comp[y], comp[x]))
+                    x, y = x[first], y[first]
+                    new = np.append(True, (comp[x[1:]] != comp[x[:-1]]) | (comp[y[1:]] != comp[y[:-1]]))[:len(x)]
                 begin = np.flatnonzero(new)
                 nth = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))
                 x, y = x[nth < best], y[nth < best]
@@ -249,30 +257,37 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
 
 def round_pairs(nodes: DataFrame, best: int, pct: int, deal: bool) -> DataFrame:
     """Candidate pairs of all nodes ``(node, id, comp, n, sk)``. Nodes within one component are dropped; large ones are
-    dealt at random (``deal``), or branched on and at the deepest level compared block against block."""
+    dealt at random (``deal``), or compared block by block with the documents outside their main component, or branched on."""
     found = []
     for depth in range(DEPTH + 1):
         about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
         nodes = cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).drop("_node"), "nodes")
         leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
-        found.append(leaf_pairs(leaves, best, pct))
+        found.append(cut_lineage(leaf_pairs(leaves, best, pct), "leaf-pairs"))
         large = nodes.where(F.col("rows") > LEAF)
         if large.limit(1).count() == 0:
             break
-        blocks = F.ceil(F.col("rows") / F.lit(LEAF // 2)).cast("int")
-        mine = F.pmod(F.xxhash64("id", "node"), blocks).cast("int")
         if deal:
             dealt = large.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("rows") / LEAF))))
             found.append(leaf_pairs(dealt.withColumn("half", F.lit(0)), best, pct))
             break
-        if depth == DEPTH:  # exact: every block of the node meets every block
-            cell = (large.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                    .withColumn("half", F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2))
-                    .withColumn("node", F.xxhash64("node", F.least("_mine", "_other"), F.greatest("_mine", "_other"))))
-            found.append(leaf_pairs(cell, best, pct))
+        # the main component of a large node needs no comparing with itself: the others meet all blocks of the node
+        main = (large.groupBy("node", "comp").count().groupBy(F.col("node").alias("_node"))
+                .agg(F.max(F.struct("count", F.col("comp").alias("main"))).alias("m")))
+        large = large.join(main, F.col("node") == F.col("_node")).withColumn("others", F.col("rows") - F.col("m.count"))
+        met = large if depth == DEPTH else large.where(F.col("others") <= FEW)
+        blocks, parts = F.ceil(F.col("rows") / LEAF).cast("int"), F.ceil(F.col("others") / FEW).cast("int")
+        block, part = F.pmod(F.xxhash64("id", "node"), blocks).cast("int"), F.pmod(F.xxhash64("node", "id"), parts).cast("int")
+        whole = met.select("node", "id", "comp", "n", "sk", F.lit(1).alias("half"), block.alias("_b"),
+                           F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
+        other = met.where(F.col("comp") != F.col("m.main")).select(
+            "node", "id", "comp", "n", "sk", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
+        cells = whole.unionByName(other)
+        found.append(cut_lineage(leaf_pairs(cells.withColumn("node", F.xxhash64("node", "_b", "_p")), best, pct), "cell-pairs"))
+        if depth == DEPTH:
             break
-        nodes = _children(large.drop("rows"), depth)
+        nodes = _children(large.where(F.col("others") > FEW).select("node", "id", "comp", "n", "sk"), depth)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
