@@ -6,7 +6,8 @@ distance: for each of the document's own most frequent n-grams, how far its
 rank lies from the profile's, the full profile length where it is missing.
 
 Learning counts n-grams on a bounded sample per language (``FIT_DOCS``), the
-rows with the smallest hash of their id. Prediction reads every whole text, in
+rows with the smallest hash of their id (a bounded list of ids is broadcast to
+the scan that reads their texts). Prediction reads every whole text, in
 place, with no shuffle.
 """
 
@@ -76,8 +77,11 @@ def learn_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"))
+    # ranked without the texts; the chosen ids, at most fit_docs per language, then pick their texts in the scan
     pick = Window.partitionBy("_lang").orderBy("_h", "_id")
-    sample = rows.withColumn("_rank", F.row_number().over(pick)).where(F.col("_rank") <= fit_docs)
+    chosen = (rows.select("_lang", "_h", "_id").withColumn("_rank", F.row_number().over(pick)).where(F.col("_rank") <= fit_docs)
+              .select(F.col("_lang").alias("_l"), F.col("_id").alias("_i")).distinct())
+    sample = rows.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_lang") == F.col("_l")), "left_semi")
     sample = sample.repartition(2 * sample.sparkSession.sparkContext.defaultParallelism, "_h")
 
     def make():
