@@ -131,8 +131,7 @@ def register_first_by_name(regs: DataFrame, order: list[str]) -> DataFrame:
                       message.alias("message"))
 
 
-def register_two_keys(regs: DataFrame, order: list[str], existing: DataFrame | None = None,
-                      max_rounds: int | None = None) -> tuple[DataFrame, int]:
+def register_two_keys(regs: DataFrame, order: list[str], existing: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Greedy in arrival order with unique username and unique email.
 
     Round: (1) refuse undecided rows whose username or email is taken by an
@@ -159,8 +158,6 @@ def register_two_keys(regs: DataFrame, order: list[str], existing: DataFrame | N
         if undecided.isEmpty():
             break
         rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
-            raise RuntimeError(f"registration needs more than {max_rounds} rounds")
         first_u = undecided.groupBy("username").agg(F.min("_seq").alias("_seq"))
         first_e = undecided.groupBy("email").agg(F.min("_seq").alias("_seq"))
         won = cut_lineage(first_u.join(first_e, "_seq"))

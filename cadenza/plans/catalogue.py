@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, read_table, spread
+from ..session import read_table, spread
 
 # The ten genre codes of the genre model, in the order the rule
 # below indexes them, and the five mood cluster names.
@@ -54,9 +54,9 @@ def songs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     # the fact rows stream through; each dimension is broadcast only when its
     # estimated size is within the broadcast threshold (shuffle joins otherwise)
-    j = (li.join(broadcast_if_small(od), li.l_orderkey == od.o_orderkey)
-         .join(broadcast_if_small(cu), F.col("o_custkey") == cu.c_custkey)
-         .join(broadcast_if_small(pa), li.l_partkey == pa.p_partkey))
+    j = (li.join(od, li.l_orderkey == od.o_orderkey)
+         .join(cu, F.col("o_custkey") == cu.c_custkey)
+         .join(pa, li.l_partkey == pa.p_partkey))
     dance = F.col("l_discount") * 10 + F.lit(0.0)
     acoustic = F.col("l_tax") / F.lit(0.08)
     aggressive = F.col("l_quantity") / F.lit(50.0)

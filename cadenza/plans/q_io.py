@@ -21,7 +21,7 @@ def q_sink_replace(spark, sf):
     """Write twice in replace mode (the second replaces the first), read back."""
     path = scratch_path(spark, "replace")
     cu = read_table(spark, sf, "customer")
-    sinks.write_replace(cu.limit(0), path)
+    sinks.write_replace(cu.withColumn("c_acctbal", -cu["c_acctbal"]), path)
     sinks.write_replace(cu, path)
     return sinks.read_back(spark, path)
 

@@ -29,11 +29,11 @@ SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
 
 @query("trigram_set", f"""
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_trigrams, array_to_string(list_sort(t), '|') AS trigrams
-FROM (SELECT doc_id, {duck_trigram_set('lines[1]')} AS t FROM ({DOC_LINES_SQL}))
+FROM (SELECT doc_id, {duck_trigram_set('text')} AS t FROM documents)
 """)
 def q_trigram_set(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", F.get(_lines("text"), 0).alias("first"))
-    t = d.select("doc_id", trigram_set(F.col("first")).alias("t"))
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    t = d.select("doc_id", trigram_set(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_trigrams"),
                     F.array_join(F.array_sort("t"), "|").alias("trigrams"))
 

@@ -35,13 +35,8 @@ def r6(c: Column | str) -> Column:
 
 
 def load_all() -> None:
-    from . import q_search, q_vectors  # noqa: F401
-    for mod in ("q_text", "q_features", "q_ingest", "q_sessions", "q_io", "q_model", "q_stream"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # family not built yet
-            if mod not in str(e):
-                raise
+    from . import (q_features, q_ingest, q_io, q_model, q_search, q_sessions, q_stream,  # noqa: F401
+                   q_text, q_vectors)
 
 
 def sql_str(s: str) -> str:

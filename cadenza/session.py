@@ -9,6 +9,7 @@ as in tests on one machine.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -137,6 +138,27 @@ def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
     return df.repartition(target, *by) if by else df.repartition(target)
 
 
+def _application(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that jobs run from any folder."""
+    sc = _context(spark)
+    if sc is None or sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(here):  # else the package already comes from an archive
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cadenza-"), "cadenza"), "zip",
+                                   os.path.dirname(here), os.path.basename(here))
+        sc.addPyFile(made)
+    _SHIPPED.add(sc.applicationId)
+
+
 _MATERIALISED: dict[tuple, DataFrame] = {}
 
 
@@ -156,7 +178,7 @@ def materialised(spark: SparkSession, name: str, inputs: list[str], build) -> Da
     """A table written once per session and read by later queries (like a
     stored table the application loads once). The key includes the input
     files' sizes and modification times, so changed inputs rebuild it."""
-    key = (id(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(inputs))
     if key not in _MATERIALISED:
         _MATERIALISED[key] = cut_lineage(build(), name)
     return _MATERIALISED[key]
@@ -168,20 +190,8 @@ _WRITTEN: dict[tuple, str] = {}
 def written_once(spark: SparkSession, name: str, inputs: list[str], write) -> str:
     """Like :func:`materialised` for data kept as files (``write()`` returns
     the path it wrote)."""
-    key = (id(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(inputs))
     if key not in _WRITTEN:
         _WRITTEN[key] = write()
     return _WRITTEN[key]
 
-
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint only when the optimizer's size estimate is within
-    ``spark.sql.autoBroadcastJoinThreshold`` (a checked bound); otherwise the
-    planner keeps its shuffle join and AQE may still switch at run time."""
-    try:
-        limit = int(str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
-                    .lower().replace("b", ""))
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no plan statistics available: no hint
-        return df
-    return F.broadcast(df) if 0 < size <= limit else df

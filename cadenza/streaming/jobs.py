@@ -35,11 +35,9 @@ from ..operators.quality import dedup_first
 from ..sources import json_ingest as J
 
 
-def _run(writer, timeout_s: float = 600.0):
+def _run(writer):
     q = writer.trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout_s):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return q
