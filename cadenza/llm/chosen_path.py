@@ -5,7 +5,8 @@ tokens. Independent trees branch the documents by chosen tokens: a node picks
 one or two positions of the sketch and deals its documents to children by their
 tokens there. Nodes of at most ``LEAF`` documents are compared exhaustively on
 their sketches; pairs that may reach the threshold are confirmed on the full
-sets. A pair at the threshold is separated in one tree with probability under
+sets. A second sketch, the least hash of the set in each of ``BINS`` ranges, tells
+links from pairs just below the threshold (it holds nearly all of a small set). A pair at the threshold is separated in one tree with probability under
 0.2 per level, so ``TREES`` trees miss it with a probability below 1e-7.
 
 Only connected components are wanted, so pairs inside one component need no
@@ -40,6 +41,10 @@ LEAF = 64
 DEPTH = 6
 #: A pair is confirmed if this many tokens of the sketch agree; a pair at 0.8 has fewer with a chance of 3e-7.
 AGREE = 34
+#: Ranges of the second sketch, and standard deviations by which a pair may fall short of the threshold there: a pair at
+#: it falls shorter with a chance of 1e-7.
+BINS = 512
+SHORT = 5.2
 #: Round 2 confirms this many pairs of two components in a leaf.
 BEST = 4
 #: Documents outside the main component of a large node that are compared with the whole node at once.
@@ -118,13 +123,40 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (out >> _U(16)).astype(np.uint32)
 
 
+def bin_sketch(s: np.ndarray) -> np.ndarray:
+    """Of a sorted set of hashes, 8 bits of the least one in each of ``BINS`` equal ranges of values; 0 where there is none."""
+    out = np.zeros(BINS, np.uint8)
+    where = s >> _U(64 - BINS.bit_length() + 1)
+    first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+    out[where[first].astype(np.int64)] = 1 + _scramble(s[first]) % _U(255)
+    return out
+
+
+def may_link(f: np.ndarray, g: np.ndarray, n: np.ndarray, m: np.ndarray, pct: int) -> np.ndarray:
+    """Whether pairs of sets with bin sketches ``f`` and ``g`` and sizes ``n`` and ``m`` may reach the threshold.
+
+    Ranges that either set has anything in are draws, without replacement, from the union; at the threshold that holds
+    at most (n + m) / (1 + pct / 100) shingles."""
+    out = np.empty(len(f), bool)
+    t = pct / 100
+    for at in range(0, len(f), 4096):
+        z = slice(at, at + 4096)
+        a, b = f[z], g[z]
+        drawn = ((a | b) != 0).sum(1)
+        equal = ((a == b) & (a != 0)).sum(1)
+        union = np.maximum((n[z] + m[z]) / (1 + t), drawn)
+        spread = np.sqrt(t * (1 - t) * drawn * (1 - drawn / (union + 1)))
+        out[z] = equal >= t * drawn - SHORT * spread - 1
+    return out
+
+
 def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], names=schema.names)
 
 
 def sketch_documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, n, key, tokens)``: size, 128-bit digest and minwise tokens of each document's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary())])
+    """``(doc_id, n, key, tokens, bins)``: size, 128-bit digest, minwise tokens and bin sketch of each document's set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary()), ("bins", pa.binary())])
 
     def run(batches):
         for rows in arrow_rows(batches):
@@ -132,11 +164,11 @@ def sketch_documents(docs: DataFrame, words: int, id_col: str, text_col: str) ->
             for r in rows:
                 s = shingle_set(r["_text"], words)
                 out.append((r["_id"], len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None,
-                            sketch(s).tobytes() if len(s) else None))
+                            sketch(s).tobytes() if len(s) else None, bin_sketch(s).tobytes() if len(s) else None))
             yield _batch(zip(*out), schema)
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "doc_id long, n long, key binary, tokens binary")
+        run, "doc_id long, n long, key binary, tokens binary, bins binary")
 
 
 def _hash(*parts) -> np.ndarray:
@@ -181,7 +213,8 @@ def _groups(batches, columns: list[str]):
 
 
 def _split(t: pa.Table):
-    cols = {c: (t[c].to_numpy() if c != "sk" else np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, HASHES))
+    wide = {"sk": HASHES, "bins": BINS}
+    cols = {c: (t[c].to_numpy() if c not in wide else np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, wide[c]))
             for c in t.column_names}
     edge = np.flatnonzero(np.diff(cols["node"])) + 1
     for a, z in zip([0, *edge.tolist()], [*edge.tolist(), t.num_rows]):
@@ -192,25 +225,31 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, worth confirming in leaves ``(node, half, id, comp, n, sk)``: of different components, sizes
-    and sketches near enough. ``best`` = 1: only the best of each document; more: so many of each two components; 0:
+    """Pairs ``(a, b)``, a < b, worth confirming in leaves ``(node, half, id, comp, n, sk, bins)``: of different components,
+    sizes and sketches near enough. ``best`` = 1: only the best of each document; more: so many of each two components; 0:
     all. Where ``half`` is 1 and 2, only pairs between the halves."""
     def run(batches):
         out: list[np.ndarray] = []
         size = 0
-        for g in _groups(batches, ["node", "half", "id", "comp", "n", "sk"]):
+        for g in _groups(batches, ["node", "half", "id", "comp", "n", "sk", "bins"]):
             ids, comp, n, half = g["id"], g["comp"], g["n"], g["half"]
-            agree = (g["sk"][:, None, :] == g["sk"][None, :, :]).sum(2)
-            near = (agree >= AGREE) & (comp[:, None] != comp[None, :])
-            near &= 100 * np.minimum(n[:, None], n[None, :]) >= pct * np.maximum(n[:, None], n[None, :])
-            if half.any():
-                near &= half[:, None] != half[None, :]
+            p, q = (np.flatnonzero(half == 1), np.flatnonzero(half == 2)) if half.any() else (np.arange(len(ids)),) * 2
+            agree = (g["sk"][p][:, None, :] == g["sk"][q][None, :, :]).sum(2)
+            near = (agree >= AGREE) & (comp[p][:, None] != comp[q][None, :])
+            near &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= pct * np.maximum(n[p][:, None], n[q][None, :])
+            if not half.any():
+                near = np.triu(near)
             x, y = np.nonzero(near)
+            level = -agree[x, y]
+            x, y = p[x], q[y]
+            keep = may_link(g["bins"][x], g["bins"][y], n[x], n[y], pct)
+            x, y, level = x[keep], y[keep], level[keep]
             if not len(x):
                 continue
+            if best:  # each pair from both sides
+                x, y, level = np.append(x, y), np.append(y, x), np.append(level, level)
             if best:
                 # most agreement first, ties to the smaller ids; of each document, or of each two components
-                level = -agree[x, y]
                 if best == 1:
                     first = np.lexsort((ids[y], level, x))
                     x, y = x[first], y[first]
@@ -234,7 +273,7 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
             p = np.concatenate(out)
             yield _batch((p[:, 0], p[:, 1]), _PAIRS)
 
-    return (leaves.select("node", "half", "id", "comp", "n", "sk").repartition("node").sortWithinPartitions("node")
+    return (leaves.select("node", "half", "id", "comp", "n", "sk", "bins").repartition("node").sortWithinPartitions("node")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -256,13 +295,16 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def round_pairs(nodes: DataFrame, best: int, pct: int, deal: bool) -> DataFrame:
-    """Candidate pairs of all nodes ``(node, id, comp, n, sk)``. Nodes within one component are dropped; large ones are
+    """Candidate pairs of all nodes ``(node, id, comp, n, sk, bins)``. Nodes within one component are dropped; large ones are
     dealt at random (``deal``), or compared block by block with the documents outside their main component, or branched on."""
-    found = []
+    found, held = [], None
     for depth in range(DEPTH + 1):
         about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
         nodes = cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).drop("_node"), "nodes")
+        if held is not None:
+            forget(held)
+        held = nodes
         leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
         found.append(cut_lineage(leaf_pairs(leaves, best, pct), "leaf-pairs"))
         large = nodes.where(F.col("rows") > LEAF)
@@ -279,19 +321,21 @@ def round_pairs(nodes: DataFrame, best: int, pct: int, deal: bool) -> DataFrame:
         met = large if depth == DEPTH else large.where(F.col("others") <= FEW)
         blocks, parts = F.ceil(F.col("rows") / LEAF).cast("int"), F.ceil(F.col("others") / FEW).cast("int")
         block, part = F.pmod(F.xxhash64("id", "node"), blocks).cast("int"), F.pmod(F.xxhash64("node", "id"), parts).cast("int")
-        whole = met.select("node", "id", "comp", "n", "sk", F.lit(1).alias("half"), block.alias("_b"),
+        whole = met.select("node", "id", "comp", "n", "sk", "bins", F.lit(1).alias("half"), block.alias("_b"),
                            F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
         other = met.where(F.col("comp") != F.col("m.main")).select(
-            "node", "id", "comp", "n", "sk", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
+            "node", "id", "comp", "n", "sk", "bins", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
         cells = whole.unionByName(other)
         found.append(cut_lineage(leaf_pairs(cells.withColumn("node", F.xxhash64("node", "_b", "_p")), best, pct), "cell-pairs"))
         if depth == DEPTH:
             break
-        nodes = _children(large.where(F.col("others") > FEW).select("node", "id", "comp", "n", "sk"), depth)
+        nodes = _children(large.where(F.col("others") > FEW).select("node", "id", "comp", "n", "sk", "bins"), depth)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    pairs = cut_lineage(out.distinct(), "pairs")
+    forget(held, *(found if not deal else found[:1]))
+    return pairs
 
 
 class _Sets:
@@ -355,9 +399,9 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     spark = docs.sparkSession
     base = cut_lineage(sketch_documents(docs, words, id_col, text_col), "sketches")
     linked = base.where("n > 0 and doc_id is not null")
-    classes = cut_lineage(linked.groupBy("key", "n", "tokens").agg(F.min("doc_id").alias("id")), "classes")
+    classes = cut_lineage(linked.groupBy("key", "n", "tokens", "bins").agg(F.min("doc_id").alias("id")), "classes")
     low = F.udf(lambda t: bytes(np.frombuffer(t, np.uint32).astype(np.uint8)), T.BinaryType())
-    about = cut_lineage(classes.select("id", "n", low("tokens").alias("sk")), "class-sketches")
+    about = cut_lineage(classes.select("id", "n", low("tokens").alias("sk"), "bins"), "class-sketches")
     first = first_nodes(classes)
     shared = first.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"))
     tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node")).select("node", "id"), "tree")
@@ -373,10 +417,9 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         else:
             nodes = (nodes.join(comp.select(F.col("node").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
                      .withColumn("comp", F.coalesce("component", "id")).drop("_id", "component"))
-        pairs = round_pairs(nodes.select("node", "id", "comp", "n", "sk"), best, pct, deal)
+        pairs = round_pairs(nodes.select("node", "id", "comp", "n", "sk", "bins"), best, pct, deal)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
+            pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), "new-pairs")
         release(spark)
         if pairs.limit(1).count() == 0:
             continue

@@ -1,5 +1,6 @@
 """Exact, suffix and chosen-path dedup against brute force, with the edge cases of their docstrings."""
 
+import numpy as np
 import hashlib
 import random
 
@@ -138,3 +139,26 @@ def test_sync_points_of_long_texts_cover_every_start(monkeypatch):
         monkeypatch.setattr(suffix_dedup, "SLICE", size)
         starts = sorted(s for _, a, z, _ in suffix_dedup.sync_points(data) for x, y in zip(a, z) for s in range(x, y + 1))
         assert starts == list(range(len(data) - 200 + 1))
+
+
+def test_bin_sketch_keeps_links_and_drops_clear_non_links():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 5, 30, 400, 3000, 40_000):
+        both = -(-8 * n // 10)  # at the threshold: 0.8 of the union is shared
+        rest = n - both
+        f, g, fn, gn, far = [], [], [], [], []
+        for _ in range(60):
+            h = rng.integers(0, 1 << 63, n + 2 * n, dtype=np.uint64) * np.uint64(2)
+            cut = rest // 2
+            a, b = np.unique(h[:both + cut]), np.unique(np.concatenate((h[:both], h[both + cut:n])))
+            f.append(chosen_path.bin_sketch(a))
+            g.append(chosen_path.bin_sketch(b))
+            fn.append(len(a))
+            gn.append(len(b))
+            far.append(chosen_path.bin_sketch(np.unique(np.concatenate((a[:len(a) // 3], h[n:n + len(a) - len(a) // 3])))))
+        f, g, far = np.array(f), np.array(g), np.array(far)
+        fn, gn = np.array(fn), np.array(gn)
+        assert chosen_path.may_link(f, g, fn, gn, 80).all()
+        if n >= 30:
+            assert not chosen_path.may_link(f, far, fn, fn, 80).any()
+    assert not len(chosen_path.may_link(f[:0], g[:0], fn[:0], gn[:0], 80))
