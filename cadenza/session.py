@@ -75,8 +75,8 @@ def broadcast_value(spark: SparkSession, value):
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and derived tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets one only where it is
-    unset (single-machine tests), never overriding a cluster's setting.
+    Reads ``spark.checkpoint.dir`` from the session; picks a temporary folder only
+    where it is unset on a local master, whose driver and tasks share one disk.
     """
     sc = _context(spark)
     if sc is None:
@@ -91,6 +91,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         conf = tempfile.mkdtemp(prefix="cadenza-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

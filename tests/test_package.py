@@ -30,3 +30,28 @@ def test_entry_without_the_llm_folder(tmp_path):
             "print('QUERIES', len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') for q in e.queries()))")
     done = _run(code, tmp_path)
     assert "QUERIES 64 61 False" in done.stdout, done.stderr[-2000:]
+
+
+def test_checkpoint_folder_is_not_machine_local_on_a_cluster():
+    import pytest
+
+    from cadenza.session import checkpoint_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        checkpoint_root(Session())
