@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.trigram import similarity_from_counts, trigram_set
+from .sessions import valid_requests
 
 DEFAULT_THRESHOLD = 0.25
 DEFAULT_LIMIT = 5
@@ -145,10 +146,11 @@ def fuzzy_search(queries: DataFrame, catalogue: DataFrame, limit: int = DEFAULT_
         "qid", F.col("rank").cast("bigint").alias("rank"), "id", *fields, "score")
 
 
-def search_replies(queries: DataFrame, results: DataFrame, qid_col: str = "qid") -> DataFrame:
-    """First reply per query, or the 'not in our database' reply when the
-    query has no hit (left join + coalesce)."""
+def search_replies(queries: DataFrame, results: DataFrame, qid_col: str = "qid", q_col: str = "q") -> DataFrame:
+    """First reply per query, the 'not in our database' reply when the query
+    has no hit (left join + coalesce), or the error for a missing query."""
     first = results.filter(F.col("rank") == 1).select(
         "qid", T.search_item(F.col("name"), F.col("artist")).alias("hit"))
-    return (queries.select(F.col(qid_col).alias("qid")).join(first, "qid", "left")
-            .select("qid", F.coalesce("hit", F.lit(T.SEARCH_NONE)).alias("reply")))
+    checked = valid_requests(queries.select(F.col(qid_col).alias("qid"), F.col(q_col).alias("query")))
+    return checked.join(first, "qid", "left").select(
+        "qid", F.coalesce("error", "hit", F.lit(T.SEARCH_NONE)).alias("reply"))

@@ -26,11 +26,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage, parallelism
+from ..session import cut_lineage
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,65 +78,27 @@ def _local_numbering(key: str, value: str | None):
     return run
 
 
-def _chunk_offsets(key_type: str):
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid")
-        out = []
-        cum_n, cum_runs, last_v, carry_len = 0, 0, None, 0
-        for r in pdf.itertuples(index=False):
-            cont = cum_n > 0 and bool(_same(np.array([r.first_v], dtype=object),
-                                            np.array([last_v], dtype=object))[0])
-            run_offset = cum_runs - 1 if cont else cum_runs
-            out.append((r.pid, r.k, cum_n, run_offset, carry_len if cont else 0))
-            carry_len = carry_len + r.n if (cont and r.runs == 1) else r.tail_len
-            cum_runs = run_offset + r.runs
-            cum_n += r.n
-            last_v = r.last_v
-        return pd.DataFrame(out, columns=["_pid", "k", "_pos_off", "_run_off", "_carry"])
-    return fix
-
-
-# A key is hot when it holds more rows than this and more than twice a fair
-# share per core; then one task per key would be a straggler.
-HOT_MIN_ROWS = 100_000
-
-
-def hottest_key_rows(df: DataFrame, key: str) -> tuple[int, int]:
-    """(rows of the largest key, all rows): one partial aggregate, two numbers
-    to the driver."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n").alias("mx"), F.sum("n").alias("tot")).first()
-    return int(r["mx"] or 0), int(r["tot"] or 0)
-
-
-def _window_form(df: DataFrame, key: str, order: Sequence[Column], value: str | None) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    out = df.withColumn("pos", F.row_number().over(w).cast("bigint"))
-    if value:
-        prev = F.lag(F.col(value)).over(w)
-        change = F.when((F.col("pos") == 1) | ~prev.eqNullSafe(F.col(value)), F.lit(1)).otherwise(F.lit(0))
-        out = out.withColumn("_chg", change).withColumn(
-            "run_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-            .cast("bigint"))
-        wr = Window.partitionBy(key, "run_no").orderBy(*order)
-        out = out.withColumn("pos_in_run", F.row_number().over(wr).cast("bigint")).drop("_chg")
-    return out
+def _chunk_offsets(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("pid")
+    out = []
+    cum_n, cum_runs, last_v, carry_len = 0, 0, None, 0
+    for r in pdf.itertuples(index=False):
+        cont = cum_n > 0 and bool(_same(np.array([r.first_v], dtype=object),
+                                        np.array([last_v], dtype=object))[0])
+        run_offset = cum_runs - 1 if cont else cum_runs
+        out.append((r.pid, r.k, cum_n, run_offset, carry_len if cont else 0))
+        carry_len = carry_len + r.n if (cont and r.runs == 1) else r.tail_len
+        cum_runs = run_offset + r.runs
+        cum_n += r.n
+        last_v = r.last_v
+    return pd.DataFrame(out, columns=["_pid", "k", "_pos_off", "_run_off", "_carry"])
 
 
 def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: str | None = None,
-                      partitions: int | None = None, strategy: str = "auto") -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """``df`` plus ``pos`` (and ``run_no``, ``pos_in_run`` when ``value`` is
-    given). ``order`` must be total within a key (end with a unique id).
-
-    ``strategy``: ``"window"`` (one task per key), ``"range"`` (hot keys
-    split over tasks), or ``"auto"``: measure the largest key first and take
-    the range form only when it is hot."""
-    if strategy == "auto":
-        mx, tot = hottest_key_rows(df, key)
-        fair = tot / max(1, parallelism(df.sparkSession))
-        strategy = "range" if mx > HOT_MIN_ROWS and mx > 2 * fair else "window"
-    if strategy == "window":
-        return _window_form(df, key, order, value)
+    given). ``order`` must be total within a key (end with a unique id). One
+    plan at every size: no key, however large, is held by one task."""
     sort = [F.col(key).asc_nulls_first(), *order]
     ranged = (df.repartitionByRange(partitions, *sort) if partitions
               else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
@@ -152,7 +114,7 @@ def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: s
         F.max_by(F.col("_lrpos"), F.col("_lpos")).alias("tail_len"))
     key_type = dict(df.dtypes)[key]
     offs = summ.groupBy("k").applyInPandas(
-        _chunk_offsets(key_type),
+        _chunk_offsets,
         f"_pid int, k {key_type}, _pos_off bigint, _run_off bigint, _carry bigint")
     j = local.join(offs, (local["_pid"] == offs["_pid"]) & local[key].eqNullSafe(offs["k"]))
     cols = [local[c] for c in df.columns] + [(F.col("_lpos") + F.col("_pos_off")).alias("pos")]

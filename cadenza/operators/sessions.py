@@ -1,6 +1,6 @@
 """Interaction state as bulk jobs over request and change logs.
 
-* Runs: a request continues the previous one of its session when the query
+* Runs: a valid request continues the previous one of its session when the query
   text is the same (gaps and islands: ``lag`` + running sum of changes).
 * Replay: the n-th request of a run gets the n-th result of its query; past
   the last result a closing reply.
@@ -25,14 +25,13 @@ from ..session import cut_lineage
 
 
 def request_runs(requests: DataFrame, session: str = "session_id", ts: str = "ts",
-                 rid: str = "request_id", query: str = "query", strategy: str = "auto") -> DataFrame:
+                 rid: str = "request_id", query: str = "query") -> DataFrame:
     """Adds ``run_no`` (1-based within the session) and ``pos`` (1-based
     within the run). Order within a session: ``ts`` then request id.
 
     Skew-safe: a session with a large share of all requests is split over
     tasks by range partitioning (see ``ordered``)."""
-    out = ordered_positions(requests, session, [F.col(ts).asc(), F.col(rid).asc()], value=query,
-                            strategy=strategy)
+    out = ordered_positions(requests, session, [F.col(ts).asc(), F.col(rid).asc()], value=query)
     return out.drop("pos").withColumnRenamed("pos_in_run", "pos")
 
 
@@ -42,7 +41,7 @@ def request_runs_window(requests: DataFrame, session: str = "session_id", ts: st
     kept as the reference the skew-safe form is tested against."""
     w = Window.partitionBy(session).orderBy(F.col(ts), F.col(rid))
     prev = F.lag(F.col(query)).over(w)
-    change = F.when(prev.isNull() | (prev != F.col(query)), F.lit(1)).otherwise(F.lit(0))
+    change = F.when((F.row_number().over(w) == 1) | ~prev.eqNullSafe(F.col(query)), F.lit(1)).otherwise(F.lit(0))
     runs = requests.withColumn("_chg", change).withColumn(
         "run_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     wr = Window.partitionBy(session, "run_no").orderBy(F.col(ts), F.col(rid))
@@ -81,9 +80,20 @@ def replay(runs: DataFrame, results: DataFrame, replies: Replies,
     return j.withColumn("reply", reply).drop("name", "artist")
 
 
+def replay_requests(requests: DataFrame, results: DataFrame, replies: Replies) -> DataFrame:
+    """Validation, runs and replies of a request log: a request without a query
+    gets the error and no position; it neither advances nor ends a run."""
+    checked = valid_requests(requests)
+    runs = request_runs(checked.where("valid").drop("valid", "error"))
+    answered = replay(runs, results, replies).select("request_id", "pos", "reply")
+    refused = checked.where("NOT valid").select(
+        "request_id", F.lit(None).cast("bigint").alias("pos"), F.col("error").alias("reply"))
+    return answered.unionByName(refused)
+
+
 def valid_requests(requests: DataFrame, query: str = "query") -> DataFrame:
     """``valid`` flag and the error text for missing or empty queries."""
-    bad = missing_text(F.col(query))
+    bad = missing_text(F.col(query).cast("string"))
     return requests.withColumn("valid", ~bad).withColumn(
         "error", F.when(bad, F.lit(NO_QUERY)).otherwise(F.lit(None).cast("string")))
 
@@ -101,12 +111,10 @@ def playlist_state(adds: DataFrame, deletes: DataFrame) -> DataFrame:
     return adds.join(deletes.select("id").distinct(), "id", "left_anti")
 
 
-def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_at",
-                     strategy: str = "auto") -> DataFrame:
+def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
     """Per user, newest first (null times first), ties by id: ``pos`` 1..
     Skew-safe for a user holding a large share of all rows."""
-    return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()],
-                             strategy=strategy)
+    return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()])
 
 
 def playlist_listing_window(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:

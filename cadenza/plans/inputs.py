@@ -16,19 +16,44 @@ def event_k(col: str = "props"):
 DUCK_EVENT_K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
+# Fixed rules that make some derived requests hard (so every reply occurs): no
+# text, empty text, a text that nothing resembles, and users who keep asking
+# for one title (runs longer than the result list).
+NO_HIT_TEXT = "zqxwv jkqz"
+
+
+def asked_k():
+    """What an event asks for: ``props.k``, or always the same for every tenth user."""
+    return F.when(F.col("user_id") % 10 == 0, F.col("user_id")).otherwise(event_k())
+
+
+DUCK_ASKED_K = f"CASE WHEN user_id % 10 = 0 THEN user_id ELSE {DUCK_EVENT_K} END"
+
+
+def search_text():
+    """The request's text by the rules above, over ``event_id``, ``user_id``, ``p_name``
+    (null where the part asked for does not exist)."""
+    return (F.when(F.col("event_id") % 13 == 0, F.lit(None).cast("string"))
+            .when(F.col("event_id") % 11 == 0, F.lit(""))
+            .when((F.col("event_id") % 17 == 0) & (F.col("user_id") % 10 != 0), F.lit(NO_HIT_TEXT))
+            .otherwise(F.col("p_name")))
+
+
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log ``(request_id, session_id, ts, query)``: every event asks
-    for the part named by its ``props.k``."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", event_k().alias("k"))
+    for a part's name; null and empty texts and texts without a hit included."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", asked_k().alias("k"))
     pa = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return ev.join(pa, ev.k == pa.p_partkey).select(
+    return ev.join(pa, ev.k == pa.p_partkey, "left").select(
         F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"),
-        "ts", F.col("p_name").alias("query"))
+        "ts", search_text().alias("query"))
 
 
 SEARCH_REQUESTS_SQL = f"""
-SELECT event_id AS request_id, user_id AS session_id, ts, p_name AS query
-FROM events JOIN part ON p_partkey = {DUCK_EVENT_K}
+SELECT event_id AS request_id, user_id AS session_id, ts,
+       CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN ''
+            WHEN event_id % 17 = 0 AND user_id % 10 <> 0 THEN '{NO_HIT_TEXT}' ELSE p_name END AS query
+FROM events LEFT JOIN part ON p_partkey = {DUCK_ASKED_K}
 """
 
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.trigram import (duck_similarity, duck_trigram_set, register_sql_functions,
                                  similarity, trigram_set)
 from ..operators import fuzzy
+from ..operators.sessions import NO_QUERY
 from ..session import read_table, register_tables
 from .inputs import (PART_CATALOGUE_SQL, SEARCH_REQUESTS_SQL, part_catalogue, part_index,
                      search_requests)
@@ -18,15 +19,6 @@ from .registry import query, r6
 SEARCH_TEXT = "blue widget"
 
 
-def _lines(text_col):
-    return F.split(F.col(text_col), "\n")
-
-
-DOC_LINES_SQL = """
-SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
-"""
-
-
 @query("trigram_set", f"""
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_trigrams, array_to_string(list_sort(t), '|') AS trigrams
 FROM (SELECT doc_id, {duck_trigram_set('text')} AS t FROM documents)
@@ -38,14 +30,17 @@ def q_trigram_set(spark, sf):
                     F.array_join(F.array_sort("t"), "|").alias("trigrams"))
 
 
+_HALVES = "substr(text, 1, CAST(floor(length(text) / 2) AS INT))", "substr(text, CAST(floor(length(text) / 2) AS INT) + 1)"
+
+
 @query("trigram_similarity", f"""
-SELECT doc_id, round({duck_similarity('lines[1]', 'lines[len(lines)]')}, 6) AS sim
-FROM ({DOC_LINES_SQL})
+SELECT doc_id, round({duck_similarity('a', 'b')}, 6) AS sim
+FROM (SELECT doc_id, {_HALVES[0]} AS a, {_HALVES[1]} AS b FROM documents)
 """)
 def q_trigram_similarity(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", _lines("text").alias("lines"))
-    return d.select("doc_id", r6(similarity(F.get(F.col("lines"), 0),
-                                            F.element_at(F.col("lines"), -1))).alias("sim"))
+    """The first half of each whole text against the second."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.expr(_HALVES[0]).alias("a"), F.expr(_HALVES[1]).alias("b"))
+    return d.select("doc_id", r6(similarity(F.col("a"), F.col("b"))).alias("sim"))
 
 
 @query("trigram_postings", f"""
@@ -117,15 +112,15 @@ def q_fuzzy_search_asc(spark, sf):
     row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank
     FROM req JOIN hits ON req.query = hits.q)
 SELECT req.request_id AS qid,
-  coalesce('Here''s our closest song: ' || f.name || ' by ' || f.artist || '. Click again if this isn''t it!',
-           '{T.SEARCH_NONE}') AS reply
+  CASE WHEN coalesce(req.query, '') = '' THEN '{NO_QUERY}' ELSE coalesce('Here''s our closest song: ' || f.name || ' by ' || f.artist || '. Click again if this isn''t it!',
+           '{T.SEARCH_NONE}') END AS reply
 FROM req LEFT JOIN (SELECT * FROM firsts WHERE rank = 1) f ON req.request_id = f.qid
 """)
 def q_search_reply(spark, sf):
     req = search_requests(spark, sf)
     res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1, index=part_index(spark, sf),
                              qid_col="request_id", q_col="query")
-    return fuzzy.search_replies(req.withColumnRenamed("request_id", "qid"), res)
+    return fuzzy.search_replies(req, res, "request_id", "query")
 
 
 SEARCH_SQL = """

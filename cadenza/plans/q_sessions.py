@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..operators import fuzzy
 from ..operators import sessions as S
 from ..session import read_table
-from .inputs import (DUCK_EVENT_K, PART_CATALOGUE_SQL, PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL,
-                     SEARCH_REQUESTS_SQL, event_k, part_catalogue, playlist_adds,
+from .inputs import (DUCK_ASKED_K, DUCK_EVENT_K, PART_CATALOGUE_SQL, PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL,
+                     SEARCH_REQUESTS_SQL, asked_k, event_k, part_catalogue, playlist_adds,
                      playlist_deletes, search_requests, vectors, part_index)
 from .q_search import _duck_hits
 from .q_vectors import TOPK_SQL
@@ -27,11 +27,21 @@ def _duck_runs(src: str, session: str, ts: str, rid: str, q: str) -> str:
     return f"""
     SELECT *, CAST(row_number() OVER (PARTITION BY {session}, run_no ORDER BY {ts}, {rid}) AS BIGINT) AS pos FROM (
       SELECT *, CAST(sum(_chg) OVER ({w} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM (
-        SELECT *, CASE WHEN lag({q}) OVER ({w}) IS NULL OR lag({q}) OVER ({w}) <> {q} THEN 1 ELSE 0 END AS _chg
+        SELECT *, CASE WHEN row_number() OVER ({w}) = 1 OR lag({q}) OVER ({w}) IS DISTINCT FROM {q} THEN 1 ELSE 0 END AS _chg
         FROM ({src})))
     """
 
 
+def _duck_refused(src: str) -> str:
+    """Requests without a query: the error, no position."""
+    return (f"UNION ALL SELECT request_id, NULL AS pos, '{S.NO_QUERY}' AS reply "
+            f"FROM ({src}) WHERE coalesce(CAST(query AS VARCHAR), '') = ''")
+
+
+def _duck_valid(src: str) -> str:
+    return f"SELECT * FROM ({src}) WHERE coalesce(CAST(query AS VARCHAR), '') <> ''"
+
+
 @query("request_runs", "SELECT event_id, user_id, run_no, pos FROM ("
        + _duck_runs("SELECT event_id, user_id, ts, event_type FROM events", "user_id", "ts", "event_id",
                     "event_type") + ")")
@@ -44,11 +54,12 @@ def q_request_runs(spark, sf):
 
 @query("replay_requests", _duck_hits() + f"""
 , ranked AS (SELECT q, id, name, artist, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM hits),
-runs AS ({_duck_runs(SEARCH_REQUESTS_SQL, 'session_id', 'ts', 'request_id', 'query')})
+runs AS ({_duck_runs(_duck_valid(SEARCH_REQUESTS_SQL), 'session_id', 'ts', 'request_id', 'query')})
 SELECT request_id, runs.pos,
   CASE WHEN r.name IS NOT NULL THEN 'Here''s our closest song: ' || r.name || ' by ' || r.artist || '. Click again if this isn''t it!'
        WHEN runs.pos = 1 THEN {sql_str(T.SEARCH_NONE)} ELSE {sql_str(T.SEARCH_EXHAUSTED)} END AS reply
 FROM runs LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON runs.query = r.q AND runs.pos = r.rank
+{_duck_refused(SEARCH_REQUESTS_SQL)}
 """)
 def q_replay_requests(spark, sf):
     """Each search request's reply: the n-th of the top 5 results of its text,
@@ -56,9 +67,7 @@ def q_replay_requests(spark, sf):
     req = search_requests(spark, sf)
     hits = fuzzy.fuzzy_join(req, part_catalogue(spark, sf), q_col="query", index=part_index(spark, sf))
     top = fuzzy.rank_hits(hits, 5).join(part_catalogue(spark, sf), "id")
-    runs = S.request_runs(req)
-    out = S.replay(runs, top.select("q", "rank", "name", "artist"), S.SEARCH_REPLIES)
-    return out.select("request_id", "pos", "reply")
+    return S.replay_requests(req, top.select("q", "rank", "name", "artist"), S.SEARCH_REPLIES)
 
 
 @query("valid_requests", f"""
@@ -92,23 +101,43 @@ def q_playlist_list(spark, sf):
 
 
 def registrations(spark, sf):
-    """Sign-up log: ``(reg_id, ts, username, email)`` from signup events."""
+    """Sign-up log: ``(reg_id, ts, username, email)`` from signup events; some
+    lack the name, some have an empty e-mail address."""
     ev = read_table(spark, sf, "events").filter(F.col("event_type") == "signup")
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    email = F.concat(F.lit("e"), event_k().cast("string"), F.lit("@example.com"))
     return ev.select(F.col("event_id").alias("reg_id"), "ts",
-                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
-                     F.concat(F.lit("e"), event_k().cast("string"), F.lit("@example.com")).alias("email"))
+                     F.when(F.col("event_id") % 19 != 0, name).alias("username"),
+                     F.when(F.col("event_id") % 23 == 0, F.lit("")).otherwise(email).alias("email"))
 
 
 REGISTRATIONS_SQL = f"""
-SELECT event_id AS reg_id, ts, 'u' || CAST(user_id AS VARCHAR) AS username,
-       'e' || CAST({DUCK_EVENT_K} AS VARCHAR) || '@example.com' AS email
+SELECT event_id AS reg_id, ts, CASE WHEN event_id % 19 <> 0 THEN 'u' || CAST(user_id AS VARCHAR) END AS username,
+       CASE WHEN event_id % 23 = 0 THEN '' ELSE 'e' || CAST({DUCK_EVENT_K} AS VARCHAR) || '@example.com' END AS email
 FROM events WHERE event_type = 'signup'
 """
 
+
+def existing_users(spark, sf):
+    """Accounts from before the log: every 25th customer number."""
+    c = read_table(spark, sf, "customer").filter(F.col("c_custkey") % 25 == 0)
+    key = F.col("c_custkey").cast("string")
+    return c.select(F.concat(F.lit("u"), key).alias("username"),
+                    F.concat(F.lit("e"), key, F.lit("@example.com")).alias("email"))
+
+
+EXISTING_USERS_SQL = """
+SELECT 'u' || CAST(c_custkey AS VARCHAR) AS username, 'e' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email
+FROM customer WHERE c_custkey % 25 = 0
+"""
+
+_COMPLETE = "(coalesce(username, '') <> '' AND coalesce(email, '') <> '')"
+
 REGISTER_NAME_SQL = f"""
-SELECT reg_id, rn = 1 AS accepted,
-       CASE WHEN rn = 1 THEN '{S.REGISTERED}' ELSE '{S.TAKEN}' END AS message
-FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY ts, reg_id) AS rn FROM ({REGISTRATIONS_SQL}))
+SELECT reg_id, ok AND rn = 1 AS accepted,
+       CASE WHEN NOT ok THEN '{S.FILL_ALL}' WHEN rn = 1 THEN '{S.REGISTERED}' ELSE '{S.TAKEN}' END AS message
+FROM (SELECT *, {_COMPLETE} AS ok, row_number() OVER (PARTITION BY username, {_COMPLETE} ORDER BY ts, reg_id) AS rn
+      FROM ({REGISTRATIONS_SQL}))
 """
 
 
@@ -124,7 +153,7 @@ REGISTER_TWO_KEYS_SQL = f"""
 WITH RECURSIVE r AS (
   SELECT row_number() OVER (ORDER BY ts, reg_id) AS i, reg_id, username, email FROM ({REGISTRATIONS_SQL})),
 g(i, users, emails, won) AS (
-  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[]
+  SELECT 0::BIGINT, coalesce(list(username), []), coalesce(list(email), []), []::BIGINT[] FROM ({EXISTING_USERS_SQL})
   UNION ALL
   SELECT r.i,
     CASE WHEN ok THEN list_append(g.users, r.username) ELSE g.users END,
@@ -143,8 +172,8 @@ FROM r, fin
 
 @query("register_accept", REGISTER_TWO_KEYS_SQL)
 def q_register_accept(spark, sf):
-    """Unique username and unique email, first come wins (rounds)."""
-    out, _ = S.register_two_keys(registrations(spark, sf), ["ts", "reg_id"])
+    """Unique username and unique email among old and new users, first come wins (rounds)."""
+    out, _ = S.register_two_keys(registrations(spark, sf), ["ts", "reg_id"], existing_users(spark, sf))
     return out.select("reg_id", "username", "email", "accepted", "message")
 
 
@@ -152,35 +181,46 @@ def q_register_accept(spark, sf):
 WITH users AS (SELECT * FROM ({REGISTER_NAME_SQL}) a JOIN ({REGISTRATIONS_SQL}) r USING (reg_id) WHERE accepted)
 SELECT event_id, u.username IS NOT NULL AS found,
        CASE WHEN u.username IS NULL THEN '{S.USER_NOT_FOUND}' ELSE u.username END AS message
-FROM events LEFT JOIN users u ON u.username = 'u' || CAST(events.user_id AS VARCHAR)
+FROM events LEFT JOIN users u ON u.username = CASE WHEN event_id % 29 = 0 THEN 'nobody' ELSE 'u' || CAST(events.user_id AS VARCHAR) END
 WHERE event_type = 'view'
 """)
 def q_login_lookup(spark, sf):
-    """Each view event logs in as its user: first user row or 'not found'."""
+    """Each view event logs in as its user: first user row or 'not found' (some names are unknown)."""
     regs = registrations(spark, sf)
     users = S.register_first_by_name(regs, ["ts", "reg_id"]).filter("accepted")
     att = read_table(spark, sf, "events").filter(F.col("event_type") == "view").select(
-        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"))
+        "event_id", F.when(F.col("event_id") % 29 == 0, F.lit("nobody"))
+        .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("username"))
     return S.login_lookup(att, users).select("event_id", "found", "message")
 
 
 def vector_requests(spark, sf):
     """Recommendation request log: every event asks for the songs closest to
-    vector ``props.k`` (the encoded description)."""
-    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts", event_k().alias("k"))
-    return ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"),
-                     "ts", F.col("k").alias("query"))
+    a vector (the encoded description); some name none, or one that does not exist."""
+    ev = read_table(spark, sf, "events")
+    return ev.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"), "ts",
+                     F.when(F.col("event_id") % 13 == 0, F.lit(None).cast("bigint"))
+                     .when((F.col("event_id") % 17 == 0) & (F.col("user_id") % 10 != 0), F.lit(-1).cast("bigint"))
+                     .otherwise(asked_k()).alias("query"))
+
+
+VECTOR_REQUESTS_SQL = f"""
+SELECT event_id AS request_id, user_id AS session_id, ts,
+       CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 AND user_id % 10 <> 0 THEN -1
+            ELSE {DUCK_ASKED_K} END AS query
+FROM events
+"""
 
 
 @query("replay_recommend", TOPK_SQL + f"""
 , cat AS ({RECOMMEND_CATALOGUE_SQL}),
 res AS (SELECT qid, rank, name, artist FROM ranked JOIN cat ON ranked.id = cat.id WHERE rank <= 15),
-runs AS ({_duck_runs(f"SELECT event_id AS request_id, user_id AS session_id, ts, {DUCK_EVENT_K} AS query FROM events",
-                     'session_id', 'ts', 'request_id', 'query')})
+runs AS ({_duck_runs(_duck_valid(VECTOR_REQUESTS_SQL), 'session_id', 'ts', 'request_id', 'query')})
 SELECT request_id, runs.pos,
   CASE WHEN res.name IS NOT NULL THEN '- ' || res.name || ' by ' || res.artist
        WHEN runs.pos = 1 THEN {sql_str(T.RECOMMEND_NONE)} ELSE {sql_str(T.RECOMMEND_EXHAUSTED)} END AS reply
 FROM runs LEFT JOIN res ON runs.query = res.qid AND runs.pos = res.rank
+{_duck_refused(VECTOR_REQUESTS_SQL)}
 """)
 def q_replay_recommend(spark, sf):
     """Each recommendation request's reply: the n-th of the 15 closest songs
@@ -191,5 +231,4 @@ def q_replay_recommend(spark, sf):
     res = topk.topk_cosine(asked.select(F.col("id").alias("qid"), "vec"), v, k=15)
     top = recommend_lookup(res, recommend_catalogue(spark, sf)).select(
         F.col("qid").alias("q"), "rank", "name", "artist")
-    out = S.replay(S.request_runs(req), top, S.RECOMMEND_REPLIES)
-    return out.select("request_id", "pos", "reply")
+    return S.replay_requests(req, top, S.RECOMMEND_REPLIES)

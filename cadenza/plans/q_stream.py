@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 from ..operators import fuzzy
 from ..operators import sessions as S
 from ..streaming import jobs
-from .inputs import event_k, part_catalogue, vectors
+from .inputs import asked_k, part_catalogue, part_index, search_text, vectors
 from .q_features import DEDUP_ORDER
 from .q_ingest import KEPT_SQL, _OUT_SQL, _out, write_json_tree
 from .q_sessions import _duck_runs  # noqa: F401
 from .q_vectors import TOPK_SQL
 from .registry import ORACLE, query
 
+#: Files in a micro-batch: what bounds the work and the rows of one session in a batch.
+FILES_PER_BATCH = 64
+
 
 @query("stream_ingest", _OUT_SQL + f" FROM ({KEPT_SQL})")
 def q_stream_ingest(spark, sf):
     root = write_json_tree(spark, sf)
-    n_files = len(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*json")
-                  .text(root).inputFiles())
-    # two micro-batches: the second merges into the state of the first
-    return _out(jobs.ingest_stream(spark, root, DEDUP_ORDER,
-                                   max_files_per_trigger=max(1, (n_files + 1) // 2)))
+    return _out(jobs.ingest_stream(spark, root, DEDUP_ORDER, max_files_per_trigger=FILES_PER_BATCH))
 
 
 @query("stream_topk", TOPK_SQL + """
@@ -33,29 +32,30 @@ SELECT qid, CAST(rank AS BIGINT) AS rank, id, round(score, 6) AS score FROM rank
 def q_stream_topk(spark, sf):
     res = jobs.topk_stream(spark, sf, "embeddings.parquet",
                            "vec_id bigint, embedding array<float>, label int", "vec_id", "embedding",
-                           vectors(spark, sf), k=15)
+                           vectors(spark, sf), k=15, max_files_per_trigger=FILES_PER_BATCH)
     return res.select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def _request_stream(spark, sf):
     ev = (spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                                   "value double, props string")
-          .option("pathGlobFilter", "events.parquet").parquet(sf))
-    ev = ev.select("event_id", "user_id", "ts", event_k().alias("k"))
-    pa = part_catalogue(spark, sf).select(F.col("id").alias("k"), F.col("name").alias("query"))
-    return ev.join(pa, "k").select(F.col("event_id").alias("request_id"),
-                                   F.col("user_id").alias("session_id"), "ts", "query")
+          .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(sf))
+    ev = ev.select("event_id", "user_id", "ts", asked_k().alias("k"))
+    pa = part_catalogue(spark, sf).select(F.col("id").alias("k"), F.col("name").alias("p_name"))
+    return ev.join(pa, "k", "left").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"),
+                                           "ts", search_text().alias("query"))
 
 
 def q_stream_replay(spark, sf):
-    """Search replay with the per-session cursor kept in streaming state."""
-    req = _request_stream(spark, sf)
-    static_req = part_catalogue(spark, sf)
-    from .inputs import search_requests
-    hits = fuzzy.fuzzy_join(search_requests(spark, sf), static_req, q_col="query")
-    top = fuzzy.rank_hits(hits, 5).join(static_req, "id").select("q", "rank", "name", "artist")
-    out = jobs.replay_stream(spark, req, top, S.SEARCH_REPLIES)
-    return out.select("request_id", "pos", "reply")
+    """Search replay with the per-session cursor kept in streaming state; each micro-batch
+    searches the stored index for its own texts."""
+    parts, index = part_catalogue(spark, sf), part_index(spark, sf)
+
+    def search(requests):
+        hits = fuzzy.fuzzy_join(requests, parts, q_col="query", index=index)
+        return fuzzy.rank_hits(hits, 5).join(parts, "id").select("q", "rank", "name", "artist")
+
+    return jobs.replay_stream(spark, _request_stream(spark, sf), search, S.SEARCH_REPLIES)
 
 
 def _register_replay():

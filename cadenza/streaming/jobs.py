@@ -2,18 +2,19 @@
 
 Each gives the same rows as its batch form:
 
-* ``ingest_stream``: new JSON files -> the same flatten/validate -> streaming
-  ``dropDuplicates`` on the whole record (JVM state store) appends each
-  distinct record once to a Parquet sink; reading keeps the first per id by
-  the same partial aggregate as the batch form. Equal to the batch keep-first
-  whatever order the files arrive in.
+* ``ingest_stream``: new JSON files -> the same flatten/validate -> appended
+  to a Parquet sink, without state; reading keeps the first per id by the same
+  aggregate as the batch form, so repeated records fall out there. Equal to the
+  batch keep-first whatever order the files arrive in.
 * ``topk_stream``: request vectors arrive as a stream; each micro-batch is
-  scored against the static catalogue with the batch operator (its queries
-  are a bounded micro-batch, so the size check passes by construction) and
-  appended.
+  scored against the static catalogue with the batch operator.
 * ``replay_stream``: ``applyInPandasWithState`` keyed by session keeps
-  ``(last query, position)``; emitted positions are joined to the static
-  result lists. A hot session is bounded by the micro-batch size.
+  ``(last query, position)``; each micro-batch searches for its own texts and
+  picks the reply at its position. A task holds one session's rows of one
+  micro-batch, which ``max_files_per_trigger`` bounds.
+
+``foreachBatch`` steps write one folder per batch id, over whatever an attempt
+that failed had left, so that a repeated batch adds no row.
 
 All use file sources and sinks, checkpoints in the shared folder and the
 ``availableNow`` trigger (process what is there, then stop).
@@ -21,11 +22,12 @@ All use file sources and sinks, checkpoints in the shared folder and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators import sessions as S
@@ -47,9 +49,8 @@ def _run(writer):
 
 def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Validated records land once per distinct content (streaming
-    ``dropDuplicates`` on the whole record: JVM state store, append mode),
-    and the keyed table is the keep-first over what landed."""
+    """Validated records land once per arrival, append-only and without state (the sink keeps each
+    file's rows once), and the keyed table is the keep-first over what landed."""
     src = (spark.readStream.schema(J.record_schema())
            .option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*json")
@@ -60,15 +61,32 @@ def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
     good, _ = J.split_good(J.flatten(src.json(root).withColumn("_file", F.col("_metadata.file_path"))))
     good = good.drop("date", "_file")
-    landed = good.dropDuplicates(good.columns)
     base = scratch_path(spark, "ingest-stream")
-    _run(landed.writeStream.outputMode("append").format("parquet")
+    _run(good.writeStream.outputMode("append").format("parquet")
          .option("path", f"{base}/landed").option("checkpointLocation", f"{base}/_checkpoint"))
     return dedup_first(spark.read.schema(good.schema).parquet(f"{base}/landed"), "id", list(dedup_order))
 
 
+def _answer_batches(spark: SparkSession, stream: DataFrame, answer: Callable[[DataFrame], DataFrame],
+                    schema: str, base: str) -> DataFrame:
+    """Run the stream to its end; ``answer(batch)`` goes to a folder named by the batch id. Each
+    batch is written before it is answered, so that a stateful step runs once."""
+    def step(batch: DataFrame, epoch: int) -> None:
+        path = f"{base}/in/batch={epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        answer(spark.read.schema(batch.schema).parquet(path)).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+    names = T.StructType.fromDDL(schema).names
+    spark.createDataFrame([], schema).write.parquet(f"{base}/out/batch=-1")  # a stream without data has no batch
+    _run(stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/_checkpoint"))
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*names)
+
+
 # ---- X2 -----------------------------------------------------------------
 
+TOPK_OUT = "qid bigint, rank bigint, id bigint, score double"
+
+
 def topk_stream(spark: SparkSession, query_dir: str, query_glob: str, query_schema: str,
                 qid_col: str, qvec_col: str,
                 catalogue: DataFrame, k: int = TK.DEFAULT_K,
@@ -79,27 +97,27 @@ def topk_stream(spark: SparkSession, query_dir: str, query_glob: str, query_sche
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = src.option("pathGlobFilter", query_glob).parquet(query_dir).select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec"))
 
-    def score(batch: DataFrame, epoch: int) -> None:
-        res = TK.topk_cosine(batch, catalogue, k=k)
-        res.write.mode("append").parquet(f"{base}/out")
-
-    _run(stream.writeStream.foreachBatch(score).option("checkpointLocation", f"{base}/_checkpoint"))
-    return spark.read.schema("qid bigint, rank bigint, id bigint, score double").parquet(f"{base}/out")
+    return _answer_batches(spark, stream, lambda batch: TK.topk_cosine(batch, catalogue, k=k), TOPK_OUT, base)
 
 
 # ---- X3 -----------------------------------------------------------------
 
 CURSOR_OUT = "request_id bigint, session_id bigint, ts timestamp_ntz, query string, pos bigint"
+REPLAY_OUT = "request_id bigint, pos bigint, reply string"
 CURSOR_STATE = "last_query string, pos bigint, last_ts timestamp_ntz, last_id bigint"
 
 
 def _cursor(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Positions for one session's new requests, continuing the stored run.
-    A key's rows may come in several chunks: gathered before sorting."""
+    """Positions for one session's new requests, continuing the stored run. A request without a
+    query has none and leaves the run as it is. A key's rows may come in several chunks:
+    gathered before sorting."""
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
     last_q, pos, last_ts, last_id = (state.get if state.exists else (None, 0, None, None))
     out = []
     for r in rows.itertuples(index=False):
+        if pd.isna(r.query) or r.query == "":
+            out.append((r.request_id, r.session_id, r.ts, r.query, None))
+            continue
         if last_q is not None and r.query == last_q:
             pos += 1
         else:
@@ -107,17 +125,22 @@ def _cursor(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
         out.append((r.request_id, r.session_id, r.ts, r.query, pos))
         last_ts, last_id = r.ts, r.request_id
     state.update((last_q, int(pos), last_ts, int(last_id) if last_id is not None else None))
-    yield pd.DataFrame(out, columns=["request_id", "session_id", "ts", "query", "pos"])
+    yield pd.DataFrame(out, columns=["request_id", "session_id", "ts", "query", "pos"]).astype({"pos": "Int64"})
 
 
-def replay_stream(spark: SparkSession, requests: DataFrame, results: DataFrame,
+def replay_stream(spark: SparkSession, requests: DataFrame, search: Callable[[DataFrame], DataFrame],
                   replies: S.Replies = S.SEARCH_REPLIES) -> DataFrame:
-    """``requests`` is a streaming DataFrame ``(request_id, session_id, ts,
-    query)``; ``results`` a static ``(q, rank, name, artist)`` table."""
+    """``(request_id, pos, reply)``. ``requests`` is a streaming DataFrame ``(request_id,
+    session_id, ts, query)``; ``search(requests)`` gives ``(q, rank, name, artist)`` for
+    their texts and is called in every micro-batch, so texts never seen before are answered."""
     base = scratch_path(spark, "replay-stream")
     pos = requests.groupBy("session_id").applyInPandasWithState(
         _cursor, CURSOR_OUT, CURSOR_STATE, "append", "NoTimeout")
-    out = S.replay(pos, results, replies).select("request_id", "session_id", "query", "pos", "reply")
-    _run(out.writeStream.outputMode("append").format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/_checkpoint"))
-    return spark.read.parquet(f"{base}/out")
+
+    def answer(batch: DataFrame) -> DataFrame:
+        checked = S.valid_requests(batch)
+        asked = checked.where("valid")
+        replied = S.replay(asked, search(asked), replies).select("request_id", "pos", "reply")
+        return replied.unionByName(checked.where("NOT valid").select("request_id", "pos", F.col("error").alias("reply")))
+
+    return _answer_batches(spark, pos, answer, REPLAY_OUT, base)

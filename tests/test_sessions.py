@@ -102,7 +102,7 @@ def test_skew_safe_runs_equal_window_with_hot_session(spark):
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
     for df in (ev, hot, ev.withColumn("user_id", F.lit(5))):
         args = ("user_id", "ts", "event_id", "event_type")
-        a = S.request_runs(df.repartition(8), *args, strategy="range").select("event_id", "run_no", "pos")
+        a = S.request_runs(df.repartition(8), *args).select("event_id", "run_no", "pos")
         b = S.request_runs_window(df, *args).select("event_id", "run_no", "pos")
         assert _same_rows(a, b)
 
@@ -110,14 +110,45 @@ def test_skew_safe_runs_equal_window_with_hot_session(spark):
 def test_skew_safe_listing_equals_window(spark):
     from cadenza.plans.inputs import playlist_adds
     adds = playlist_adds(spark, SF001).withColumn("username", F.lit("hot"))
-    a = S.playlist_listing(adds, strategy="range").select("id", "pos")
+    a = S.playlist_listing(adds).select("id", "pos")
     b = S.playlist_listing_window(adds).select("id", "pos")
     assert _same_rows(a, b)
 
 
-def test_auto_strategy_picks_window_without_hot_key(spark):
-    from cadenza.operators.ordered import hottest_key_rows
-    from cadenza.session import read_table
-    ev = read_table(spark, SF001, "events")
-    mx, tot = hottest_key_rows(ev, "user_id")
-    assert tot == ev.count() and 0 < mx < tot
+def test_runs_with_nulls_agree_with_the_window_form(spark):
+    req = _requests(spark, [None, None, "a", None, "a", "a"])
+    a = S.request_runs(req).select("request_id", "run_no", "pos")
+    b = S.request_runs_window(req).select("request_id", "run_no", "pos")
+    assert _same_rows(a, b)
+    assert [(r["run_no"], r["pos"]) for r in b.orderBy("request_id").collect()] == [
+        (1, 1), (1, 2), (2, 1), (3, 1), (4, 1), (4, 2)]
+
+
+def test_request_without_query_does_not_touch_the_run(spark):
+    req = _requests(spark, ["A", None, "A", "", "A"])
+    out = S.replay_requests(req, _results(spark, {"A": 2}), S.SEARCH_REPLIES).orderBy("request_id").collect()
+    assert [o["pos"] for o in out] == [1, None, 2, None, 3]
+    assert out[1]["reply"] == out[3]["reply"] == S.NO_QUERY and out[4]["reply"] == S.SEARCH_REPLIES.exhausted
+
+
+@pytest.mark.parametrize("name, column, kinds", [
+    ("replay_requests", "reply", {S.NO_QUERY, S.SEARCH_REPLIES.none, S.SEARCH_REPLIES.exhausted}),
+    ("replay_recommend", "reply", {S.NO_QUERY, S.RECOMMEND_REPLIES.none, S.RECOMMEND_REPLIES.exhausted}),
+    ("search_reply", "reply", {S.NO_QUERY, S.SEARCH_REPLIES.none}),
+    ("valid_requests", "error", {S.NO_QUERY, None}),
+    ("register_unique_name", "message", {S.FILL_ALL, S.TAKEN, S.REGISTERED}),
+    ("register_accept", "message", {S.FILL_ALL, S.TAKEN, S.REGISTERED}),
+    ("login_lookup", "message", {S.USER_NOT_FOUND}),
+])
+def test_every_reply_occurs(spark, name, column, kinds):
+    from cadenza.plans import registry
+    registry.load_all()
+    seen = {r[0] for r in registry.QUERIES[name](spark, SF001).select(column).distinct().collect()}
+    assert kinds <= seen and (len(seen) > len(kinds) or name not in ("replay_requests", "replay_recommend", "search_reply"))
+
+
+def test_registration_against_existing_users(spark):
+    regs = _regs(spark, [("u1", "e1"), ("u2", "e2"), ("u3", "e3")])
+    old = spark.createDataFrame([("u1", "x"), ("y", "e2")], "username string, email string")
+    out, _ = S.register_two_keys(regs, ["ts", "reg_id"], old)
+    assert [r["accepted"] for r in out.orderBy("reg_id").collect()] == [False, False, True]
