@@ -54,23 +54,27 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Bin 1..bins of an equal-width histogram over [lo, hi]; the maximum goes
-    to the last bin; null when lo == hi (no width)."""
-    width = F.nullif(hi - lo, F.lit(0.0))
-    raw = F.floor((x - lo) / width * F.lit(float(bins))) + 1
-    return F.when(raw.isNull(), F.lit(None)).otherwise(F.least(raw, F.lit(bins))).cast("bigint")
+    to the last bin."""
+    raw = F.floor((x - lo) / (hi - lo) * F.lit(float(bins))) + 1
+    return F.least(raw, F.lit(bins)).cast("bigint")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """``(bin, lo, hi, n)``: counts per equal-width bin. The range is one
-    scalar subquery; the count is a partial aggregate per bin."""
+    """``(bin, lo, hi, n)``: counts per equal-width bin, empty bins included; nulls count nowhere.
+
+    One value only: the range reaches half a unit to each side. No value: null
+    borders and zero counts. The range is one scalar subquery; the count is a
+    partial aggregate per bin."""
     x = F.col(col).cast("double")
-    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("r")).scalar()
+    flat = F.when(F.min(x) == F.max(x), F.lit(0.5)).otherwise(F.lit(0.0))
+    rng = df.agg(F.struct((F.min(x) - flat).alias("lo"), (F.max(x) + flat).alias("hi")).alias("r")).scalar()
     lo, hi = rng["lo"], rng["hi"]
-    binned = df.select(equal_width_bin(x, lo, hi, bins).alias("bin"))
+    counts = (df.where(F.col(col).isNotNull()).select(equal_width_bin(x, lo, hi, bins).alias("bin"))
+              .groupBy("bin").agg(F.count(F.lit(1)).alias("_n")))
     width = (hi - lo) / F.lit(float(bins))
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(
-        "bin", (lo + (F.col("bin") - 1) * width).alias("lo"),
-        (lo + F.col("bin") * width).alias("hi"), "n")
+    each = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin")).join(counts, "bin", "left")
+    return each.select("bin", (lo + (F.col("bin") - 1) * width).alias("lo"), (lo + F.col("bin") * width).alias("hi"),
+                       F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def missing_text(c: Column) -> Column:

@@ -147,12 +147,14 @@ def q_key_violations(spark, sf):
 
 def _duck_hist(expr: str, src: str, bins: int) -> str:
     return f"""
-    SELECT bin, round(lo + (bin - 1) * (hi - lo) / {bins}.0, 6) AS lo,
-           round(lo + bin * (hi - lo) / {bins}.0, 6) AS hi, count(*) AS n
-    FROM (SELECT CAST(CASE WHEN hi = lo OR x IS NULL THEN NULL ELSE least(floor((x - lo) / (hi - lo) * {bins}.0) + 1, {bins}) END AS BIGINT) AS bin, lo, hi
-          FROM (SELECT CAST({expr} AS DOUBLE) AS x FROM {src}),
-               (SELECT min(CAST({expr} AS DOUBLE)) AS lo, max(CAST({expr} AS DOUBLE)) AS hi FROM {src}))
-    GROUP BY bin, lo, hi
+    WITH v AS (SELECT CAST({expr} AS DOUBLE) AS x FROM {src}),
+    r AS (SELECT min(x) - CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS lo,
+                 max(x) + CASE WHEN min(x) = max(x) THEN 0.5 ELSE 0 END AS hi FROM v),
+    c AS (SELECT CAST(least(floor((x - lo) / (hi - lo) * {bins}.0) + 1, {bins}) AS BIGINT) AS bin, count(*) AS n
+          FROM v, r WHERE x IS NOT NULL GROUP BY 1)
+    SELECT b.bin, round(lo + (b.bin - 1) * ((hi - lo) / {bins}.0), 6) AS lo,
+           round(lo + b.bin * ((hi - lo) / {bins}.0), 6) AS hi, coalesce(c.n, 0) AS n
+    FROM range(1, {bins} + 1) b(bin) CROSS JOIN r LEFT JOIN c ON c.bin = b.bin
     """
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import json_ingest as J
-from ..session import read_table, scratch_path, spread, written_once
+from ..session import read_table, scratch_path, written_once
 from ..operators import quality as Q
 from .catalogue import SCORE_COLUMNS, SONGS_RAW_SQL, songs_raw
 from .q_features import DEDUP_ORDER, _REST
@@ -73,7 +73,7 @@ def _write_json_tree(spark, sf) -> str:
         F.when(_null_gender(), F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
     )
     path = scratch_path(spark, "json-tree")
-    (spread(J.to_records(dirty, extra=["l_returnflag", "l_linestatus", "id"]), "id").drop("id")
+    (J.to_records(dirty, extra=["l_returnflag", "l_linestatus"])
      .write.partitionBy("l_returnflag", "l_linestatus").json(path))
     return path
 

@@ -56,7 +56,7 @@ def q_delete_by_key(spark, sf):
 
 
 POSITIONAL_SQL = """
-SELECT row_number() OVER (ORDER BY ts DESC, event_id) AS pos, event_id AS id, ts AS added_at
+SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS pos, event_id AS id, ts AS added_at
 FROM events WHERE user_id = ? AND event_type = ?
 """
 

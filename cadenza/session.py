@@ -51,14 +51,6 @@ def _context(spark: SparkSession):
         return None
 
 
-def parallelism(spark: SparkSession) -> int:
-    sc = _context(spark)
-    if sc is not None:
-        return sc.defaultParallelism
-    conf = spark.conf.get("spark.default.parallelism", None)
-    return int(conf) if conf else (os.cpu_count() or 8)
-
-
 class _Held:
     """Stands in for a broadcast variable where there is no SparkContext: the
     value travels with the task closure (callers bound its size first)."""
@@ -124,22 +116,6 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, *by, factor: int = 1) -> DataFrame:
-    """Spread over the cluster's cores when the input has fewer partitions
-    than that (a scan of a few large row groups), before CPU-heavy per-row
-    work. Hash partitioning on ``by`` (a row key) is repeatable without the
-    row sort a round-robin repartition needs. A large input already has more
-    splits than cores and is left as it is, so this adds no shuffle at scale."""
-    target = parallelism(df.sparkSession) * factor
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
-        return df
-    if n >= target:
-        return df
-    return df.repartition(target, *by) if by else df.repartition(target)
-
-
 def _application(spark: SparkSession) -> str:
     sc = _context(spark)
     return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", str(id(spark)))
@@ -164,23 +140,19 @@ def ship_package(spark: SparkSession) -> None:
 _MATERIALISED: dict[tuple, DataFrame] = {}
 
 
-def _input_stamp(inputs: list[str]) -> tuple:
-    stamp = []
-    for p in inputs:
-        local = p[len("file:"):] if p.startswith("file:") else p
-        try:
-            st = os.stat(local)
-            stamp.append((p, st.st_size, st.st_mtime_ns))
-        except OSError:
-            stamp.append((p, None, None))
-    return tuple(stamp)
+def _input_stamp(spark: SparkSession, inputs: list[str]) -> tuple:
+    """Count, bytes, newest time and name hash of the input files, listed by Spark
+    wherever it can read (the contents are not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"),
+                           F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
 def materialised(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
     """A table written once per session and read by later queries (like a
     stored table the application loads once). The key includes the input
     files' sizes and modification times, so changed inputs rebuild it."""
-    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(spark, inputs))
     if key not in _MATERIALISED:
         _MATERIALISED[key] = cut_lineage(build(), name)
     return _MATERIALISED[key]
@@ -192,7 +164,7 @@ _WRITTEN: dict[tuple, str] = {}
 def written_once(spark: SparkSession, name: str, inputs: list[str], write) -> str:
     """Like :func:`materialised` for data kept as files (``write()`` returns
     the path it wrote)."""
-    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(inputs))
+    key = (_application(spark), checkpoint_root(spark), name, _input_stamp(spark, inputs))
     if key not in _WRITTEN:
         _WRITTEN[key] = write()
     return _WRITTEN[key]

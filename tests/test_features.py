@@ -43,9 +43,9 @@ def test_dedup_first_total_order(spark):
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(x),) for x in [0, 1, 2, 3, 4, 10]], "x double")
     h = {r["bin"]: r["n"] for r in Q.histogram(df, "x", 5).collect()}
-    assert h == {1: 2, 2: 2, 3: 1, 5: 1}  # the maximum goes to the last bin
+    assert h == {1: 2, 2: 2, 3: 1, 4: 0, 5: 1}  # the maximum goes to the last bin
     const = spark.createDataFrame([(1.0,), (1.0,)], "x double")
-    assert [r["bin"] for r in Q.histogram(const, "x", 5).collect()] == [None]
+    assert sorted((r["bin"], r["n"], r["lo"]) for r in Q.histogram(const, "x", 2).collect()) == [(1, 0, 0.5), (2, 2, 1.0)]
 
 
 def test_key_check_raises(spark):
