@@ -20,6 +20,12 @@ from .registry import ORACLE, query
 FILES_PER_BATCH = 64
 
 
+def stream_path(sf: str, table: str) -> str:
+    """The table as a stream's source, one file or a folder of part files. A pattern that only the table
+    matches: a plain path has to be a folder there."""
+    return f"{sf}/{{{table}}}.parquet"
+
+
 @query("stream_ingest", _OUT_SQL + f" FROM ({KEPT_SQL})")
 def q_stream_ingest(spark, sf):
     root = write_json_tree(spark, sf)
@@ -30,7 +36,7 @@ def q_stream_ingest(spark, sf):
 SELECT qid, CAST(rank AS BIGINT) AS rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 15
 """)
 def q_stream_topk(spark, sf):
-    res = jobs.topk_stream(spark, sf, "embeddings.parquet",
+    res = jobs.topk_stream(spark, stream_path(sf, "embeddings"),
                            "vec_id bigint, embedding array<float>, label int", "vec_id", "embedding",
                            vectors(spark, sf), k=15, max_files_per_trigger=FILES_PER_BATCH)
     return res.select("qid", "rank", "id", F.round("score", 6).alias("score"))
@@ -39,7 +45,7 @@ def q_stream_topk(spark, sf):
 def _request_stream(spark, sf):
     ev = (spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                                   "value double, props string")
-          .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(sf))
+          .option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(stream_path(sf, "events")))
     ev = ev.select("event_id", "user_id", "ts", asked_k().alias("k"))
     pa = part_catalogue(spark, sf).select(F.col("id").alias("k"), F.col("name").alias("p_name"))
     return ev.join(pa, "k", "left").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"),

@@ -87,15 +87,16 @@ def _answer_batches(spark: SparkSession, stream: DataFrame, answer: Callable[[Da
 TOPK_OUT = "qid bigint, rank bigint, id bigint, score double"
 
 
-def topk_stream(spark: SparkSession, query_dir: str, query_glob: str, query_schema: str,
+def topk_stream(spark: SparkSession, query_path: str, query_schema: str,
                 qid_col: str, qvec_col: str,
                 catalogue: DataFrame, k: int = TK.DEFAULT_K,
                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """``query_path`` is a folder of Parquet files or a pattern."""
     base = scratch_path(spark, "topk-stream")
     src = spark.readStream.schema(query_schema)
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = src.option("pathGlobFilter", query_glob).parquet(query_dir).select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec"))
+    stream = src.parquet(query_path).select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec"))
 
     return _answer_batches(spark, stream, lambda batch: TK.topk_cosine(batch, catalogue, k=k), TOPK_OUT, base)
 
