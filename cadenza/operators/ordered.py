@@ -82,8 +82,10 @@ def _chunk_offsets(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("pid")
     out = []
     cum_n, cum_runs, last_v, carry_len = 0, 0, None, 0
+    if "before_n" in pdf and pd.notna(pdf["before_n"].iloc[0]):
+        last_v, carry_len = pdf["before_v"].iloc[0], int(pdf["before_n"].iloc[0])
     for r in pdf.itertuples(index=False):
-        cont = cum_n > 0 and bool(_same(np.array([r.first_v], dtype=object),
+        cont = (cum_n > 0 or carry_len > 0) and bool(_same(np.array([r.first_v], dtype=object),
                                         np.array([last_v], dtype=object))[0])
         run_offset = cum_runs - 1 if cont else cum_runs
         out.append((r.pid, r.k, cum_n, run_offset, carry_len if cont else 0))
@@ -95,10 +97,14 @@ def _chunk_offsets(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: str | None = None,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """``df`` plus ``pos`` (and ``run_no``, ``pos_in_run`` when ``value`` is
     given). ``order`` must be total within a key (end with a unique id). One
-    plan at every size: no key, however large, is held by one task."""
+    plan at every size: no key, however large, is held by one task.
+
+    ``before``: ``(key, before_v, before_n)``, at most one row per key: the value and the length
+    of the key's last run so far. A first run of that value goes on at ``before_n + 1`` and has
+    ``run_no`` 0."""
     sort = [F.col(key).asc_nulls_first(), *order]
     ranged = (df.repartitionByRange(partitions, *sort) if partitions
               else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
@@ -112,6 +118,9 @@ def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: s
         F.min_by(vcol.cast("string"), F.col("_lpos")).alias("first_v"),
         F.max_by(vcol.cast("string"), F.col("_lpos")).alias("last_v"),
         F.max_by(F.col("_lrpos"), F.col("_lpos")).alias("tail_len"))
+    if before is not None:
+        known = before.select(F.col(key).alias("_bk"), F.col("before_v").cast("string"), F.col("before_n"))
+        summ = summ.join(known, F.col("k").eqNullSafe(F.col("_bk")), "left").drop("_bk")
     key_type = dict(df.dtypes)[key]
     offs = summ.groupBy("k").applyInPandas(
         _chunk_offsets,

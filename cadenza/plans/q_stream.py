@@ -16,7 +16,7 @@ from .q_sessions import _duck_runs  # noqa: F401
 from .q_vectors import TOPK_SQL
 from .registry import ORACLE, query
 
-#: Files in a micro-batch: what bounds the work and the rows of one session in a batch.
+#: Files in a micro-batch.
 FILES_PER_BATCH = 64
 
 
@@ -53,8 +53,8 @@ def _request_stream(spark, sf):
 
 
 def q_stream_replay(spark, sf):
-    """Search replay with the per-session cursor kept in streaming state; each micro-batch
-    searches the stored index for its own texts."""
+    """Search replay with the per-session cursor carried from micro-batch to micro-batch; each
+    searches the stored index for its own texts. Sessions go on in the order in which files arrive."""
     parts, index = part_catalogue(spark, sf), part_index(spark, sf)
 
     def search(requests):

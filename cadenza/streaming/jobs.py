@@ -8,10 +8,11 @@ Each gives the same rows as its batch form:
   batch keep-first whatever order the files arrive in.
 * ``topk_stream``: request vectors arrive as a stream; each micro-batch is
   scored against the static catalogue with the batch operator.
-* ``replay_stream``: ``applyInPandasWithState`` keyed by session keeps
-  ``(last query, position)``; each micro-batch searches for its own texts and
-  picks the reply at its position. A task holds one session's rows of one
-  micro-batch, which ``max_files_per_trigger`` bounds.
+* ``replay_stream``: each micro-batch numbers its requests by range
+  partitioning, so that no session is held by one task, searches for its own
+  texts and picks the reply at its position. From batch to batch a table carries
+  each session's last query and position. Equal to the batch form where the
+  files arrive in the order of their requests.
 
 ``foreachBatch`` steps write one folder per batch id, over whatever an attempt
 that failed had left, so that a repeated batch adds no row.
@@ -22,16 +23,15 @@ All use file sources and sinks, checkpoints in the shared folder and the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState
 
 from ..operators import sessions as S
 from ..operators import topk as TK
+from ..operators.ordered import ordered_positions
 from ..session import scratch_path
 from ..operators.quality import dedup_first
 from ..sources import json_ingest as J
@@ -67,14 +67,14 @@ def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
     return dedup_first(spark.read.schema(good.schema).parquet(f"{base}/landed"), "id", list(dedup_order))
 
 
-def _answer_batches(spark: SparkSession, stream: DataFrame, answer: Callable[[DataFrame], DataFrame],
+def _answer_batches(spark: SparkSession, stream: DataFrame, answer: Callable[[DataFrame, int], DataFrame],
                     schema: str, base: str) -> DataFrame:
-    """Run the stream to its end; ``answer(batch)`` goes to a folder named by the batch id. Each
-    batch is written before it is answered, so that a stateful step runs once."""
+    """Run the stream to its end; ``answer(batch, batch id)`` goes to a folder named by the batch id. Each
+    batch is written before it is answered, so that the files and joins behind it are read once."""
     def step(batch: DataFrame, epoch: int) -> None:
         path = f"{base}/in/batch={epoch}"
         batch.write.mode("overwrite").parquet(path)
-        answer(spark.read.schema(batch.schema).parquet(path)).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+        answer(spark.read.schema(batch.schema).parquet(path), epoch).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
 
     names = T.StructType.fromDDL(schema).names
     spark.createDataFrame([], schema).write.parquet(f"{base}/out/batch=-1")  # a stream without data has no batch
@@ -98,50 +98,40 @@ def topk_stream(spark: SparkSession, query_path: str, query_schema: str,
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = src.parquet(query_path).select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec"))
 
-    return _answer_batches(spark, stream, lambda batch: TK.topk_cosine(batch, catalogue, k=k), TOPK_OUT, base)
+    return _answer_batches(spark, stream, lambda batch, _: TK.topk_cosine(batch, catalogue, k=k), TOPK_OUT, base)
 
 
 # ---- X3 -----------------------------------------------------------------
 
-CURSOR_OUT = "request_id bigint, session_id bigint, ts timestamp_ntz, query string, pos bigint"
 REPLAY_OUT = "request_id bigint, pos bigint, reply string"
-CURSOR_STATE = "last_query string, pos bigint, last_ts timestamp_ntz, last_id bigint"
-
-
-def _cursor(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Positions for one session's new requests, continuing the stored run. A request without a
-    query has none and leaves the run as it is. A key's rows may come in several chunks:
-    gathered before sorting."""
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "request_id"], kind="stable")
-    last_q, pos, last_ts, last_id = (state.get if state.exists else (None, 0, None, None))
-    out = []
-    for r in rows.itertuples(index=False):
-        if pd.isna(r.query) or r.query == "":
-            out.append((r.request_id, r.session_id, r.ts, r.query, None))
-            continue
-        if last_q is not None and r.query == last_q:
-            pos += 1
-        else:
-            last_q, pos = r.query, 1
-        out.append((r.request_id, r.session_id, r.ts, r.query, pos))
-        last_ts, last_id = r.ts, r.request_id
-    state.update((last_q, int(pos), last_ts, int(last_id) if last_id is not None else None))
-    yield pd.DataFrame(out, columns=["request_id", "session_id", "ts", "query", "pos"]).astype({"pos": "Int64"})
 
 
 def replay_stream(spark: SparkSession, requests: DataFrame, search: Callable[[DataFrame], DataFrame],
                   replies: S.Replies = S.SEARCH_REPLIES) -> DataFrame:
     """``(request_id, pos, reply)``. ``requests`` is a streaming DataFrame ``(request_id,
     session_id, ts, query)``; ``search(requests)`` gives ``(q, rank, name, artist)`` for
-    their texts and is called in every micro-batch, so texts never seen before are answered."""
+    their texts and is called in every micro-batch, so texts never seen before are answered.
+
+    Order of a session's requests: micro-batches as they come (files in the order of their arrival), by
+    ``ts`` and request id within one. The batch form's positions hold where no batch has a request older
+    than one of an earlier batch; a request that arrives late follows those already answered. One without
+    a query has no position and leaves the run as it is."""
     base = scratch_path(spark, "replay-stream")
-    pos = requests.groupBy("session_id").applyInPandasWithState(
-        _cursor, CURSOR_OUT, CURSOR_STATE, "append", "NoTimeout")
+    none_yet = spark.createDataFrame([], f"session_id {dict(requests.dtypes)['session_id']}, before_v string, before_n bigint")
 
-    def answer(batch: DataFrame) -> DataFrame:
+    def answer(batch: DataFrame, epoch: int) -> DataFrame:
         checked = S.valid_requests(batch)
-        asked = checked.where("valid")
-        replied = S.replay(asked, search(asked), replies).select("request_id", "pos", "reply")
-        return replied.unionByName(checked.where("NOT valid").select("request_id", "pos", F.col("error").alias("reply")))
-
-    return _answer_batches(spark, pos, answer, REPLAY_OUT, base)
+        asked = checked.where("valid").drop("valid", "error")
+        # the state of the batch before stays as it is until this one is done: a repeated batch reads it again
+        before = spark.read.schema(none_yet.schema).parquet(f"{base}/state/{(epoch - 1) % 2}") if epoch else none_yet
+        runs = ordered_positions(asked, "session_id", [F.col("ts").asc(), F.col("request_id").asc()], value="query", before=before)
+        last = runs.groupBy("session_id").agg(F.max_by(F.struct("query", "pos_in_run"), "pos").alias("l")).select(
+            "session_id", F.col("l.query").alias("before_v"), F.col("l.pos_in_run").alias("before_n"))
+        kept = before.alias("b").join(last.alias("n"), F.expr("b.session_id <=> n.session_id"), "left_anti")
+        kept.unionByName(last).write.mode("overwrite").parquet(f"{base}/state/{epoch % 2}")
+        runs = runs.drop("pos").withColumnRenamed("pos_in_run", "pos")
+        replied = S.replay(runs, search(asked), replies).select("request_id", "pos", "reply")
+        return replied.unionByName(checked.where("NOT valid").select(
+            "request_id", F.lit(None).cast("bigint").alias("pos"), F.col("error").alias("reply")))
+
+    return _answer_batches(spark, requests, answer, REPLAY_OUT, base)
