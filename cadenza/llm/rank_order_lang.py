@@ -158,6 +158,15 @@ def lang_of(text, profiles: dict[str, list[int]], length: int = PROFILE):
     return predict(text)
 
 
+def has_letter(text):
+    """Whether a text column has a letter, as a column (false for null): where ``predict`` compares profiles at all."""
+    @F.pandas_udf(T.BooleanType())
+    def test(s: pd.Series) -> pd.Series:
+        return pd.Series([len(ngrams(t)[0]) > 0 for t in s], index=s.index, dtype=bool)
+
+    return test(text)
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents not learned from: crc32 of the id as text leaves 2 when divided by 4 (false for a null id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -25,8 +25,11 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language is undetermined: null texts and texts without a letter."""
+    """Documents go whose language is undetermined: null texts and texts without a letter. The same where no
+    profile can be learned (no ``lang``, all labelled rows held out): the text alone decides then."""
     profiles = rank_order_lang.learn_profiles(docs.where(~rank_order_lang.held_out()))
+    if not profiles:
+        return docs.where(rank_order_lang.has_letter(F.col("text")))
     return docs.where(rank_order_lang.lang_of(F.col("text"), profiles) != rank_order_lang.UNDETERMINED)
 
 
