@@ -151,8 +151,13 @@ class Bpe:
         if not self.by_pieces or len(data) < 2:
             return np.empty(0, np.int64)
         b = np.frombuffer(data, np.uint8)
-        solid = (b > 32) & (b < 127)  # white space outside ASCII never looks like this, nor like U+00C0..U+00FF
-        solid[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 128)
+        solid = (b > 32) & (b < 127)  # white space outside ASCII never looks like this
+        solid[1:] |= (b[:-1] >= 0xC3) & (b[:-1] < 0xE0) & (b[1:] >= 128)
+        # of three bytes: no white space but in E1 9A, E1 A0 (once), E2 80, E2 81 and E3 80; of four: none
+        lead, mid = b[:-2], b[1:-1]
+        solid[2:] |= (lead >= 0xE0) & (lead < 0xF0) & (
+            (lead != 0xE1) | (mid != 0x9A) & (mid != 0xA0)) & ((lead != 0xE2) | (mid > 0x81)) & ((lead != 0xE3) | (mid != 0x80))
+        solid[3:] |= b[:-3] >= 0xF0
         gap = (b == 32) | (b == 10)
         return np.flatnonzero(gap[1:] & solid[:-1]) + 1
 
