@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (bpe_chunks, chat, chosen_path, exact_dedup, lsh_forest, mixing, rank_order_lang, suffix_dedup,
-               token_coder, warc)
+from . import (alignment, bpe_chunks, chat, chosen_path, exact_dedup, fingerprints, lsh_forest, merkle, mixing,
+               rank_order_lang, suffix_dedup, token_coder, warc)
 from .common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,68 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_rank_order_lang")
 def op10_rank_order_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_order_lang.identify(read_table(spark, sf_dir, "documents"))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_FIELDS = [_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+_LOWERED = _FIELD.format(f"translate(text, '{UPPER}', '{LOWER}')")
+# CRC-32 by its definition: the remainder over GF(2), bit by bit
+_CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+          "lambda c: ascii(c)::BIGINT)), lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), "
+          "lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))")
+_A = merkle.ARITY
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '-') AS grp, sha256({' || '.join(_FIELDS)}) AS leaf,
+         CASE WHEN {_CRC32} % 3 = 0 THEN sha256({' || '.join(_FIELDS[:-1])} || {_LOWERED}) END AS other FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+lv(grp, l, i, node, n) AS (
+  SELECT grp, 0, i, leaf, count(*) OVER (PARTITION BY grp) FROM p
+  UNION ALL
+  SELECT grp, l + 1, i // {_A}, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + {_A - 1}) // {_A}
+  FROM lv WHERE n > 1 GROUP BY grp, l, i // {_A}),
+sub AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY grp <> '-', encode(grp)) - 1 AS j, count(*) OVER () AS m FROM lv WHERE n = 1),
+tv(l, i, node, n) AS (
+  SELECT 0, j, subroot, m FROM sub
+  UNION ALL
+  SELECT l + 1, i // {_A}, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + {_A - 1}) // {_A}
+  FROM tv WHERE n > 1 GROUP BY l, i // {_A}),
+runs AS (
+  SELECT grp, 0 AS tree, l, i // {_A} AS run, list(node ORDER BY i) AS nodes FROM lv WHERE n > 1 GROUP BY grp, l, i // {_A}
+  UNION ALL
+  SELECT '*', 1, l, i // {_A}, list(node ORDER BY i) FROM tv WHERE n > 1 GROUP BY l, i // {_A}),
+steps AS (
+  SELECT rid, tree, r.l, nodes, CAST((i >> (3 * r.l)) % {_A} + 1 AS BIGINT) AS place
+  FROM p JOIN runs r ON r.grp = p.grp AND tree = 0 AND run = i >> (3 * r.l + 3)
+  UNION ALL
+  SELECT rid, tree, r.l, nodes, CAST((j >> (3 * r.l)) % {_A} + 1 AS BIGINT)
+  FROM p JOIN sub USING (grp) JOIN runs r ON tree = 1 AND run = j >> (3 * r.l + 3)),
+q AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY tree, l) AS k FROM steps),
+proof AS (SELECT rid, sha256(string_agg(array_to_string(list_concat(nodes[:place - 1], nodes[place + 1:]), ''), '' ORDER BY k)) AS proof FROM q GROUP BY rid),
+f(rid, k, h) AS (
+  SELECT rid, 0::BIGINT, coalesce(other, leaf) FROM p
+  UNION ALL
+  SELECT f.rid, q.k, sha256(array_to_string(list_concat(nodes[:place - 1], [h], nodes[place + 1:]), ''))
+  FROM f JOIN q ON q.rid = f.rid AND q.k = f.k + 1),
+last AS (SELECT rid, arg_max(h, k) AS folded FROM f GROUP BY rid),
+r AS (SELECT node AS root FROM tv WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p JOIN sub USING (grp) JOIN last USING (rid) LEFT JOIN proof USING (rid), r
+"""
+
+
+@_query("op11_merkle", MERKLE_SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), tampered).drop("witness")
+
+
+@_query("op12_align")
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_fingerprint")
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(read_table(spark, sf_dir, "documents"))
