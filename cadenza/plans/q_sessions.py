@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import fuzzy
 from ..operators import sessions as S
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from .inputs import (DUCK_ASKED_K, DUCK_EVENT_K, PART_CATALOGUE_SQL, PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL,
                      SEARCH_REQUESTS_SQL, asked_k, event_k, part_catalogue, playlist_adds,
                      playlist_deletes, search_requests, vectors, part_index)
@@ -89,7 +89,7 @@ FROM ({PLAYLIST_ADDS_SQL}) a WHERE NOT EXISTS (SELECT 1 FROM ({PLAYLIST_DELETES_
 
 @query("playlist_state", PLAYLIST_STATE_SQL)
 def q_playlist_state(spark, sf):
-    st = S.playlist_state(playlist_adds(spark, sf), playlist_deletes(spark, sf))
+    st = cut_lineage(S.playlist_state(playlist_adds(spark, sf), playlist_deletes(spark, sf)), "playlist")
     return S.playlist_listing(st).select("username", "pos", "id", "song", "added_at")
 
 
@@ -119,16 +119,15 @@ FROM events WHERE event_type = 'signup'
 
 
 def existing_users(spark, sf):
-    """Accounts from before the log: every 25th customer number."""
-    c = read_table(spark, sf, "customer").filter(F.col("c_custkey") % 25 == 0)
-    key = F.col("c_custkey").cast("string")
-    return c.select(F.concat(F.lit("u"), key).alias("username"),
+    """Accounts from before the log, one per customer, numbered 25 apart (so that only some meet a sign-up's name)."""
+    key = (F.col("c_custkey") * 25).cast("string")
+    return read_table(spark, sf, "customer").select(F.concat(F.lit("u"), key).alias("username"),
                     F.concat(F.lit("e"), key, F.lit("@example.com")).alias("email"))
 
 
 EXISTING_USERS_SQL = """
-SELECT 'u' || CAST(c_custkey AS VARCHAR) AS username, 'e' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email
-FROM customer WHERE c_custkey % 25 = 0
+SELECT 'u' || CAST(c_custkey * 25 AS VARCHAR) AS username, 'e' || CAST(c_custkey * 25 AS VARCHAR) || '@example.com' AS email
+FROM customer
 """
 
 _COMPLETE = "(coalesce(username, '') <> '' AND coalesce(email, '') <> '')"

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V  # noqa: F401
 from ..operators import features as FE
 from ..operators import fuzzy, topk
 from ..operators.recommend import recommend_lookup
+from ..operators.sessions import NO_QUERY
 from ..session import read_table
 from .catalogue import (CATALOGUE_COLUMNS, RECOMMEND_CATALOGUE_SQL, SCORE_COLUMNS, SONGS_SQL,
                         recommend_catalogue, songs)
@@ -98,8 +98,8 @@ def q_describe_rows(spark, sf):
     row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank
     FROM req JOIN hits ON req.query = hits.q),
 replies AS (SELECT req.request_id AS qid,
-  coalesce('Here''s our closest song: ' || f.name || ' by ' || f.artist || '. Click again if this isn''t it!',
-           '{T.SEARCH_NONE}') AS reply
+  CASE WHEN coalesce(req.query, '') = '' THEN '{NO_QUERY}' ELSE coalesce('Here''s our closest song: ' || f.name || ' by ' || f.artist || '. Click again if this isn''t it!',
+           '{T.SEARCH_NONE}') END AS reply
   FROM req LEFT JOIN (SELECT * FROM firsts WHERE rank = 1) f ON req.request_id = f.qid)
 SELECT qid, coalesce(nullif(reply, ''), '{T.REPLY_FALLBACK}') AS shown,
        (coalesce(reply, '') <> '' AND coalesce(reply, '') <> '{T.RECOMMEND_EXHAUSTED}') AS valid
@@ -109,7 +109,7 @@ def q_reply_flags(spark, sf):
     req = search_requests(spark, sf)
     res = fuzzy.fuzzy_search(req, part_catalogue(spark, sf), limit=1, index=part_index(spark, sf),
                              qid_col="request_id", q_col="query")
-    rep = fuzzy.search_replies(req.withColumnRenamed("request_id", "qid"), res)
+    rep = fuzzy.search_replies(req, res, "request_id", "query")
     return rep.select("qid", T.reply_text(F.col("reply")).alias("shown"),
                       T.reply_valid(F.col("reply")).alias("valid"))
 
