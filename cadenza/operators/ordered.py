@@ -1,19 +1,21 @@
 """Positions and runs within a key, safe when one key holds a large share of
-the rows.
+the rows: a segmented prefix scan in DataFrame functions.
 
 A window ``partitionBy(key).orderBy(...)`` puts every row of a key into one
 task. Here instead:
 
-1. ``repartitionByRange(key, order...)`` + ``sortWithinPartitions``: range
-   boundaries are sampled on the composite (key, order), so a hot key is cut
-   into contiguous chunks over several tasks;
-2. each task numbers its rows locally (``mapInPandas``, batch by batch with
-   a carry, never holding more than a batch): position in the key's chunk,
-   run number (a run = consecutive equal ``value``), position in the run;
-3. a per-(partition, key) summary (one row per chunk; a key has at most as
-   many chunks as there are partitions) gives, per key in partition order,
-   the offsets to add — a small grouped scan;
-4. the offsets are joined back on (partition, key).
+1. ``repartitionByRange(key, order...)`` cuts the rows into contiguous
+   pieces; the bounds are sampled on the composite (key, order), so a hot key
+   is cut into *chunks* over several pieces;
+2. windows over (piece, key) number each chunk by itself: position, run
+   number (a run = consecutive equal ``value``), position in the run. The
+   result is written once, as the next step reads it again;
+3. only keys that cross a border between pieces have more than one chunk, and
+   such a key is the first or the last of a piece. The chunks at the pieces'
+   ends, at most two per piece, give by windows in piece order what the rows of
+   a later chunk have to add;
+4. these few offsets are joined back on (piece, key); all other rows keep
+   their numbers.
 
 Output columns: ``pos`` (1-based in key), and with ``value``: ``run_no`` and
 ``pos_in_run``. The first row of a key starts a run; a row starts a new run
@@ -24,111 +26,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Element-wise null-safe equality of two object/number arrays."""
-    sa, sb = pd.Series(a, dtype=object), pd.Series(b, dtype=object)
-    both_null = sa.isna().to_numpy() & sb.isna().to_numpy()
-    return both_null | (sa.to_numpy() == sb.to_numpy())
-
-
-def _local_numbering(key: str, value: str | None):
-    def run(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry = None  # (key, value, lpos, lrun, lrpos) of the previous row
-        for pdf in batches:
-            n = len(pdf)
-            if not n:
-                continue
-            k = pdf[key].to_numpy(dtype=object)
-            v = pdf[value].to_numpy(dtype=object) if value else np.zeros(n, dtype=object)
-            prev_k = np.empty(n, dtype=object)
-            prev_v = np.empty(n, dtype=object)
-            prev_k[1:], prev_v[1:] = k[:-1], v[:-1]
-            first = np.zeros(n, dtype=bool)
-            if carry is None:
-                first[0] = True
-            else:
-                prev_k[0], prev_v[0] = carry[0], carry[1]
-                first[0] = not _same(k[:1], prev_k[:1])[0]
-            if n > 1:
-                first[1:] = ~_same(k[1:], prev_k[1:])
-            change = first | ~_same(v, prev_v)
-            seg = np.cumsum(first)  # key segment within the batch (0 = continues carry)
-            lpos = pd.Series(np.ones(n, dtype=np.int64)).groupby(seg).cumsum().to_numpy()
-            lrun = pd.Series(change.astype(np.int64)).groupby(seg).cumsum().to_numpy()
-            rseg = np.cumsum(change)  # run segment within the batch (0 = continues carry)
-            lrpos = pd.Series(np.ones(n, dtype=np.int64)).groupby(rseg).cumsum().to_numpy()
-            if carry is not None:
-                cont_key = seg == 0
-                lpos[cont_key] += carry[2]
-                lrun[cont_key] += carry[3]
-                lrpos[rseg == 0] += carry[4]
-            carry = (k[-1], v[-1], int(lpos[-1]), int(lrun[-1]), int(lrpos[-1]))
-            yield pdf.assign(_pid=np.int32(pid), _lpos=lpos, _lrun=lrun, _lrpos=lrpos)
-    return run
-
-
-def _chunk_offsets(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pid")
-    out = []
-    cum_n, cum_runs, last_v, carry_len = 0, 0, None, 0
-    if "before_n" in pdf and pd.notna(pdf["before_n"].iloc[0]):
-        last_v, carry_len = pdf["before_v"].iloc[0], int(pdf["before_n"].iloc[0])
-    for r in pdf.itertuples(index=False):
-        cont = (cum_n > 0 or carry_len > 0) and bool(_same(np.array([r.first_v], dtype=object),
-                                        np.array([last_v], dtype=object))[0])
-        run_offset = cum_runs - 1 if cont else cum_runs
-        out.append((r.pid, r.k, cum_n, run_offset, carry_len if cont else 0))
-        carry_len = carry_len + r.n if (cont and r.runs == 1) else r.tail_len
-        cum_runs = run_offset + r.runs
-        cum_n += r.n
-        last_v = r.last_v
-    return pd.DataFrame(out, columns=["_pid", "k", "_pos_off", "_run_off", "_carry"])
+def _number_chunks(ranged: DataFrame, key: str, order: Sequence[Column], value: str | None) -> DataFrame:
+    """Local numbers of every row within its (piece, key); ``_end`` marks a chunk's last row."""
+    w = Window.partitionBy("_piece", key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.select("*", F.row_number().over(w).cast("bigint").alias("_lpos"), F.lead(F.lit(1)).over(w).isNull().alias("_end"),
+                        *([F.lag(value).over(w).alias("_prev"), F.first(value).over(so_far).alias("_first")] if value else []))
+    if not value:
+        return out
+    starts = (F.col("_lpos") == 1) | ~F.col("_prev").eqNullSafe(F.col(value))
+    out = out.withColumn("_start", F.when(starts, F.col("_lpos")))
+    return out.select("*", F.count("_start").over(so_far).alias("_lrun"),
+                      (F.col("_lpos") - F.max("_start").over(so_far) + 1).alias("_lrpos")).drop("_prev", "_start")
+
+
+def _border_offsets(local: DataFrame, key: str, value: str | None) -> DataFrame:
+    """``(_at, _k, _pos_off, _run_off, _carry)`` for the chunks of keys that cross a border."""
+    runs = [F.col("_lrun").alias("runs"), F.col("_first").alias("first_v"), F.col(value).alias("last_v"), F.col("_lrpos").alias("tail")] if value else []
+    chunks = local.where("_end").select(F.col("_piece").alias("_at"), F.col(key).alias("_k"), F.col("_lpos").alias("n"), *runs)
+    # nulls sort first; the struct's first field keeps null keys comparable
+    ranked = F.struct(F.col("_k").isNotNull().alias("some"), F.col("_k").alias("k"))
+    ends = chunks.groupBy(F.col("_at").alias("_p")).agg(F.min(ranked).alias("lo"), F.max(ranked).alias("hi"))
+    ends = ends.select("_p", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).select("_p", F.col("e.k").alias("_ek"))
+    edge = chunks.join(ends, (F.col("_at") == F.col("_p")) & F.col("_k").eqNullSafe(F.col("_ek"))).drop("_p", "_ek")
+    w = Window.partitionBy("_k").orderBy("_at")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pos_off = F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_pos_off")
+    if not value:
+        return edge.select("_at", "_k", pos_off).where("_pos_off > 0")
+    goes_on = F.lag(F.lit(True), 1, False).over(w) & F.lag("last_v").over(w).eqNullSafe(F.col("first_v"))
+    e = edge.select("*", pos_off, goes_on.alias("on"))
+    # a chunk that is wholly part of the run before passes the run's length on
+    e = e.select("*", F.sum(F.when((F.col("runs") == 1) & F.col("on"), F.lit(0)).otherwise(F.lit(1))).over(so_far).alias("stretch"))
+    run = Window.partitionBy("_k", "stretch").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = e.select("*", F.sum("tail").over(run).alias("length"))
+    return e.select("_at", "_k", "_pos_off",
+                    (F.coalesce(F.sum("runs").over(before), F.lit(0)) - F.sum(F.col("on").cast("bigint")).over(so_far)).alias("_run_off"),
+                    F.when(F.col("on"), F.lag("length").over(w)).otherwise(F.lit(0)).alias("_carry")).where("_pos_off > 0")
 
 
 def ordered_positions(df: DataFrame, key: str, order: Sequence[Column], value: str | None = None,
-                      partitions: int | None = None, before: DataFrame | None = None) -> DataFrame:
+                      partitions: int | None = None) -> DataFrame:
     """``df`` plus ``pos`` (and ``run_no``, ``pos_in_run`` when ``value`` is
     given). ``order`` must be total within a key (end with a unique id). One
-    plan at every size: no key, however large, is held by one task.
-
-    ``before``: ``(key, before_v, before_n)``, at most one row per key: the value and the length
-    of the key's last run so far. A first run of that value goes on at ``before_n + 1`` and has
-    ``run_no`` 0."""
+    plan at every size: no key, however large, is held by one task. ``df`` is
+    read twice (the range bounds are sampled first): give a stored table where
+    it is costly to compute."""
     sort = [F.col(key).asc_nulls_first(), *order]
-    ranged = (df.repartitionByRange(partitions, *sort) if partitions
-              else df.repartitionByRange(*sort)).sortWithinPartitions(*sort)
-    schema = (T.StructType(list(df.schema.fields)).add("_pid", T.IntegerType())
-              .add("_lpos", T.LongType()).add("_lrun", T.LongType()).add("_lrpos", T.LongType()))
-    # numbered once and materialised: read by the summary and by the join
-    local = cut_lineage(ranged.mapInPandas(_local_numbering(key, value), schema))
-    vcol = F.col(value) if value else F.lit(0)
-    summ = local.groupBy(F.col("_pid").alias("pid"), F.col(key).alias("k")).agg(
-        F.max("_lpos").alias("n"), F.max("_lrun").alias("runs"),
-        F.min_by(vcol.cast("string"), F.col("_lpos")).alias("first_v"),
-        F.max_by(vcol.cast("string"), F.col("_lpos")).alias("last_v"),
-        F.max_by(F.col("_lrpos"), F.col("_lpos")).alias("tail_len"))
-    if before is not None:
-        known = before.select(F.col(key).alias("_bk"), F.col("before_v").cast("string"), F.col("before_n"))
-        summ = summ.join(known, F.col("k").eqNullSafe(F.col("_bk")), "left").drop("_bk")
-    key_type = dict(df.dtypes)[key]
-    offs = summ.groupBy("k").applyInPandas(
-        _chunk_offsets,
-        f"_pid int, k {key_type}, _pos_off bigint, _run_off bigint, _carry bigint")
-    j = local.join(offs, (local["_pid"] == offs["_pid"]) & local[key].eqNullSafe(offs["k"]))
-    cols = [local[c] for c in df.columns] + [(F.col("_lpos") + F.col("_pos_off")).alias("pos")]
+    ranged = df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)
+    local = cut_lineage(_number_chunks(ranged.withColumn("_piece", F.spark_partition_id()), key, order, value), "numbered")
+    offs = _border_offsets(local, key, value)
+    j = local.join(offs, (local["_piece"] == offs["_at"]) & local[key].eqNullSafe(offs["_k"]), "left")
+    off = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    cols = [local[c] for c in df.columns] + [(F.col("_lpos") + off("_pos_off")).alias("pos")]
     if value:
-        cols += [(F.col("_lrun") + F.col("_run_off")).alias("run_no"),
-                 (F.col("_lrpos") + F.when(F.col("_lrun") == 1, F.col("_carry")).otherwise(F.lit(0)))
-                 .alias("pos_in_run")]
+        cols += [(F.col("_lrun") + off("_run_off")).alias("run_no"),
+                 (F.col("_lrpos") + F.when(F.col("_lrun") == 1, off("_carry")).otherwise(F.lit(0))).alias("pos_in_run")]
     return j.select(*cols)

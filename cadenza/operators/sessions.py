@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,20 +35,6 @@ def request_runs(requests: DataFrame, session: str = "session_id", ts: str = "ts
     return out.drop("pos").withColumnRenamed("pos_in_run", "pos")
 
 
-def request_runs_window(requests: DataFrame, session: str = "session_id", ts: str = "ts",
-                        rid: str = "request_id", query: str = "query") -> DataFrame:
-    """The plain window form of :func:`request_runs` (one task per session);
-    kept as the reference the skew-safe form is tested against."""
-    w = Window.partitionBy(session).orderBy(F.col(ts), F.col(rid))
-    prev = F.lag(F.col(query)).over(w)
-    change = F.when((F.row_number().over(w) == 1) | ~prev.eqNullSafe(F.col(query)), F.lit(1)).otherwise(F.lit(0))
-    runs = requests.withColumn("_chg", change).withColumn(
-        "run_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    wr = Window.partitionBy(session, "run_no").orderBy(F.col(ts), F.col(rid))
-    return runs.withColumn("pos", F.row_number().over(wr)).drop("_chg").withColumn(
-        "run_no", F.col("run_no").cast("bigint")).withColumn("pos", F.col("pos").cast("bigint"))
-
-
 @dataclass(frozen=True)
 class Replies:
     item: str  # format with {name} and {artist}
@@ -83,7 +69,7 @@ def replay(runs: DataFrame, results: DataFrame, replies: Replies,
 def replay_requests(requests: DataFrame, results: DataFrame, replies: Replies) -> DataFrame:
     """Validation, runs and replies of a request log: a request without a query
     gets the error and no position; it neither advances nor ends a run."""
-    checked = valid_requests(requests)
+    checked = valid_requests(cut_lineage(requests, "requests"))
     runs = request_runs(checked.where("valid").drop("valid", "error"))
     answered = replay(runs, results, replies).select("request_id", "pos", "reply")
     refused = checked.where("NOT valid").select(
@@ -117,12 +103,6 @@ def playlist_listing(state: DataFrame, user: str = "username", ts: str = "added_
     return ordered_positions(state, user, [F.col(ts).desc_nulls_first(), F.col("id").asc()])
 
 
-def playlist_listing_window(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
-    """Window form of :func:`playlist_listing` (reference for tests)."""
-    w = Window.partitionBy(user).orderBy(F.col(ts).desc_nulls_first(), F.col("id").asc())
-    return state.withColumn("pos", F.row_number().over(w).cast("bigint"))
-
-
 def register_first_by_name(regs: DataFrame, order: list[str]) -> DataFrame:
     """Single unique key (username): the earliest valid row per name wins.
     ``min(struct(order))`` per name is a partial aggregate."""

@@ -12,7 +12,6 @@ from ..streaming import jobs
 from .inputs import asked_k, part_catalogue, part_index, search_text, vectors
 from .q_features import DEDUP_ORDER
 from .q_ingest import KEPT_SQL, _OUT_SQL, _out, write_json_tree
-from .q_sessions import _duck_runs  # noqa: F401
 from .q_vectors import TOPK_SQL
 from .registry import ORACLE, query
 
@@ -65,9 +64,8 @@ def q_stream_replay(spark, sf):
 
 
 def _register_replay():
-    from . import q_sessions
+    from . import q_sessions  # noqa: F401 - its oracle is used below
     query("stream_replay", ORACLE["replay_requests"])(q_stream_replay)
-    del q_sessions
 
 
 _register_replay()

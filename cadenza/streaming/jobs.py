@@ -10,9 +10,9 @@ Each gives the same rows as its batch form:
   scored against the static catalogue with the batch operator.
 * ``replay_stream``: each micro-batch numbers its requests by range
   partitioning, so that no session is held by one task, searches for its own
-  texts and picks the reply at its position. From batch to batch a table carries
-  each session's last query and position. Equal to the batch form where the
-  files arrive in the order of their requests.
+  texts and picks the reply at its position. From batch to batch Spark's state
+  store carries each session's last query and position. Equal to the batch
+  form where the files arrive in the order of their requests.
 
 ``foreachBatch`` steps write one folder per batch id, over whatever an attempt
 that failed had left, so that a repeated batch adds no row.
@@ -106,32 +106,87 @@ def topk_stream(spark: SparkSession, query_path: str, query_schema: str,
 REPLAY_OUT = "request_id bigint, pos bigint, reply string"
 
 
+def _carry_over(key, frames, state):
+    """Keyed state of one session: its last text, how often that was asked in a row, the last batch seen. In: what each
+    new batch holds of the session, a row a batch. Out: how far the batch's first run had come before."""
+    import pandas as pd
+
+    rows = pd.concat(list(frames)).sort_values("batch")  # one row per new batch of this session
+    text, length, seen = state.get if state.exists else (None, 0, -1)
+    out = []
+    for r in rows.itertuples(index=False):
+        if r.batch <= seen:
+            continue
+        goes_on = seen >= 0 and r.first_v == text
+        out.append((key[0], r.batch, length if goes_on else 0))
+        length = length + r.tail if goes_on and r.runs == 1 else r.tail
+        text, seen = r.last_v, r.batch
+    state.update((text, int(length), int(seen)))
+    yield pd.DataFrame(out, columns=["session_id", "batch", "carry"])
+
+
 def replay_stream(spark: SparkSession, requests: DataFrame, search: Callable[[DataFrame], DataFrame],
-                  replies: S.Replies = S.SEARCH_REPLIES) -> DataFrame:
+                  replies: S.Replies = S.SEARCH_REPLIES, base: str | None = None,
+                  progress: list | None = None) -> DataFrame:
     """``(request_id, pos, reply)``. ``requests`` is a streaming DataFrame ``(request_id,
     session_id, ts, query)``; ``search(requests)`` gives ``(q, rank, name, artist)`` for
     their texts and is called in every micro-batch, so texts never seen before are answered.
 
+    Two streams. The first numbers each micro-batch by itself in the range form, so that a hot session is spread over
+    tasks, answers the requests without a query, and writes one row per session: its first and last text and the
+    lengths of its runs. The second holds the sessions' cursors in Spark's state store, keyed by session; it reads these
+    rows only, so a batch costs what it holds, and replies at position + carry. ``base`` names the streams' folder: given
+    again, both go on from their checkpoints. ``progress`` gets the second stream's progress reports.
+
     Order of a session's requests: micro-batches as they come (files in the order of their arrival), by
     ``ts`` and request id within one. The batch form's positions hold where no batch has a request older
     than one of an earlier batch; a request that arrives late follows those already answered. One without
     a query has no position and leaves the run as it is."""
-    base = scratch_path(spark, "replay-stream")
-    none_yet = spark.createDataFrame([], f"session_id {dict(requests.dtypes)['session_id']}, before_v string, before_n bigint")
+    base = base or scratch_path(spark, "replay-stream")
+    key_type = dict(requests.dtypes)["session_id"]
+    numbered_ddl = f"request_id bigint, session_id {key_type}, query string, run_no bigint, pos bigint"
+    ends_ddl = f"session_id {key_type}, batch bigint, runs bigint, first_v string, last_v string, tail bigint"
 
-    def answer(batch: DataFrame, epoch: int) -> DataFrame:
-        checked = S.valid_requests(batch)
+    def number(batch: DataFrame, epoch: int) -> None:
+        path = f"{base}/in/batch={epoch}"
+        batch.write.mode("overwrite").parquet(path)
+        checked = S.valid_requests(spark.read.schema(batch.schema).parquet(path))
         asked = checked.where("valid").drop("valid", "error")
-        # the state of the batch before stays as it is until this one is done: a repeated batch reads it again
-        before = spark.read.schema(none_yet.schema).parquet(f"{base}/state/{(epoch - 1) % 2}") if epoch else none_yet
-        runs = ordered_positions(asked, "session_id", [F.col("ts").asc(), F.col("request_id").asc()], value="query", before=before)
-        last = runs.groupBy("session_id").agg(F.max_by(F.struct("query", "pos_in_run"), "pos").alias("l")).select(
-            "session_id", F.col("l.query").alias("before_v"), F.col("l.pos_in_run").alias("before_n"))
-        kept = before.alias("b").join(last.alias("n"), F.expr("b.session_id <=> n.session_id"), "left_anti")
-        kept.unionByName(last).write.mode("overwrite").parquet(f"{base}/state/{epoch % 2}")
-        runs = runs.drop("pos").withColumnRenamed("pos_in_run", "pos")
-        replied = S.replay(runs, search(asked), replies).select("request_id", "pos", "reply")
-        return replied.unionByName(checked.where("NOT valid").select(
-            "request_id", F.lit(None).cast("bigint").alias("pos"), F.col("error").alias("reply")))
-
-    return _answer_batches(spark, requests, answer, REPLAY_OUT, base)
+        runs = ordered_positions(asked, "session_id", [F.col("ts").asc(), F.col("request_id").asc()], value="query")
+        runs.select("request_id", "session_id", "query", "run_no", F.col("pos_in_run").alias("pos"), F.col("pos").alias("nth")) \
+            .write.mode("overwrite").parquet(f"{base}/runs/batch={epoch}")
+        checked.where("NOT valid").select("request_id", F.lit(None).cast("bigint").alias("pos"), F.col("error").alias("reply")) \
+            .write.mode("overwrite").parquet(f"{base}/refused/batch={epoch}")
+        done = spark.read.schema(numbered_ddl + ", nth bigint").parquet(f"{base}/runs/batch={epoch}")
+        per = done.groupBy("session_id").agg(F.min(F.struct("nth", "query")).alias("lo"),
+                                             F.max(F.struct("nth", "query", "run_no", "pos")).alias("hi"))
+        # last: the second stream sees a batch when all else of it is there
+        per.select("session_id", F.lit(epoch).cast("bigint").alias("batch"), F.col("hi.run_no").alias("runs"),
+                   F.col("lo.query").alias("first_v"), F.col("hi.query").alias("last_v"), F.col("hi.pos").alias("tail")) \
+            .write.mode("overwrite").parquet(f"{base}/ends/part={epoch}")
+
+    def reply(carried: DataFrame, epoch: int) -> None:
+        path = f"{base}/carried/batch={epoch}"
+        carried.write.mode("overwrite").parquet(path)
+        carry = spark.read.schema(carried.schema).parquet(path)
+        batches = [r.batch for r in carry.select("batch").distinct().collect()]  # the few batches read since
+        runs = spark.read.schema(numbered_ddl + ", batch bigint").option("basePath", f"{base}/runs").parquet(
+            *[f"{base}/runs/batch={b}" for b in batches]) if batches else spark.createDataFrame([], numbered_ddl + ", batch bigint")
+        c = carry.select(F.col("session_id").alias("_s"), F.col("batch").alias("_b"), "carry")
+        runs = runs.join(c, F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("batch") == F.col("_b")))
+        runs = runs.select("request_id", "query", (F.col("pos") + F.when(F.col("run_no") == 1, F.col("carry")).otherwise(F.lit(0))).alias("pos"))
+        S.replay(runs, search(runs.select("query")), replies).select("request_id", "pos", "reply") \
+            .write.mode("overwrite").parquet(f"{base}/replies/batch={epoch}")
+
+    for folder, ddl in (("runs", numbered_ddl + ", nth bigint"), ("refused", REPLAY_OUT), ("replies", REPLAY_OUT)):
+        spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{base}/{folder}/batch=-1")  # a stream without data has no batch
+    spark.createDataFrame([], ends_ddl).write.mode("overwrite").parquet(f"{base}/ends/part=-1")
+    _run(requests.writeStream.foreachBatch(number).option("checkpointLocation", f"{base}/_numbering"))
+    ends = spark.readStream.schema(ends_ddl).parquet(f"{base}/ends")
+    cursors = ends.groupBy("session_id").applyInPandasWithState(
+        _carry_over, f"session_id {key_type}, batch bigint, carry bigint", "last_v string, length bigint, batch bigint", "update", "NoTimeout")
+    done = _run(cursors.writeStream.outputMode("update").foreachBatch(reply).option("checkpointLocation", f"{base}/_cursors"))
+    if progress is not None:
+        progress += done.recentProgress
+    return spark.read.schema(REPLAY_OUT).parquet(f"{base}/replies").select("request_id", "pos", "reply").unionByName(
+        spark.read.schema(REPLAY_OUT).parquet(f"{base}/refused").select("request_id", "pos", "reply"))

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import sessions as S
@@ -11,6 +12,24 @@ from conftest import SF001
 T0 = datetime(2024, 1, 1)
 
 
+def request_runs_window(requests: DataFrame, session: str = "session_id", ts: str = "ts",
+                        rid: str = "request_id", query: str = "query") -> DataFrame:
+    """The plain window form (one task per session), which the library's form is tested against."""
+    w = Window.partitionBy(session).orderBy(F.col(ts), F.col(rid))
+    prev = F.lag(F.col(query)).over(w)
+    change = F.when((F.row_number().over(w) == 1) | ~prev.eqNullSafe(F.col(query)), F.lit(1)).otherwise(F.lit(0))
+    runs = requests.withColumn("_chg", change).withColumn(
+        "run_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wr = Window.partitionBy(session, "run_no").orderBy(F.col(ts), F.col(rid))
+    return runs.withColumn("pos", F.row_number().over(wr)).drop("_chg").withColumn(
+        "run_no", F.col("run_no").cast("bigint")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def playlist_listing_window(state: DataFrame, user: str = "username", ts: str = "added_at") -> DataFrame:
+    w = Window.partitionBy(user).orderBy(F.col(ts).desc_nulls_first(), F.col("id").asc())
+    return state.withColumn("pos", F.row_number().over(w).cast("bigint"))
+
+
 def _requests(spark, queries, session=1):
     rows = [(i, session, T0 + timedelta(seconds=i), q) for i, q in enumerate(queries)]
     return spark.createDataFrame(rows, "request_id long, session_id long, ts timestamp_ntz, query string")
@@ -103,7 +122,7 @@ def test_skew_safe_runs_equal_window_with_hot_session(spark):
     for df in (ev, hot, ev.withColumn("user_id", F.lit(5))):
         args = ("user_id", "ts", "event_id", "event_type")
         a = S.request_runs(df.repartition(8), *args).select("event_id", "run_no", "pos")
-        b = S.request_runs_window(df, *args).select("event_id", "run_no", "pos")
+        b = request_runs_window(df, *args).select("event_id", "run_no", "pos")
         assert _same_rows(a, b)
 
 
@@ -111,14 +130,14 @@ def test_skew_safe_listing_equals_window(spark):
     from cadenza.plans.inputs import playlist_adds
     adds = playlist_adds(spark, SF001).withColumn("username", F.lit("hot"))
     a = S.playlist_listing(adds).select("id", "pos")
-    b = S.playlist_listing_window(adds).select("id", "pos")
+    b = playlist_listing_window(adds).select("id", "pos")
     assert _same_rows(a, b)
 
 
 def test_runs_with_nulls_agree_with_the_window_form(spark):
     req = _requests(spark, [None, None, "a", None, "a", "a"])
     a = S.request_runs(req).select("request_id", "run_no", "pos")
-    b = S.request_runs_window(req).select("request_id", "run_no", "pos")
+    b = request_runs_window(req).select("request_id", "run_no", "pos")
     assert _same_rows(a, b)
     assert [(r["run_no"], r["pos"]) for r in b.orderBy("request_id").collect()] == [
         (1, 1), (1, 2), (2, 1), (3, 1), (4, 1), (4, 2)]

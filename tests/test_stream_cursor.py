@@ -36,13 +36,44 @@ def test_sessions_go_on_over_micro_batches_without_a_session_in_one_task(spark,
     assert got.where("pos = 4").where("request_id = 1101").count() == 1
 
 
-def test_runs_before_go_on_over_chunks(spark):
-    rows = [(i, 1 + i % 2, i, "a" if i < 30 else "b") for i in range(60)]
-    before = spark.createDataFrame([(1, "a", 7), (2, "b", 5)], "session_id long, before_v string, before_n long")
-    for parts in (1, 7):
-        out = ordered_positions(_log(spark, rows), "session_id", [F.col("ts").asc(), F.col("request_id").asc()], "query", parts, before)
-        got = {r.request_id: (r.pos, r.run_no, r.pos_in_run) for r in out.collect()}
-        for i, s, _, q in rows:
-            nth = i // 2 + 1
-            run = (1 if q == "a" else 2) - (s == 1)
-            assert got[i] == (nth, run, (nth if q == "a" else nth - 15) + (7 if s == 1 and q == "a" else 0)), i
+def test_positions_over_many_pieces(spark):
+    """A key over many pieces, runs that span whole pieces, null keys and values, against plain loops."""
+    import random
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([1, 1, 1, 2, None]), i, "a" if i < 200 else rnd.choice(["a", "b", None])) for i in range(300)]
+    want, last = {}, {}
+    for i, s, _, q in rows:
+        pos, run, n, prev = last.get(s, (0, 0, 0, "none yet"))
+        same = prev == q
+        last[s] = (pos + 1, run + (not same), n + 1 if same else 1, q)
+        want[i] = last[s][:3]
+    for parts in (1, 7, 60):
+        out = ordered_positions(_log(spark, rows), "session_id", [F.col("ts").asc(), F.col("request_id").asc()], "query", parts)
+        assert {r.request_id: (r.pos, r.run_no, r.pos_in_run) for r in out.collect()} == want
+        out = ordered_positions(_log(spark, rows), "session_id", [F.col("request_id").asc()], partitions=parts)
+        assert {r.request_id: r.pos for r in out.collect()} == {i: w[0] for i, w in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_restart_goes_on_from_the_state_store(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [(i, 1 + i % 3 if i < 9 else 7, i, "a") for i in range(9)]
+    _log(spark, rows).coalesce(1).write.parquet(source)
+    base = str(tmp_path / "job")
+
+    seen = []
+
+    def run():
+        seen.clear()
+        return jobs.replay_stream(spark, spark.readStream.schema(SCHEMA).parquet(source), _search, base=base, progress=seen)
+
+    assert sorted(r.pos for r in run().collect()) == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+    more = [(20, 1, 20, "a"), (21, 1, 21, "b"), (22, 9, 22, "a"), (23, 1, 23, "")]
+    _log(spark, more).coalesce(1).write.mode("append").parquet(source)
+    got = {r.request_id: r.pos for r in run().collect()}
+    assert {i: got[i] for i in (20, 21, 22, 23)} == {20: 4, 21: 1, 22: 1, 23: None} and len(got) == 13
+    # the state store wrote the sessions of the new batch only: 1 and 9 of 4
+    state = [p["stateOperators"][0] for p in seen if p["stateOperators"]]
+    assert sum(s["numRowsUpdated"] for s in state) == 2 and state[-1]["numRowsTotal"] == 4
+    assert run().count() == 13
