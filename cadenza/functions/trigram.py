@@ -54,12 +54,13 @@ RETURN array_distinct(flatten(transform(
   w -> transform(sequence(1, char_length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))
 """
 
+# the sets and their overlap are bound as lambda variables, so that each is computed once
 SIMILARITY_DDL = r"""
 CREATE OR REPLACE TEMPORARY FUNCTION similarity(a STRING, b STRING) RETURNS DOUBLE
-RETURN CASE WHEN size(show_trgm(a)) = 0 OR size(show_trgm(b)) = 0 THEN 0D
-  ELSE size(array_intersect(show_trgm(a), show_trgm(b)))
-       / (size(show_trgm(a)) + size(show_trgm(b)) - size(array_intersect(show_trgm(a), show_trgm(b))))
-  END
+RETURN element_at(transform(
+  transform(array(struct(show_trgm(a) AS x, show_trgm(b) AS y)),
+            s -> struct(size(s.x) AS m, size(s.y) AS n, size(array_intersect(s.x, s.y)) AS both)),
+  c -> CASE WHEN c.m = 0 OR c.n = 0 THEN 0D ELSE c.both / (c.m + c.n - c.both) END), 1)
 """
 
 

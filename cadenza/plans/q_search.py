@@ -3,6 +3,8 @@ the SQL-function form, parameterised SQL and search replies."""
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +13,7 @@ from ..functions.trigram import (duck_similarity, duck_trigram_set, register_sql
 from ..operators import fuzzy
 from ..operators.sessions import NO_QUERY
 from ..session import read_table, register_tables
+from ..sources import sql_script
 from .inputs import (PART_CATALOGUE_SQL, SEARCH_REQUESTS_SQL, part_catalogue, part_index,
                      search_requests)
 from .registry import query, r6
@@ -52,9 +55,10 @@ SELECT field, trigram, id, CAST(n AS BIGINT) AS n FROM (
 """)
 def q_trigram_postings(spark, sf):
     """Per-row postings read from the stored index (distinct-string postings
-    joined to the string-to-row map)."""
+    joined to the rows that hold the string)."""
     idx = part_index(spark, sf)
-    return idx.postings.join(idx.rows, ["field", "s"]).select(
+    held = idx.rows.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("s")) for f in idx.fields])).alias("x"))
+    return idx.postings.join(held.select("id", "x.field", "x.s"), ["field", "s"]).select(
         "field", "trigram", "id", F.col("n").cast("bigint").alias("n"))
 
 
@@ -123,18 +127,6 @@ def q_search_reply(spark, sf):
     return fuzzy.search_replies(req, res, "request_id", "query")
 
 
-SEARCH_SQL = """
-SELECT id, name, artist, round(score, 6) AS score FROM (
-  SELECT p_partkey AS id, p_name AS name, p_brand AS artist,
-         similarity(p_name, :q) AS sim_name, similarity(p_brand, :q) AS sim_artist,
-         greatest(similarity(p_name, :q), similarity(p_brand, :q)) AS score
-  FROM part)
-WHERE sim_name > 0.25 OR sim_artist > 0.25
-ORDER BY score, id
-LIMIT 5
-"""
-
-
 @query("param_sql", f"""
 SELECT id, name, artist, round(score, 6) AS score FROM (
   SELECT p_partkey AS id, p_name AS name, p_brand AS artist,
@@ -145,10 +137,10 @@ WHERE score > 0.25::DOUBLE
 ORDER BY score, id LIMIT 5
 """)
 def q_param_sql(spark, sf):
-    """The application's search statement, run with a named parameter."""
+    """The application's search: a ``.sql`` file with comments, a preparing statement and the driver's marks."""
     register_tables(spark, sf, ["part"])
-    register_sql_functions(spark)
-    return spark.sql(SEARCH_SQL, args={"q": SEARCH_TEXT})
+    script = pkgutil.get_data("cadenza.plans", "sql/search.sql").decode()
+    return sql_script.run_script(spark, sql_script.statements(script), {"q": SEARCH_TEXT})
 
 
 @query("similarity_sql", f"""

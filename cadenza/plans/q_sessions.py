@@ -65,8 +65,7 @@ def q_replay_requests(spark, sf):
     """Each search request's reply: the n-th of the top 5 results of its text,
     n = position in its run of equal requests."""
     req = search_requests(spark, sf)
-    hits = fuzzy.fuzzy_join(req, part_catalogue(spark, sf), q_col="query", index=part_index(spark, sf))
-    top = fuzzy.rank_hits(hits, 5).join(part_catalogue(spark, sf), "id")
+    top = fuzzy.fuzzy_top(req, part_catalogue(spark, sf), 5, q_col="query", index=part_index(spark, sf))
     return S.replay_requests(req, top.select("q", "rank", "name", "artist"), S.SEARCH_REPLIES)
 
 

@@ -57,8 +57,7 @@ def q_stream_replay(spark, sf):
     parts, index = part_catalogue(spark, sf), part_index(spark, sf)
 
     def search(requests):
-        hits = fuzzy.fuzzy_join(requests, parts, q_col="query", index=index)
-        return fuzzy.rank_hits(hits, 5).join(parts, "id").select("q", "rank", "name", "artist")
+        return fuzzy.fuzzy_top(requests, parts, 5, q_col="query", index=index).select("q", "rank", "name", "artist")
 
     return jobs.replay_stream(spark, _request_stream(spark, sf), search, S.SEARCH_REPLIES)
 
