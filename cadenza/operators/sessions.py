@@ -7,18 +7,19 @@
 * Playlists: inserts minus deletes by key, listed newest first (nulls first,
   as the database does), ties by id.
 * Registration: first come wins with unique username and unique email; a
-  refused row does not block later rows. Decided in rounds (each round one
-  job, lineage cut by a reliable checkpoint).
+  refused row does not block later rows. Decided by conflict components, in
+  rounds only where one is large.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.components import connected_components
 from ..operators.ordered import ordered_positions
 from ..operators.quality import missing_text
 from ..session import cut_lineage
@@ -119,43 +120,68 @@ def register_first_by_name(regs: DataFrame, order: list[str]) -> DataFrame:
                       message.alias("message"))
 
 
+#: Sign-ups of one conflict component that are decided together in one task.
+COMPONENT_ROWS = 10_000
+
+
+def _decide(pdf):
+    """First come, first served within one component."""
+    names, mails, won = set(), set(), []
+    for seq, name, mail in sorted(zip(pdf["seq"], pdf["username"], pdf["email"]), key=lambda r: r[0]):
+        if name not in names and mail not in mails:
+            names.add(name)
+            mails.add(mail)
+            won.append(seq)
+    return pdf[pdf["seq"].isin(won)][["seq"]]
+
+
 def register_two_keys(regs: DataFrame, order: list[str], existing: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Greedy in arrival order with unique username and unique email.
-
-    Round: (1) refuse undecided rows whose username or email is taken by an
-    accepted row; (2) accept every undecided row that is the earliest of the
-    undecided rows with its username *and* with its email — no earlier row can
-    still block it, so the sequential greedy accepts it too. The earliest
-    undecided row is always accepted, so rounds end. Returns the decided
-    table and the number of rounds.
+    """Greedy in arrival order with unique username and unique email; the decided table and the number of rounds.
+
+    Sign-ups that name a taken username or email are refused at once, and of those with one username and email only the
+    first can win. The rest can only be in each other's way within a connected component of the graph of names and
+    emails. Components of up to ``COMPONENT_ROWS`` are decided in one grouped step each. Only larger ones go in rounds:
+    accept every undecided row that is the earliest with its username *and* with its email (no earlier row can
+    block it), refuse those it blocks; as soon as what is left falls into small components, these are decided as above.
     """
     spark = regs.sparkSession
     valid = ~(missing_text(F.col("username")) | missing_text(F.col("email")))
     seq = F.struct(*[F.col(c) for c in order]).alias("_seq")
     base = regs.select("*", seq)
-    undecided = base.filter(valid).select("_seq", "username", "email")
-    taken_u = existing.select("username") if existing is not None else None
-    taken_e = existing.select("email") if existing is not None else None
-    accepted_parts: list[DataFrame] = []
+    undecided = base.filter(valid).groupBy("username", "email").agg(F.min("_seq").alias("seq"))
+    if existing is not None:
+        undecided = (undecided.join(existing.select("username"), "username", "left_anti")
+                     .join(existing.select("email"), "email", "left_anti"))
+    undecided = cut_lineage(undecided, "undecided")
+    won_parts: list[DataFrame] = []
     rounds = 0
-    while True:
-        if taken_u is not None:
-            undecided = (undecided.join(taken_u, "username", "left_anti")
-                         .join(taken_e, "email", "left_anti"))
-        undecided = cut_lineage(undecided)
+    while not undecided.isEmpty():
+        rounds += 1
+        edges = undecided.select(F.concat(F.lit("u"), "username").alias("a"), F.concat(F.lit("e"), "email").alias("b"))
+        parts = connected_components(edges)
+        sized = undecided.join(parts.select(F.col("node").alias("_a"), "component"), F.concat(F.lit("u"), "username") == F.col("_a")).drop("_a")
+        sizes = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        sized = cut_lineage(sized.join(sizes, "component"), "components")
+        # seq travels as a rank within its component, so that any order columns will do
+        ranked = sized.where(F.col("n") <= COMPONENT_ROWS).withColumn(
+            "nth", F.row_number().over(Window.partitionBy("component").orderBy("seq")).cast("bigint"))
+        few = ranked.select("component", F.col("nth").alias("seq"), "username", "email").groupBy("component").applyInPandas(
+            lambda key, pdf: _decide(pdf).assign(component=key[0]), "seq bigint, component string")
+        small = ranked.join(few.select(F.col("seq").alias("nth"), "component"), ["component", "nth"]).select("seq")
+        undecided = sized.where(F.col("n") > COMPONENT_ROWS).select("username", "email", "seq")
         if undecided.isEmpty():
+            won_parts.append(cut_lineage(small, "won"))
             break
-        rounds += 1
-        first_u = undecided.groupBy("username").agg(F.min("_seq").alias("_seq"))
-        first_e = undecided.groupBy("email").agg(F.min("_seq").alias("_seq"))
-        won = cut_lineage(first_u.join(first_e, "_seq"))
-        accepted_parts.append(won.select("_seq"))
-        undecided = undecided.join(won.select("_seq"), "_seq", "left_anti")
-        taken_u, taken_e = won.select("username"), won.select("email")
-    acc = accepted_parts[0] if accepted_parts else spark.createDataFrame([], base.select("_seq").schema)
-    for p in accepted_parts[1:]:
+        first_u = undecided.groupBy("username").agg(F.min("seq").alias("seq"))
+        first_e = undecided.groupBy("email").agg(F.min("seq").alias("seq"))
+        won = cut_lineage(undecided.join(first_u, ["username", "seq"], "left_semi").join(first_e, ["email", "seq"], "left_semi"), "won")
+        won_parts += [cut_lineage(small, "won"), won.select("seq")]
+        undecided = cut_lineage(undecided.join(won.select("username"), "username", "left_anti")
+                                .join(won.select("email"), "email", "left_anti"), "undecided")
+    acc = won_parts[0] if won_parts else spark.createDataFrame([], base.select(F.col("_seq").alias("seq")).schema)
+    for p in won_parts[1:]:
         acc = acc.unionByName(p)
-    out = base.join(acc.withColumn("_won", F.lit(True)), "_seq", "left")
+    out = base.join(acc.select(F.col("seq").alias("_seq"), F.lit(True).alias("_won")), "_seq", "left")
     message = (F.when(~valid, F.lit(FILL_ALL)).when(F.col("_won"), F.lit(REGISTERED))
                .otherwise(F.lit(TAKEN)))
     return (out.select(*regs.columns, F.coalesce("_won", F.lit(False)).alias("accepted"),

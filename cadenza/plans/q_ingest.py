@@ -112,16 +112,55 @@ UNION ALL SELECT 'rejected', count(*) FROM ({FLAT_SQL}) WHERE reason IS NOT NULL
 UNION ALL SELECT 'duplicate', (SELECT count(*) FROM ({FLAT_SQL}) WHERE reason IS NULL) - (SELECT count(*) FROM ({KEPT_SQL}))
 """)
 def q_load_yield(spark, sf):
-    """Rows read, kept, rejected and dropped as duplicates, in one pass over
-    the flat rows plus one over the kept ones."""
-    flat = _flat(spark, sf)
-    good, _ = J.split_good(flat)
-    kept = Q.dedup_first(good.drop("date"), "id", DEDUP_ORDER)
-    kept_n = kept.agg(F.count(F.lit(1))).scalar()
-    c = flat.agg(F.count(F.lit(1)).alias("read"),
-                 F.sum(F.col("reason").isNotNull().cast("bigint")).alias("rejected"))
-    return c.select("read", "rejected", kept_n.alias("kept")).selectExpr(
-        "stack(4, 'read', read, 'kept', kept, 'rejected', rejected, 'duplicate', read - rejected - kept) AS (status, n)")
+    """Rows read, kept, rejected and dropped as duplicates, counted while the tree is loaded into a keyed table."""
+    n = J.load(spark, write_json_tree(spark, sf), scratch_path(spark, "load"), multi_line=False, dedup_order=DEDUP_ORDER)
+    return spark.createDataFrame(list(n.items()), "status string, n bigint")
+
+
+# One document per supplier, each in a file of its own. Fixed rules make some dirty: text for a date, no title, a
+# document that breaks off.
+_DOC_DATE = "CASE WHEN s_suppkey % 7 = 0 THEN 'unknown' ELSE CAST(1950 + s_nationkey AS {0}) || '-05-01' END"
+_DOC_SCORE = "(s_acctbal + 1000.0) / 11000.0"
+
+
+def write_document_tree(spark, sf) -> str:
+    """A nested tree of pretty-printed documents, one file each, written by Spark once per session."""
+    def write() -> str:
+        sup = read_table(spark, sf, "supplier").join(read_table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
+        flat = sup.select(
+            "s_suppkey", "s_nationkey", F.concat(F.lit("s"), (F.col("s_suppkey") - F.col("s_suppkey") % 5).cast("string")).alias("id"),
+            F.when(F.col("s_suppkey") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("s_name")).alias("title"),
+            F.col("n_name").alias("artist"), F.expr(_DOC_DATE.format("STRING")).alias("date"),
+            *[F.expr(_DOC_SCORE).cast("double").alias(c) for c in SCORE_COLUMNS],
+            F.when(F.col("s_suppkey") % 2 == 0, "female").otherwise("male").alias("gender"), F.lit("roc").alias("genre"), F.lit("cluster1").alias("mirex"))
+        text = F.to_json(F.struct("metadata", "highlevel"), {"pretty": "true"})
+        doc = F.when(F.col("s_suppkey") % 13 == 0, F.substring(text, 1, 40)).otherwise(text)
+        path = scratch_path(spark, "documents-tree")
+        (J.to_records(flat, extra=["s_suppkey", "s_nationkey"]).select(doc.alias("value"), "s_nationkey", "s_suppkey")
+         .write.partitionBy("s_nationkey", "s_suppkey").text(path))
+        return path
+    return written_once(spark, "documents-tree", [os.path.join(sf, f"{t}.parquet") for t in ("supplier", "nation")], write)
+
+
+_DOC_FLAT = f"""
+SELECT s_suppkey, 's' || CAST(s_suppkey - s_suppkey % 5 AS VARCHAR) AS id, s_name AS name, n_name AS artist, 1950 + s_nationkey AS year,
+       round({_DOC_SCORE}, 6) AS dance,
+       CASE WHEN s_suppkey % 13 = 0 THEN 'corrupt' WHEN s_suppkey % 11 = 0 THEN 'missing field' WHEN s_suppkey % 7 = 0 THEN 'year' END AS reason
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+"""
+
+
+@query("ingest_documents", f"""
+SELECT id, name, artist, CAST(year AS BIGINT) AS year, dance, 'kept' AS status FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY year, name) AS rn FROM ({_DOC_FLAT}) WHERE reason IS NULL) WHERE rn = 1
+UNION ALL
+SELECT CASE WHEN reason <> 'corrupt' THEN id END, NULL, NULL, NULL, NULL, reason FROM ({_DOC_FLAT}) WHERE reason IS NOT NULL
+""")
+def q_ingest_documents(spark, sf):
+    """A tree with one multi-line document per file: the catalogue and, per file that is no good one, a reject."""
+    kept, rejects = J.ingest(spark, write_document_tree(spark, sf), True, ["year", "name"], "*.txt")
+    good = kept.select("id", "name", "artist", F.col("year").cast("bigint").alias("year"), r6("dance").alias("dance"), F.lit("kept").alias("status"))
+    return good.unionByName(rejects.select("id", F.col("reason").alias("status")), allowMissingColumns=True)
 
 
 NULL_COLUMNS = ["id", "name", "artist", "date", "year", *SCORE_COLUMNS, "gender", "genre", "mirex"]

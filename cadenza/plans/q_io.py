@@ -3,10 +3,11 @@ key, positional-parameter SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import read_table, register_tables, scratch_path
-from ..sources import sinks
+from ..sources import sinks, tables
 from .inputs import (PLAYLIST_ADDS_SQL, PLAYLIST_DELETES_SQL, playlist_adds, playlist_deletes)
 from .registry import query, r6
 
@@ -35,16 +36,25 @@ def q_sink_csv(spark, sf):
     return sinks.read_csv(spark, path, cu.schema)
 
 
-@query("sink_append", PLAYLIST_ADDS_SQL)
+@query("sink_append", f"""
+SELECT row_number() OVER (ORDER BY event_type, added_at, a.id) AS id, username, song,
+       CASE WHEN event_type = 'click' THEN 1 ELSE 2 END AS append_no
+FROM ({PLAYLIST_ADDS_SQL}) a JOIN events ON event_id = a.id
+""")
 def q_sink_append(spark, sf):
-    """Playlist inserts appended in two writes (clicks, then views)."""
+    """Playlist inserts appended in two writes (clicks, then views), each in order of time; the table gives
+    the ids and the time of each append."""
     path = scratch_path(spark, "append")
-    adds = playlist_adds(spark, sf)
-    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
-    typed = adds.join(ev, "id")
+    adds = playlist_adds(spark, sf).withColumnRenamed("id", "event")
+    ev = read_table(spark, sf, "events").select(F.col("event_id").alias("event"), "event_type")
+    typed = adds.withColumnRenamed("added_at", "asked_at").join(ev, "event")
+    tables.create_numbered(spark, path)
     for t in ("click", "view"):
-        sinks.write_append(typed.filter(F.col("event_type") == t).drop("event_type"), path)
-    return sinks.read_back(spark, path)
+        tables.append_numbered(typed.filter(F.col("event_type") == t).drop("event_type"), path, [F.col("asked_at").asc(), F.col("event").asc()])
+    rows = tables.read_numbered(spark, path)
+    times = rows.select("added_at").distinct()  # one per append
+    nth = times.select(F.col("added_at").alias("_at"), F.row_number().over(Window.orderBy("added_at")).alias("append_no"))
+    return rows.join(nth, F.col("added_at") == F.col("_at")).select("id", "username", "song", "append_no")
 
 
 @query("delete_by_key", f"""

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import first_of, year_prefix
 from ..operators.quality import dedup_first
+from ..session import cut_lineage
+from . import tables
 
 CORRUPT = "_corrupt_record"
 
@@ -68,12 +70,13 @@ def record_schema() -> T.StructType:
     ])
 
 
-def scan(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
-    """Raw records below ``root`` (recursive, names ending in ``json``), with
-    the source file path."""
+def scan(spark: SparkSession, root: str, multi_line: bool = True, pattern: str = "*json") -> DataFrame:
+    """Raw records below ``root`` (recursive, names that match ``pattern``), with
+    the source file path. ``multi_line``: one document per file; a task takes as many small
+    files as fit its share of bytes, and a file that is no document is one reject."""
     df = (spark.read.schema(record_schema())
           .option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*json")
+          .option("pathGlobFilter", pattern)
           .option("multiLine", multi_line)
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", CORRUPT)
@@ -114,15 +117,29 @@ def split_good(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest(spark: SparkSession, root: str, multi_line: bool = True,
-           dedup_order: Sequence[str] = ("_file",)) -> tuple[DataFrame, DataFrame]:
+           dedup_order: Sequence[str] = ("_file",), pattern: str = "*json") -> tuple[DataFrame, DataFrame]:
     """``(catalogue, rejects)``: one row per id, first by ``dedup_order``
     (source path by default, then the record content)."""
-    flat = flatten(scan(spark, root, multi_line))
+    flat = flatten(scan(spark, root, multi_line, pattern))
     good, rejects = split_good(flat)
     kept = dedup_first(good.drop("date"), "id", list(dedup_order))
     return kept.select(*CATALOGUE_ORDER, *[c for c in kept.columns if c not in CATALOGUE_ORDER]), rejects
 
 
+def load(spark: SparkSession, root: str, path: str, multi_line: bool = True, dedup_order: Sequence[str] = ("_file",),
+         pattern: str = "*json") -> dict[str, int]:
+    """Ingest the tree into the keyed table at ``path`` (``sources.tables``) and its rejects into ``<path>/rejects``.
+
+    The tree is read once: its rows are written with their reasons, and read and rejected rows are counted in that pass,
+    kept ones while the table is written. The table is named only when its key holds. Returns the counts."""
+    flat, seen = tables.counted(flatten(scan(spark, root, multi_line, pattern)), read=F.count(F.lit(1)), rejected=F.count("reason"))
+    good, rejects = split_good(cut_lineage(flat, "flat"))
+    kept = tables.load_keyed(dedup_first(good.drop("date"), "id", list(dedup_order)).select(*CATALOGUE_ORDER), path, "id")
+    rejects.write.mode("overwrite").parquet(f"{path}/rejects")
+    n = seen.get
+    return {"read": n["read"], "kept": kept, "rejected": n["rejected"], "duplicate": n["read"] - n["rejected"] - kept}
+
+
 def to_records(flat: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """The inverse shape: flat columns (``title`` is an array, possibly
     empty) to nested records, for writing a JSON tree; ``extra`` columns are
