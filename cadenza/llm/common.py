@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
+import string
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage, read_table
 
@@ -35,17 +35,9 @@ def forget(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-@F.pandas_udf(T.StringType())
-def _lower_batch(s):  # noqa: ANN001, ANN202
-    import pandas as pd
-    import pyarrow.compute as pc
-
-    return pd.Series(pc.ascii_lower(pa.array(s, pa.large_string())).to_pandas(), index=s.index)
-
-
 def ascii_lower(col: Column) -> Column:
-    """Lower-case A-Z only, whole Arrow batches at a time (``lower`` would fold other letters too)."""
-    return _lower_batch(col)
+    """Lower-case A-Z only (``lower`` would fold other letters too)."""
+    return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def arrow_rows(batches: Iterable[pa.RecordBatch], slice_rows: int = SLICE_ROWS) -> Iterator[list[dict]]:

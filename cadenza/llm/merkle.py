@@ -23,12 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, cut_lineage
+from .common import arrow_rows, ascii_lower, cut_lineage
 
 ARITY = 8
 BLOCK_LEVELS = 4
 BLOCK = ARITY ** BLOCK_LEVELS
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def digest(nodes: list[bytes]) -> bytes:
@@ -220,7 +219,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     text stays null, an empty one counts 0 bytes; an empty table has no rows; other columns are not read.
     """
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
-    changed = F.translate(F.col("text"), UPPER, LOWER)
+    changed = ascii_lower(F.col("text"))
     flag = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
     leaf, other = leaf_hex(*fields), leaf_hex(*fields[:-1], changed)
     leaves = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
