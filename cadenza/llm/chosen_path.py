@@ -1,23 +1,24 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
 A document is its set of distinct word shingles, sketched by ``HASHES`` minwise
-tokens. Independent trees branch the documents by chosen tokens: a node picks
-one or two positions of the sketch and deals its documents to children by their
-tokens there. Nodes of at most ``LEAF`` documents are compared exhaustively on
+tokens. Independent trees branch the documents by chosen tokens: a path from
+the root chooses ``ROOT`` positions of the sketch, one after the other, and
+deals the documents by their tokens there; a node that is still large branches
+on, twice at every level. Nodes of at most ``LEAF`` documents are compared exhaustively on
 their sketches; pairs that may reach the threshold are confirmed on the full
 sets. A second sketch, the least hash of the set in each of ``BINS`` ranges, tells
-links from pairs just below the threshold (it holds nearly all of a small set). A pair at the threshold is separated in one tree with probability under
-0.2 per level, so ``TREES`` trees miss it with a probability below 1e-7.
+links from pairs just below the threshold (it holds nearly all of a small set). A pair at the threshold follows one path
+with probability 0.51, so ``TREES`` trees miss it with a probability of 1.6e-8; where all its nodes branch down to the last
+level (only in very large groups, which hold together by other links too) with one of 3e-6.
 
 Only connected components are wanted, so pairs inside one component need no
-comparing. Documents with equal sets are one from the start. Then come three
-rounds over the same trees, each confirming links and joining components: the
-best partner of every document (large nodes are dealt into leaves at random,
-which joins a large group of near copies without comparing all its pairs);
-for every document the best pairs with each other component; and at last all
+comparing. Documents with equal sets are one from the start. Then the trees are walked in rounds, each confirming links and
+joining components: first the best partner of every document, where large nodes are dealt into leaves at random, and dealt
+again with other hashes as long as that joins components, so that a large group of near copies comes
+together without comparing all its pairs; then for every node the best pairs of each two components; and at last all
 pairs left between different components. Nodes that lie in one component are
-dropped. In a large node the documents outside its main component meet the
-whole node, block by block, if they are few; else the node is branched on, and
+dropped, on narrow rows, before sketches are fetched. In a large node the documents outside its main component meet the
+whole node, in blocks, if they are few; else the node is branched on, and
 at the deepest level they meet it in any case. No node is capped and no pair
 sampled.
 """
@@ -29,26 +30,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_rows, cut_lineage, forget, min_label_components, release
 
 HASHES = 64
-TREES = 16
+TREES = 25
+ROOT = 3
 LEAF = 64
 DEPTH = 6
 #: A pair is confirmed if this many tokens of the sketch agree; a pair at 0.8 has fewer with a chance of 3e-7.
 AGREE = 34
 #: Ranges of the second sketch, and standard deviations by which a pair may fall short of the threshold there: a pair at
 #: it falls shorter with a chance of 1e-7.
-BINS = 512
+BINS = 256
 SHORT = 5.2
 #: Round 2 confirms this many pairs of two components in a leaf.
 BEST = 4
-#: Documents outside the main component of a large node that are compared with the whole node at once.
-FEW = 256
+#: Documents outside the main component of a large node that are compared with a block of as many of its documents at once.
+FEW = 1024
 #: Characters per array computation.
 SLICE = 1 << 20
 
@@ -154,23 +156,6 @@ def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], names=schema.names)
 
 
-def sketch_documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, n, key, tokens, bins)``: size, 128-bit digest, minwise tokens and bin sketch of each document's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("tokens", pa.binary()), ("bins", pa.binary())])
-
-    def run(batches):
-        for rows in arrow_rows(batches):
-            out = []
-            for r in rows:
-                s = shingle_set(r["_text"], words)
-                out.append((r["_id"], len(s), hashlib.md5(s.tobytes()).digest() if len(s) else None,
-                            sketch(s).tobytes() if len(s) else None, bin_sketch(s).tobytes() if len(s) else None))
-            yield _batch(zip(*out), schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "doc_id long, n long, key binary, tokens binary, bins binary")
-
-
 def _hash(*parts) -> np.ndarray:
     x = np.zeros(1, _U)
     for p in parts:
@@ -178,22 +163,38 @@ def _hash(*parts) -> np.ndarray:
     return x
 
 
-def first_nodes(reps: DataFrame) -> DataFrame:
-    """``(node, id)``: in each tree a root picks one position of the sketch, or two in one tree of four, and deals the
-    documents by their tokens there."""
-    places = [(t, (t * 4 + t // 16) % HASHES) for t in range(TREES)]
-    places += [(t, (t * 4 + 2) % HASHES) for t in range(0, TREES, 4)]
-    tree, place = np.array(places).T
+#: The positions that the trees' first levels choose: disjoint triples first, then triples across these.
+_PATHS = np.array([(3 * t, 3 * t + 1, 3 * t + 2) for t in range(HASHES // ROOT)]
+                  + [(5 * t % HASHES, (5 * t + 22) % HASHES, (5 * t + 43) % HASHES) for t in range(TREES - HASHES // ROOT)])
+
+
+def first_nodes(tokens: np.ndarray) -> np.ndarray:
+    """The node in each tree that documents with these minwise tokens (a row each) reach by its first choices."""
+    return _hash(np.arange(TREES)[None, :], *[tokens[:, _PATHS[:, k]] for k in range(ROOT)]).view(np.int64)
+
+
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sk", pa.binary()), ("bins", pa.binary()),
+                     ("nodes", pa.list_(pa.int64()))])
 
+
+def sketch_documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, n, key, sk, bins, nodes)``: size, 128-bit digest, low bytes of the minwise tokens, bin sketch and first
+    nodes of each document's set."""
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                tokens = np.frombuffer(b"".join(b["tokens"].to_pylist()), np.uint32).reshape(b.num_rows, HASHES)
-                node = _hash(tree[None, :], place[None, :], tokens[:, place]).view(np.int64)
-                ids = np.repeat(b["id"].to_numpy(), len(places))
-                yield pa.RecordBatch.from_arrays([pa.array(node.ravel()), pa.array(ids)], names=["node", "id"])
+        for rows in arrow_rows(batches):
+            out = []
+            for r in rows:
+                s = shingle_set(r["_text"], words)
+                if not len(s):
+                    out.append((r["_id"], 0, None, None, None, None))
+                    continue
+                tokens = sketch(s)
+                out.append((r["_id"], len(s), hashlib.md5(s.tobytes()).digest(), tokens.astype(np.uint8).tobytes(), bin_sketch(s).tobytes(),
+                            first_nodes(tokens[None, :])[0]))
+            yield _batch(zip(*out), _SKETCH)
 
-    return reps.select("id", "tokens").mapInArrow(run, "node long, id long")
+    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
+        run, "doc_id long, n long, key binary, sk binary, bins binary, nodes array<long>")
 
 
 def _groups(batches, columns: list[str]):
@@ -234,13 +235,15 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
         for g in _groups(batches, ["node", "half", "id", "comp", "n", "sk", "bins"]):
             ids, comp, n, half = g["id"], g["comp"], g["n"], g["half"]
             p, q = (np.flatnonzero(half == 1), np.flatnonzero(half == 2)) if half.any() else (np.arange(len(ids)),) * 2
-            agree = (g["sk"][p][:, None, :] == g["sk"][q][None, :, :]).sum(2)
+            sk = g["sk"][q]
+            agree = np.concatenate([(g["sk"][p[at:at + 32]][:, None, :] == sk[None, :, :]).sum(2, dtype=np.int16) for at in range(0, len(p), 32)]
+                                   ) if len(p) and len(q) else np.zeros((len(p), len(q)), np.int16)
             near = (agree >= AGREE) & (comp[p][:, None] != comp[q][None, :])
             near &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= pct * np.maximum(n[p][:, None], n[q][None, :])
             if not half.any():
                 near = np.triu(near)
             x, y = np.nonzero(near)
-            level = -agree[x, y]
+            level = -agree[x, y].astype(np.int64)
             x, y = p[x], q[y]
             keep = may_link(g["bins"][x], g["bins"][y], n[x], n[y], pct)
             x, y, level = x[keep], y[keep], level[keep]
@@ -294,52 +297,69 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def round_pairs(nodes: DataFrame, best: int, pct: int, deal: bool) -> DataFrame:
-    """Candidate pairs of all nodes ``(node, id, comp, n, sk, bins)``. Nodes within one component are dropped; large ones are
-    dealt at random (``deal``), or compared block by block with the documents outside their main component, or branched on."""
-    found, held = [], None
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """``(node, id, comp, rows)``: the rows of nodes that hold more than one component, written, without sketches."""
+    about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
+    return cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).select("node", "id", "comp", "rows"), "nodes")
+
+
+def _in_components(tree: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return tree.select("node", "id", F.col("id").alias("comp"))
+    named = comp.select(F.col("node").alias("_id"), "component")
+    return (tree.join(named, F.col("id") == F.col("_id"), "left").select("node", "id", F.coalesce("component", "id").alias("comp")))
+
+
+def _whole(f: Column) -> Column:
+    return F.ceil(f).cast("int")
+
+
+def deal_pairs(nodes: DataFrame, about: DataFrame, pct: int, salt: int) -> DataFrame:
+    """Each document's best partner in the nodes ``(node, id, comp, rows)``, the large ones dealt into leaves at random."""
+    deal = F.pmod(F.xxhash64("id", "node", F.lit(salt)), F.ceil(F.col("rows") / LEAF))
+    leaf = F.when(F.col("rows") <= LEAF, F.col("node")).otherwise(F.xxhash64("node", deal))
+    return leaf_pairs(nodes.withColumn("node", leaf).withColumn("half", F.lit(0)).join(about, "id"), 1, pct)
+
+
+def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFrame:
+    """Candidate pairs of all nodes ``(node, id, comp, rows)``: large ones are compared in blocks with the documents
+    outside their main component, or branched on. ``best`` as in ``leaf_pairs``."""
+    found = []
     for depth in range(DEPTH + 1):
-        about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
-        nodes = cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).drop("_node"), "nodes")
-        if held is not None:
-            forget(held)
-        held = nodes
         leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
-        found.append(cut_lineage(leaf_pairs(leaves, best, pct), "leaf-pairs"))
+        found.append(cut_lineage(leaf_pairs(leaves.join(about, "id"), best, pct), "leaf-pairs"))
         large = nodes.where(F.col("rows") > LEAF)
         if large.limit(1).count() == 0:
             break
-        if deal:
-            dealt = large.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("rows") / LEAF))))
-            found.append(leaf_pairs(dealt.withColumn("half", F.lit(0)), best, pct))
-            break
         # the main component of a large node needs no comparing with itself: the others meet all blocks of the node
-        main = (large.groupBy("node", "comp").count().groupBy(F.col("node").alias("_node"))
-                .agg(F.max(F.struct("count", F.col("comp").alias("main"))).alias("m")))
-        large = large.join(main, F.col("node") == F.col("_node")).withColumn("others", F.col("rows") - F.col("m.count"))
+        sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"))
+        # size and component in one number, so that the aggregate is hashed
+        main = sizes.groupBy(F.col("node").alias("_node")).agg(F.max("size").alias("most"))
+        main = (sizes.join(main, (F.col("node") == F.col("_node")) & (F.col("size") == F.col("most")))
+                .groupBy("_node", "most").agg(F.min("comp").alias("main")))
+        large = cut_lineage(large.join(main, F.col("node") == F.col("_node")).select(
+            "node", "id", "comp", "rows", "main", (F.col("rows") - F.col("most")).alias("others")), "large-nodes")
         met = large if depth == DEPTH else large.where(F.col("others") <= FEW)
-        blocks, parts = F.ceil(F.col("rows") / LEAF).cast("int"), F.ceil(F.col("others") / FEW).cast("int")
+        blocks, parts = _whole(F.col("rows") / FEW), _whole(F.col("others") / FEW)
         block, part = F.pmod(F.xxhash64("id", "node"), blocks).cast("int"), F.pmod(F.xxhash64("node", "id"), parts).cast("int")
-        whole = met.select("node", "id", "comp", "n", "sk", "bins", F.lit(1).alias("half"), block.alias("_b"),
-                           F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
-        other = met.where(F.col("comp") != F.col("m.main")).select(
-            "node", "id", "comp", "n", "sk", "bins", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
-        cells = whole.unionByName(other)
-        found.append(cut_lineage(leaf_pairs(cells.withColumn("node", F.xxhash64("node", "_b", "_p")), best, pct), "cell-pairs"))
-        if depth == DEPTH:
+        whole = met.select("node", "id", "comp", F.lit(1).alias("half"), block.alias("_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
+        other = met.where(F.col("comp") != F.col("main")).select(
+            "node", "id", "comp", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
+        cells = whole.unionByName(other).withColumn("node", F.xxhash64("node", "_b", "_p"))
+        found.append(cut_lineage(leaf_pairs(cells.join(about, "id"), best, pct), "cell-pairs"))
+        more = large.where(F.col("others") > FEW)
+        if depth == DEPTH or more.limit(1).count() == 0:
             break
-        nodes = _children(large.where(F.col("others") > FEW).select("node", "id", "comp", "n", "sk", "bins"), depth)
+        nodes = _mixed(_children(more.select("node", "id", "comp").join(about.select("id", "sk"), "id"), depth).drop("sk"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    pairs = cut_lineage(out.distinct(), "pairs")
-    forget(held, *(found if not deal else found[:1]))
-    return pairs
+    return out
 
 
 class _Sets:
-    """Full sets of the documents that take part in a pair, written once; 48 bits of each hash."""
+    """Full sets of the documents that take part in a pair, written once."""
 
     def __init__(self, docs: DataFrame, words: int, id_col: str, text_col: str):
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
@@ -356,7 +376,7 @@ class _Sets:
         def run(batches):
             for rows in arrow_rows(batches):
                 yield _batch(([r["id"] for r in rows],
-                              [np.ascontiguousarray(shingle_set(r["_text"], words).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for r in rows]),
+                              [shingle_set(r["_text"], words).tobytes() for r in rows]),
                              pa.schema([("id", pa.int64()), ("s", pa.binary())]))
 
         made = cut_lineage(self.docs.join(new, "id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "sets")
@@ -368,11 +388,8 @@ def _reaches(a, b, pct):
     import pandas as pd
 
     def one(x: bytes, y: bytes, p: int) -> bool:
-        u = [np.frombuffer(z, np.uint8).reshape(-1, 6) for z in (x, y)]
-        k = np.zeros((len(u[0]) + len(u[1]), 8), np.uint8)
-        k[:len(u[0]), :6], k[len(u[0]):, :6] = u
-        both = len(k) - len(np.unique(k.view(_U)))
-        return 100 * both >= p * (len(k) - both)
+        both = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+        return 100 * both >= p * ((len(x) + len(y)) // 8 - both)
 
     return pd.Series([one(x, y, p) for x, y, p in zip(a, b, pct)], dtype=bool)
 
@@ -397,37 +414,54 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     one node). Texts of any length are read whole; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    base = cut_lineage(sketch_documents(docs, words, id_col, text_col), "sketches")
+    base = cut_lineage(sketch_documents(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     linked = base.where("n > 0 and doc_id is not null")
-    classes = cut_lineage(linked.groupBy("key", "n", "tokens", "bins").agg(F.min("doc_id").alias("id")), "classes")
-    low = F.udf(lambda t: bytes(np.frombuffer(t, np.uint32).astype(np.uint8)), T.BinaryType())
-    about = cut_lineage(classes.select("id", "n", low("tokens").alias("sk"), "bins"), "class-sketches")
-    first = first_nodes(classes)
-    shared = first.groupBy("node").count().where("count > 1").select(F.col("node").alias("_node"))
-    tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node")).select("node", "id"), "tree")
+    # one row stands for all documents with its set
+    classes = cut_lineage(linked.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+                          .select("key", F.col("m.doc_id").alias("id"), F.col("m.row").alias("_row")), "classes")
+    reps = cut_lineage(linked.join(classes.select("_row"), F.col("row") == F.col("_row"), "left_semi")
+                       .select(F.col("doc_id").alias("id"), "n", "sk", "bins", "nodes"), "class-sketches")
+    about = reps.select("id", "n", "sk", "bins")
+    first = reps.select(F.explode("nodes").alias("node"), "id")
+    shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("_node"))
+    tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node"), "left_semi"), "tree")
     release(spark)
     sets = _Sets(docs, words, id_col, text_col)
-    links = None
-    tried = None
-    comp = None
-    for best, deal in ((1, True), (BEST, False), (0, False)):
-        nodes = tree.join(about, "id")
-        if comp is None:
-            nodes = nodes.withColumn("comp", F.col("id"))
-        else:
-            nodes = (nodes.join(comp.select(F.col("node").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
-                     .withColumn("comp", F.coalesce("component", "id")).drop("_id", "component"))
-        pairs = round_pairs(nodes.select("node", "id", "comp", "n", "sk", "bins"), best, pct, deal)
+    links = tried = comp = None
+
+    def join_by(pairs: DataFrame) -> int:
+        """Confirm pairs not tried before and join components; the number of new links."""
+        nonlocal links, tried, comp
+        pairs = pairs.distinct()
         if tried is not None:
-            pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        release(spark)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.limit(1).count() == 0:
-            continue
+            return 0
         new = cut_lineage(confirm(pairs, sets, pct), "links")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        comp = cut_lineage(min_label_components(links), "components")
         release(spark)
+        n = new.count()
+        if n:
+            links = new if links is None else links.unionByName(new)
+            comp = cut_lineage(min_label_components(links), "components")
+            release(spark)
+        return n
+
+    salt, nodes = 0, _mixed(_in_components(tree, comp))
+    while True:
+        new = join_by(deal_pairs(nodes, about, pct, salt))
+        forget(nodes)
+        nodes = _mixed(_in_components(tree, comp))
+        large = nodes.where(F.col("rows") > LEAF).count()
+        if new * LEAF < large or not large:  # dealing no longer pays; the next rounds compare the rest
+            break
+        salt += 1
+    for best in (BEST, 0):
+        if best == 0:
+            forget(nodes)
+            nodes = _mixed(_in_components(tree, comp))
+        join_by(all_pairs(nodes, about, best, pct))
     by_class = classes.select(F.col("key").alias("_key"), F.col("id").alias("_class"))
     if comp is not None:
         by_class = (by_class.join(comp, F.col("_class") == F.col("node"), "left")
