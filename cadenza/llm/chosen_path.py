@@ -45,7 +45,7 @@ DEPTH = 6
 AGREE = 34
 #: Ranges of the second sketch, and standard deviations by which a pair may fall short of the threshold there: a pair at
 #: it falls shorter with a chance of 1e-7.
-BINS = 256
+BINS = 512
 SHORT = 5.2
 #: Round 2 confirms this many pairs of two components in a leaf.
 BEST = 4
@@ -174,27 +174,28 @@ def first_nodes(tokens: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sk", pa.binary()), ("bins", pa.binary()),
-                     ("nodes", pa.list_(pa.int64()))])
+                     ("nodes", pa.list_(pa.int64())), ("prints", pa.binary())])
 
 
 def sketch_documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, n, key, sk, bins, nodes)``: size, 128-bit digest, low bytes of the minwise tokens, bin sketch and first
-    nodes of each document's set."""
+    """``(doc_id, n, key, sk, bins, nodes, prints)``: size, 128-bit digest, low bytes of the minwise tokens, bin sketch, first
+    nodes and their low 32 bits of each document's set."""
     def run(batches):
         for rows in arrow_rows(batches):
             out = []
             for r in rows:
                 s = shingle_set(r["_text"], words)
                 if not len(s):
-                    out.append((r["_id"], 0, None, None, None, None))
+                    out.append((r["_id"], 0, None, None, None, None, None))
                     continue
                 tokens = sketch(s)
+                nodes = first_nodes(tokens[None, :])[0]
                 out.append((r["_id"], len(s), hashlib.md5(s.tobytes()).digest(), tokens.astype(np.uint8).tobytes(), bin_sketch(s).tobytes(),
-                            first_nodes(tokens[None, :])[0]))
+                            nodes, nodes.astype(np.uint32).tobytes()))
             yield _batch(zip(*out), _SKETCH)
 
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, "doc_id long, n long, key binary, sk binary, bins binary, nodes array<long>")
+        run, "doc_id long, n long, key binary, sk binary, bins binary, nodes array<long>, prints binary")
 
 
 def _groups(batches, columns: list[str]):
@@ -214,8 +215,8 @@ def _groups(batches, columns: list[str]):
 
 
 def _split(t: pa.Table):
-    wide = {"sk": HASHES, "bins": BINS}
-    cols = {c: (t[c].to_numpy() if c not in wide else np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(-1, wide[c]))
+    wide = {"sk": (HASHES, np.uint8), "bins": (BINS, np.uint8), "prints": (TREES, np.uint32)}
+    cols = {c: (t[c].to_numpy() if c not in wide else np.frombuffer(b"".join(t[c].to_pylist()), wide[c][1]).reshape(-1, wide[c][0]))
             for c in t.column_names}
     edge = np.flatnonzero(np.diff(cols["node"])) + 1
     for a, z in zip([0, *edge.tolist()], [*edge.tolist(), t.num_rows]):
@@ -228,11 +229,14 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
     """Pairs ``(a, b)``, a < b, worth confirming in leaves ``(node, half, id, comp, n, sk, bins)``: of different components,
     sizes and sketches near enough. ``best`` = 1: only the best of each document; more: so many of each two components; 0:
-    all. Where ``half`` is 1 and 2, only pairs between the halves."""
+    all, and leaves also have ``(tree, prints, whole)``: a pair is left out in a tree if an earlier one has compared it.
+    Where ``half`` is 1 and 2, only pairs between the halves."""
+    columns = ["node", "half", "id", "comp", "n", "sk", "bins", *([] if best else ["tree", "prints", "whole"])]
+
     def run(batches):
         out: list[np.ndarray] = []
         size = 0
-        for g in _groups(batches, ["node", "half", "id", "comp", "n", "sk", "bins"]):
+        for g in _groups(batches, columns):
             ids, comp, n, half = g["id"], g["comp"], g["n"], g["half"]
             p, q = (np.flatnonzero(half == 1), np.flatnonzero(half == 2)) if half.any() else (np.arange(len(ids)),) * 2
             sk = g["sk"][q]
@@ -249,6 +253,11 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
             x, y, level = x[keep], y[keep], level[keep]
             if not len(x):
                 continue
+            if not best:
+                e, f = g["prints"][x], g["prints"][y]
+                before = (e == f) & (np.arange(TREES)[None, :] < g["tree"][x][:, None])
+                before &= ((g["whole"][x][:, None] >> np.arange(TREES)[None, :]) & 1).astype(bool)
+                x, y = x[fresh := ~before.any(1)], y[fresh]
             if best:  # each pair from both sides
                 x, y, level = np.append(x, y), np.append(y, x), np.append(level, level)
             if best:
@@ -276,7 +285,7 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
             p = np.concatenate(out)
             yield _batch((p[:, 0], p[:, 1]), _PAIRS)
 
-    return (leaves.select("node", "half", "id", "comp", "n", "sk", "bins").repartition("node").sortWithinPartitions("node")
+    return (leaves.select(*columns).repartition("node").sortWithinPartitions("node")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -298,17 +307,17 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def _mixed(nodes: DataFrame) -> DataFrame:
-    """``(node, id, comp, rows)``: the rows of nodes that hold more than one component, written, without sketches."""
+    """``(node, tree, id, comp, rows)``: the rows of nodes that hold more than one component, written, without sketches."""
     about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
-    return cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).select("node", "id", "comp", "rows"), "nodes")
+    return cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).select("node", "tree", "id", "comp", "rows"), "nodes")
 
 
 def _in_components(tree: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
-        return tree.select("node", "id", F.col("id").alias("comp"))
+        return tree.select("node", "tree", "id", F.col("id").alias("comp"))
     named = comp.select(F.col("node").alias("_id"), "component")
-    return (tree.join(named, F.col("id") == F.col("_id"), "left").select("node", "id", F.coalesce("component", "id").alias("comp")))
+    return (tree.join(named, F.col("id") == F.col("_id"), "left").select("node", "tree", "id", F.coalesce("component", "id").alias("comp")))
 
 
 def _whole(f: Column) -> Column:
@@ -323,41 +332,67 @@ def deal_pairs(nodes: DataFrame, about: DataFrame, pct: int, salt: int) -> DataF
 
 
 def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFrame:
-    """Candidate pairs of all nodes ``(node, id, comp, rows)``: large ones are compared in blocks with the documents
-    outside their main component, or branched on. ``best`` as in ``leaf_pairs``."""
-    found = []
+    """Candidate pairs of all nodes ``(node, tree, id, comp, rows)``: large ones are compared in blocks with the documents
+    outside their main component, or branched on. ``best`` as in ``leaf_pairs``. In the round that wants all pairs, rows know
+    in which trees their first node is compared whole, so that a pair is found in the first of these only."""
+    found, whole = [], None
     for depth in range(DEPTH + 1):
-        leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
-        found.append(cut_lineage(leaf_pairs(leaves.join(about, "id"), best, pct), "leaf-pairs"))
         large = nodes.where(F.col("rows") > LEAF)
-        if large.limit(1).count() == 0:
-            break
         # the main component of a large node needs no comparing with itself: the others meet all blocks of the node
         sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("size"))
-        # size and component in one number, so that the aggregate is hashed
         main = sizes.groupBy(F.col("node").alias("_node")).agg(F.max("size").alias("most"))
         main = (sizes.join(main, (F.col("node") == F.col("_node")) & (F.col("size") == F.col("most")))
                 .groupBy("_node", "most").agg(F.min("comp").alias("main")))
         large = cut_lineage(large.join(main, F.col("node") == F.col("_node")).select(
-            "node", "id", "comp", "rows", "main", (F.col("rows") - F.col("most")).alias("others")), "large-nodes")
+            "node", "tree", "id", "comp", "rows", "main", (F.col("rows") - F.col("most")).alias("others")), "large-nodes")
         met = large if depth == DEPTH else large.where(F.col("others") <= FEW)
+        leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
+        if best == 0 and depth == 0:
+            in_tree = F.sum(F.pow(F.lit(2), F.col("tree")).cast("long"))  # a document is once in a tree
+            whole = cut_lineage(leaves.select("id", "tree").unionByName(met.select("id", "tree")).groupBy("id").agg(in_tree.alias("whole")), "whole")
+
+        def compared(rows: DataFrame, name: str) -> DataFrame:
+            rows = rows.join(about, "id")
+            if best == 0:
+                rows = rows.join(whole, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+            return cut_lineage(leaf_pairs(rows, best, pct), name)
+
+        found.append(compared(leaves, "leaf-pairs"))
+        if large.limit(1).count() == 0:
+            break
         blocks, parts = _whole(F.col("rows") / FEW), _whole(F.col("others") / FEW)
         block, part = F.pmod(F.xxhash64("id", "node"), blocks).cast("int"), F.pmod(F.xxhash64("node", "id"), parts).cast("int")
-        whole = met.select("node", "id", "comp", F.lit(1).alias("half"), block.alias("_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
+        one = met.select("node", "tree", "id", "comp", F.lit(1).alias("half"), block.alias("_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_p"))
         other = met.where(F.col("comp") != F.col("main")).select(
-            "node", "id", "comp", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
-        cells = whole.unionByName(other).withColumn("node", F.xxhash64("node", "_b", "_p"))
-        found.append(cut_lineage(leaf_pairs(cells.join(about, "id"), best, pct), "cell-pairs"))
+            "node", "tree", "id", "comp", F.lit(2).alias("half"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_b"), part.alias("_p"))
+        cells = one.unionByName(other).withColumn("node", F.xxhash64("node", "_b", "_p"))
+        found.append(compared(cells, "cell-pairs"))
         more = large.where(F.col("others") > FEW)
         if depth == DEPTH or more.limit(1).count() == 0:
             break
-        nodes = _mixed(_children(more.select("node", "id", "comp").join(about.select("id", "sk"), "id"), depth).drop("sk"))
+        nodes = _mixed(_children(more.select("node", "tree", "id", "comp").join(about.select("id", "sk"), "id"), depth).drop("sk"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
+#: Bits of the filter that keeps texts of documents without a candidate where they are: at most 8 MB in all.
+MARKS = 1 << 26
+_MARK_BITS = 1 << 15
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs(id, ...)`` less most rows whose id is not in ``ids``: a bitmap of hashed ids, bounded whatever their number, goes
+    to all tasks, so that only texts that may be wanted are shuffled."""
+    h = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    bucket, place = F.floor(h / _MARK_BITS), F.pmod(h, F.lit(_MARK_BITS))
+    marks = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    hit = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.pmod(F.floor(hit / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
+    return docs.join(F.broadcast(marks), bucket == F.col("_bucket")).where(hit).drop("_bucket", "_bits")
+
+
 class _Sets:
     """Full sets of the documents that take part in a pair, written once."""
 
@@ -379,7 +414,7 @@ class _Sets:
                               [shingle_set(r["_text"], words).tobytes() for r in rows]),
                              pa.schema([("id", pa.int64()), ("s", pa.binary())]))
 
-        made = cut_lineage(self.docs.join(new, "id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "sets")
+        made = cut_lineage(_marked(self.docs, new).join(new, "id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "sets")
         self.table = made if self.table is None else self.table.unionByName(made)
 
 
@@ -420,9 +455,9 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     classes = cut_lineage(linked.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("m"))
                           .select("key", F.col("m.doc_id").alias("id"), F.col("m.row").alias("_row")), "classes")
     reps = cut_lineage(linked.join(classes.select("_row"), F.col("row") == F.col("_row"), "left_semi")
-                       .select(F.col("doc_id").alias("id"), "n", "sk", "bins", "nodes"), "class-sketches")
-    about = reps.select("id", "n", "sk", "bins")
-    first = reps.select(F.explode("nodes").alias("node"), "id")
+                       .select(F.col("doc_id").alias("id"), "n", "sk", "bins", "nodes", "prints"), "class-sketches")
+    about = reps.select("id", "n", "sk", "bins", "prints")
+    first = reps.select(F.posexplode("nodes").alias("tree", "node"), "id")
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("_node"))
     tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node"), "left_semi"), "tree")
     release(spark)

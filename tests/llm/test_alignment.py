@@ -11,11 +11,15 @@ DOCS = "doc_id long, text string, block long, at int, links string, total long,
 
 def brute(rows):
     pair = alignment.Pair(alignment.default_tokenizer(), alignment.default_pieces())
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(alignment.default_tokenizer())
+    lib.encode_special_tokens = True
     ab, bb = pair.a_bytes.to_pylist(), pair.b_bytes.to_pylist()
     made, count = [], Counter()
     for d, t in rows:
         whole = (" " + t).encode() if t else b""
-        a = pair.a.encode(" " + t, add_special_tokens=False).ids if t else []
+        a = lib.encode(" " + t, add_special_tokens=False).ids if t else []
         b = pair.b.encode(t) if t else []
         if b"".join(ab[i] for i in a) != whole or b"".join(bb[i] for i in b) != whole:
             a, b = [], []
@@ -67,3 +71,20 @@ def test_blocks_and_parts(spark, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK_CHARS", 2000)
     monkeypatch.setattr(alignment, "PART_CHARS", 500)
     check(spark, rows, 2)
+
+
+def test_ranks_encode_as_the_tokenizer():
+    import random
+
+    import numpy as np
+
+    pair = alignment.Pair(alignment.default_tokenizer(), alignment.default_pieces())
+    assert pair.fast is not None
+    rnd = random.Random(5)
+    tokens = [x.decode("utf-8", "ignore") for x in pair.a_bytes.to_pylist()[:50_000]]
+    texts = ["".join(rnd.choice(tokens) for _ in range(30)) for _ in range(1500)]
+    # every code point of the first planes by turns, beside letters, digits, signs and white space
+    texts += [f" a{c}a 1{c}1 {c}{c}'s  {c}\n {c} \t{c}.{c}" for c in map(chr, [*range(0, 0x3000), *range(0x3000, 0xD800, 37), *range(0xE000, 0x110000, 997)])]
+    texts += ["y" * 9000, " " * 9000 + "x", "<|endoftext|>", "\u00a0" * 5000]
+    want = [e.ids for e in pair.a.t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in pair.encode_a([t.encode() for t in texts])] == want
