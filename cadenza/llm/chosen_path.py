@@ -384,7 +384,7 @@ _MARK_BITS = 1 << 15
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs(id, ...)`` less most rows whose id is not in ``ids``: a bitmap of hashed ids, bounded whatever their number, goes
-    to all tasks, so that only texts that may be wanted are shuffled."""
+    to all tasks, so that only rows that may be wanted are shuffled."""
     h = F.pmod(F.xxhash64("id"), F.lit(MARKS))
     bucket, place = F.floor(h / _MARK_BITS), F.pmod(h, F.lit(_MARK_BITS))
     marks = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
@@ -414,7 +414,9 @@ class _Sets:
                               [shingle_set(r["_text"], words).tobytes() for r in rows]),
                              pa.schema([("id", pa.int64()), ("s", pa.binary())]))
 
-        made = cut_lineage(_marked(self.docs, new).join(new, "id", "left_semi").mapInArrow(run, "id long, s binary").dropDuplicates(["id"]), "sets")
+        # the exact join comes after the sets are made: the optimizer would move it below the filter otherwise
+        made = _marked(self.docs, new).mapInArrow(run, "id long, s binary").join(new, "id", "left_semi")
+        made = cut_lineage(made.dropDuplicates(["id"]), "sets")
         self.table = made if self.table is None else self.table.unionByName(made)
 
 
@@ -431,8 +433,9 @@ def _reaches(a, b, pct):
 
 def confirm(pairs: DataFrame, sets: _Sets, pct: int) -> DataFrame:
     """The pairs whose full sets reach the threshold: 100 * intersection >= pct * union."""
-    sets.add(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    s = sets.table
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    sets.add(ids)
+    s = _marked(sets.table, ids)
     both = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
     return both.where(_reaches("sa", "sb", F.lit(pct))).select("a", "b")
@@ -451,15 +454,15 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     spark = docs.sparkSession
     base = cut_lineage(sketch_documents(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     linked = base.where("n > 0 and doc_id is not null")
-    # one row stands for all documents with its set
+    # one row stands for all documents with its set; the others of a set are mostly few
     classes = cut_lineage(linked.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("m"))
                           .select("key", F.col("m.doc_id").alias("id"), F.col("m.row").alias("_row")), "classes")
-    reps = cut_lineage(linked.join(classes.select("_row"), F.col("row") == F.col("_row"), "left_semi")
-                       .select(F.col("doc_id").alias("id"), "n", "sk", "bins", "nodes", "prints"), "class-sketches")
-    about = reps.select("id", "n", "sk", "bins", "prints")
+    copies = cut_lineage(linked.select("key", "row").join(classes.select("key", "_row"), "key").where("row <> _row").select("row"), "copies")
+    reps = linked.join(copies, "row", "left_anti").withColumnRenamed("doc_id", "id")
     first = reps.select(F.posexplode("nodes").alias("tree", "node"), "id")
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("_node"))
     tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node"), "left_semi"), "tree")
+    about = cut_lineage(_marked(reps.select("id", "n", "sk", "bins", "prints"), tree.select("id").distinct()), "class-sketches")
     release(spark)
     sets = _Sets(docs, words, id_col, text_col)
     links = tried = comp = None
