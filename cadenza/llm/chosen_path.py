@@ -377,20 +377,18 @@ def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFr
     return out
 
 
-#: Bits of the filter that keeps texts of documents without a candidate where they are: at most 8 MB in all.
-MARKS = 1 << 26
-_MARK_BITS = 1 << 15
+#: Bits of the filter that keeps rows of documents without a candidate where they are: at most 131,072 words of 64.
+MARKS = 1 << 23
 
 
 def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs(id, ...)`` less most rows whose id is not in ``ids``: a bitmap of hashed ids, bounded whatever their number, goes
     to all tasks, so that only rows that may be wanted are shuffled."""
-    h = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    bucket, place = F.floor(h / _MARK_BITS), F.pmod(h, F.lit(_MARK_BITS))
-    marks = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
-    hit = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.pmod(F.floor(hit / F.pow(F.lit(2), F.pmod(place, F.lit(8)))), F.lit(2)) == 1
-    return docs.join(F.broadcast(marks), bucket == F.col("_bucket")).where(hit).drop("_bucket", "_bits")
+    place = f"pmod(xxhash64(id), {MARKS}L)"
+    marks = (ids.select(F.expr(f"{place} div 64").alias("_word"), F.expr(f"shiftleft(1L, cast({place} % 64 AS int))").alias("_bit"))
+             .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    hit = F.expr(f"shiftright(_bits, cast({place} % 64 AS int)) & 1L") == 1
+    return docs.join(F.broadcast(marks), F.expr(f"{place} div 64") == F.col("_word")).where(hit).drop("_word", "_bits")
 
 
 class _Sets:
