@@ -3,19 +3,22 @@
 The index is a logarithmic family of suffix arrays. Documents come in batches.
 A batch's suffix array is merge-scanned against the levels that exist, which
 finds the suffixes whose beginning occurs again; equal-sized levels merge into
-one of twice the size. A suffix array here is sparse and sorted by a hash: it
-has the suffixes at sync points (the positions with the least hash of ``HEAD``
-bytes among as many as fit into a string of ``min_len``; a repeated string has
-them at the same places in each of its occurrences), ordered by the hash of
-their first ``HEAD`` bytes, equal ones folded to a count. Long matches are
-neighbours in this order as in the alphabetical one, at one entry per 85 bytes.
-
-Suffixes whose beginning occurs once cannot lie in a repeat. For the others the
-text around the sync point, all strings of ``min_len`` bytes that it stands for,
-is compared: equal surroundings are folded first, so that a
-passage shared by very many documents is one row; different surroundings of
-one beginning are compared in a task while they are few, and string by string
-through an aggregation where they are many.
+one of twice the size. A suffix array here is sparse: it has the suffixes at
+sync points (the positions with the least hash of ``HEAD`` bytes among as many
+as fit into a string of ``min_len``; a repeated string has them at the same
+places in each of its occurrences), at one entry per 85 bytes. It is ordered by
+the bytes of the suffixes as far as every match must reach, ``HEAD``;
+neighbours with so long a common prefix are folded to a count.
+
+A suffix without such a neighbour cannot lie in a repeat. From the others, the
+match is extended to both sides. A sync point stands for strings of ``min_len``
+bytes that start up to ``min_len - HEAD`` before it; equal surroundings are
+folded first, so that a passage shared by very many documents is one row. Then
+the strings are taken in blocks of ``WIDTH`` neighbouring starts: where another
+occurrence has all bytes of a block, its strings repeat; where none has even the
+bytes common to them, none does; only in the blocks between these two is
+each string looked up. Every step is an aggregation over fixed-size keys,
+so no task ever holds a group, however many occurrences or kinds one has.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from .common import arrow_rows, cut_lineage, forget, release
 MIN_LEN = 200
 HEAD = 32
 BATCHES = 4
-#: Different surroundings of one beginning that a task compares at once; more are compared string by string.
-TOGETHER = 2048
+#: Neighbouring strings that are compared as one block first.
+WIDTH = 13
 #: Bytes of a text that are searched for sync points at a time.
 SLICE = 1 << 20
 _U = np.uint64
@@ -69,151 +72,185 @@ def sync_points(data: bytes, min_len: int = MIN_LEN) -> list[tuple[np.ndarray, .
 
 
 def _row_key():
-    """One key per document and text."""
-    return F.xxhash64("_id", "_text")
+    """A 128-bit key per document and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("-")), F.lit(":"), F.col("_text"))))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-_POINTS = pa.schema([("row", pa.int64()), ("head", pa.int64()), ("pos", pa.int32()), ("left", pa.int16()), ("right", pa.int16())])
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix as an Arrow column."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def find_sync_points(docs: DataFrame, min_len: int) -> DataFrame:
-    """``(row, head, pos, left, right)``: the strings of the sync point start ``left`` to ``right`` bytes before it."""
+    """``(row, suffix, pos, left, right)``: a sync point, the first ``HEAD`` bytes from it, and the strings it stands
+    for: they start ``left`` to ``right`` bytes before it."""
+    names = ["row", "suffix", "pos", "left", "right"]
+
     def run(batches):
         for rows in arrow_rows(batches, 256):
-            parts = [(np.full(len(p[0]), r["row"]), *p) for r in rows for p in sync_points(r["_text"].encode(), min_len)]
-            if parts:
-                row, pos, first, last, head = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip((row, head, pos, (pos - first).astype(np.int16), (pos - last).astype(np.int16)),
-                                                    _POINTS.types)], names=_POINTS.names)
+            for r in rows:
+                data = r["_text"].encode()
+                whole, key = np.frombuffer(data, np.uint8), np.frombuffer(r["row"], np.uint8)
+                for pos, first, last, _ in sync_points(data, min_len):
+                    yield pa.RecordBatch.from_arrays(
+                        [_binary(np.tile(key, (len(pos), 1))), _binary(whole[pos[:, None] + np.arange(HEAD)]), pa.array(pos, pa.int64()),
+                         pa.array((pos - first).astype(np.int16)), pa.array((pos - last).astype(np.int16))], names=names)
+
+    def joined(batches):
+        held, size = [], 0
+        for b in run(batches):
+            held.append(b)
+            size += b.num_rows
+            if size >= 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return docs.where(F.octet_length("_text") >= min_len).select(_row_key().alias("row"), "_text").mapInArrow(
-        run, "row long, head long, pos int, left short, right short")
+        joined, "row binary, suffix binary, pos long, left short, right short")
 
 
 class LevelIndex:
-    """Logarithmic family of folded suffix arrays ``(head, n)``, one written table sorted by ``head`` per level."""
+    """Logarithmic family of folded suffix arrays ``(suffix, n)``, one written table per level; hashes of the suffixes deal
+    it over the partitions, each of which is ordered by the suffixes' bytes."""
 
     def __init__(self):
         self.levels: dict[int, DataFrame] = {}
         self.repeated: list[DataFrame] = []
 
-    def add(self, heads: DataFrame) -> None:
-        """Take in a batch ``(head)``: build its suffix array, scan it against every level, merge equal-sized levels.
+    def add(self, suffixes: DataFrame) -> None:
+        """Take in a batch ``(suffix)``: build its suffix array, scan it against every level, merge equal-sized levels.
 
-        The merge is the scan of the levels that it takes in: a head of both sides has a count of at least 2."""
-        rows, rank, old = heads.withColumn("n", F.lit(1).cast("long")), 0, []
+        The merge is the scan of the levels that it takes in: a suffix of both sides has a count of at least 2."""
+        rows, rank, old = suffixes.withColumn("n", F.lit(1).cast("long")), 0, []
         while rank in self.levels:
             old.append(self.levels.pop(rank))
             rows = rows.unionByName(old[-1])
             rank += 1
-        level = cut_lineage(rows.groupBy("head").agg(F.sum("n").alias("n")).sortWithinPartitions("head"), "suffixes")
+        level = cut_lineage(rows.groupBy("suffix").agg(F.sum("n").alias("n")).sortWithinPartitions("suffix"), "suffixes")
         for other in self.levels.values():
-            self.repeated.append(cut_lineage(level.join(other.select("head"), "head").select("head"), "repeats"))
+            self.repeated.append(cut_lineage(level.join(other.select("suffix"), "suffix").select("suffix"), "repeats"))
         self.levels[rank] = level
         forget(*old)
 
-    def repeated_heads(self) -> DataFrame:
-        """Heads that occur more than once in all batches."""
+    def repeated_suffixes(self) -> DataFrame:
+        """Beginnings of suffixes that occur more than once in all batches."""
         out = None
-        for part in [*self.repeated, *(t.where("n > 1").select("head") for t in self.levels.values())]:
+        for part in [*self.repeated, *(t.where("n > 1").select("suffix") for t in self.levels.values())]:
             out = part if out is None else out.unionByName(part)
         return out.distinct()
 
 
-_SEGMENT = "row long, start long, head long, left short, sid binary, seg binary"
+def _sid(left: int, seg: bytes) -> bytes:
+    return hashlib.md5(left.to_bytes(2, "little") + seg).digest()
 
 
 def segments(work: DataFrame, min_len: int, with_text: bool) -> DataFrame:
-    """The surroundings of the sync points listed in ``work(row, _text, points)``: ``(row, start, head, left, sid, seg)``."""
-    cols = ["row", "start", "head", "left", "sid"] + ["seg"] * with_text
+    """The surroundings of the sync points listed in ``work(row, _text, points)``: ``(left, sid, seg)``, ``seg`` being all
+    strings that the point stands for, or without texts their places ``(row, start, sid)``."""
+    types = [pa.int16(), pa.binary(), pa.binary()] if with_text else [pa.binary(), pa.int64(), pa.binary()]
+    names = ["left", "sid", "seg"] if with_text else ["row", "start", "sid"]
 
     def run(batches):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary(), pa.binary()][:len(cols)]
-        for rows in arrow_rows(batches, 128):
-            out, size = [], 0
-            for r in rows:
-                data = r["_text"].encode()
-                for p in r["points"]:
-                    a, z = p["pos"] - p["left"], p["pos"] - p["right"] + min_len
-                    seg = data[a:z]
-                    sid = hashlib.md5(p["left"].to_bytes(2, "little") + seg).digest()
-                    out.append((r["row"], a, p["head"], p["left"], sid) + ((seg,) if with_text else ()))
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=cols)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=cols)
-
-    return work.select("row", "_text", "points").mapInArrow(run, _SEGMENT if with_text else _SEGMENT.removesuffix(", seg binary"))
-
-
-def _runs(hit: np.ndarray, min_len: int) -> list[dict]:
-    """Byte ranges covered by the strings that start where ``hit`` is true."""
-    edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
-    return [{"a": int(a), "z": int(z) - 1 + min_len} for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))]
-
-
-_COVERED = "head long, sid binary, parts array<struct<a:int,z:int>>"
-_COVERED_PA = pa.schema([("head", pa.int64()), ("sid", pa.binary()), ("parts", pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))])
-
-
-def compare_together(folded: DataFrame, min_len: int) -> DataFrame:
-    """For beginnings with few different surroundings ``(head, left, sid, seg, n)``: the parts of each that repeat."""
-    def group(rows: list[dict]):
-        seen: dict[tuple[int, bytes], int] = {}
-        strings = []
-        for r in rows:
-            seg, left = r["seg"], r["left"]
-            mine = [(left - i, seg[i:i + min_len]) for i in range(len(seg) - min_len + 1)]
-            strings.append(mine)
-            for x in mine:
-                seen[x] = seen.get(x, 0) + r["n"]
-        for r, mine in zip(rows, strings):
-            hit = np.fromiter((seen[x] > 1 for x in mine), bool, len(mine))
-            if hit.any():
-                yield r["head"], r["sid"], _runs(hit, min_len)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part, out = batch.slice(at, 128), []
+                lists = part.column("points")
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+                pos, left, right = (c.to_pylist() for c in lists.flatten().flatten())
+                begin = 0
+                for key, text, end in zip(part.column("row").to_pylist(), part.column("_text").to_pylist(), ends):
+                    data = text.encode()
+                    for p, l, r in zip(pos[begin:end], left[begin:end], right[begin:end]):
+                        seg = data[p - l:p - r + min_len]
+                        out.append((l, _sid(l, seg), seg) if with_text else (key, p - l, _sid(l, seg)))
+                    begin = end
+                    if len(out) >= 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return work.select("row", "_text", "points").mapInArrow(
+        run, "left short, sid binary, seg binary" if with_text else "row binary, start long, sid binary")
+
+
+def _blocks(kinds: DataFrame, min_len: int, width: int) -> DataFrame:
+    """``(sid, n, core, hull, low, high)`` per block of each surroundings ``(sid, left, seg, n)``: its strings start ``low`` to
+    ``high`` bytes before the sync point. ``core`` names the bytes that all strings of a full block have, ``hull`` those of the
+    strings that are there. Blocks begin at multiples of ``width``, so that equal strings share a block."""
+    types = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int16(), pa.int16()]
+    names = ["sid", "n", "core", "hull", "low", "high"]
 
     def run(batches):
-        held: list[dict] = []
-        out: list[tuple] = []
-        for rows in arrow_rows(batches):
+        for rows in arrow_rows(batches, 1024):
+            out = []
             for r in rows:
-                if held and held[0]["head"] != r["head"]:
-                    out.extend(group(held))
-                    held = []
-                held.append(r)
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _COVERED_PA.types)], names=_COVERED_PA.names)
-                out = []
-        out.extend(group(held) if held else [])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _COVERED_PA.types)], names=_COVERED_PA.names)
-
-    return (folded.select("head", "left", "sid", "seg", "n").repartition("head").sortWithinPartitions("head")
-            .mapInArrow(run, _COVERED))
-
-
-def compare_strings(folded: DataFrame, min_len: int) -> DataFrame:
-    """For beginnings with many different surroundings: the same, one aggregated row per string and offset."""
-    at = F.sequence(F.lit(0), F.octet_length("seg") - min_len)
-    strings = folded.select("head", "sid", "left", "n", "seg", F.explode(at).alias("i")).select(
-        "head", "sid", "n", "i", (F.col("left") - F.col("i")).alias("offset"),
-        F.unhex(F.md5(F.expr(f"substring(seg, i + 1, {min_len})"))).alias("string"))
-    again = (strings.groupBy("head", "offset", "string").agg(F.sum("n").alias("times")).where("times > 1")
-             .select(F.col("head").alias("_h"), F.col("offset").alias("_o"), F.col("string").alias("_s")))
-    hits = strings.join(again, F.expr("head = _h and offset = _o and string = _s"))
-    # strings of one surroundings side by side, at most min_len of them
-    return hits.groupBy("head", "sid").agg(F.collect_set(
-        F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + min_len).cast("int").alias("z"))).alias("parts"))
+                seg, left = r["seg"], r["left"]
+                low = left - (len(seg) - min_len)
+                while low <= left:
+                    base = low - low % width
+                    high = min(left, base + width - 1)
+                    name = base.to_bytes(2, "little")
+                    core = hashlib.md5(name + seg[left - base:left - base - width + 1 + min_len]).digest()
+                    hull = hashlib.md5(low.to_bytes(2, "little") + high.to_bytes(2, "little") + seg[left - high:left - low + min_len]).digest()
+                    out.append((r["sid"], r["n"], core, hull, low, high))
+                    low = high + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return kinds.select("sid", "left", "seg", "n").mapInArrow(run, "sid binary, n long, core binary, hull binary, low short, high short")
+
+
+def _strings(blocks: DataFrame, min_len: int) -> DataFrame:
+    """``(hull, n, at, string)`` per string of the blocks ``(hull, n, low, high, left, seg)``; it starts ``at`` before the point."""
+    types, names = [pa.binary(), pa.int64(), pa.int16(), pa.binary()], ["hull", "n", "at", "string"]
+
+    def run(batches):
+        for rows in arrow_rows(batches, 1024):
+            out = [(r["hull"], r["n"], d, _sid(d, r["seg"][r["left"] - d:r["left"] - d + min_len]))
+                   for r in rows for d in range(r["low"], r["high"] + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return blocks.select("hull", "n", "low", "high", "left", "seg").mapInArrow(run, "hull binary, n long, at short, string binary")
+
+
+def extend_matches(folded: DataFrame, min_len: int, width: int) -> DataFrame:
+    """``(sid, parts)``: the parts of the surroundings ``folded(left, sid, seg, n)`` that repeat, as byte ranges."""
+    head = F.xxhash64(F.expr(f"substring(seg, left + 1, {HEAD})"))
+    # a beginning with one kind of surroundings: nothing but whole repeats
+    several = folded.groupBy(head.alias("_h")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("_h")
+    kinds = cut_lineage(folded.withColumn("head", head).join(several, F.col("head") == F.col("_h"), "left_semi").drop("head"), "kinds")
+    blocks = cut_lineage(_blocks(kinds, min_len, width), "blocks")
+    hulls = cut_lineage(blocks.groupBy("core", "hull", "low", "high").agg(F.sum("n").alias("n"), F.min("sid").alias("sid")), "hulls")
+    open_cores = (hulls.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+                  .where("kinds > 1 and least = 1").select(F.col("core").alias("_core")))
+    unsettled = hulls.join(open_cores, F.col("core") == F.col("_core"), "left_semi").select("hull", "low", "high", "n", "sid")
+    texts = kinds.select(F.col("sid").alias("_sid"), "left", "seg")
+    strings = cut_lineage(_strings(unsettled.join(texts, F.col("sid") == F.col("_sid")), min_len), "strings")
+    again = strings.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1").select(F.col("string").alias("_string"))
+    single = (strings.where("n = 1").join(again, F.col("string") == F.col("_string"), "left_semi")
+              .select("hull", F.col("at").alias("from"), F.col("at").alias("to")))
+    found = hulls.where("n > 1").select("hull", F.col("low").alias("from"), F.col("high").alias("to")).unionByName(single)
+    # the strings of one block side by side, at most ``width`` of them; the blocks of one surroundings likewise
+    found = found.groupBy(F.col("hull").alias("_hull")).agg(F.collect_list(F.struct("from", "to")).alias("parts"))
+    partly = (blocks.where("n = 1").join(found, F.col("hull") == F.col("_hull")).select("sid", F.explode("parts").alias("p"))
+              .groupBy("sid").agg(F.collect_list("p").alias("p"))
+              .join(texts.select("_sid", "left"), F.col("sid") == F.col("_sid"))
+              .select("sid", F.expr(f"transform(p, x -> struct(int(left - x.to) as a, int(left - x.from + {min_len}) as z))").alias("parts")))
+    whole = folded.where("n > 1").select("sid", F.array(F.struct(F.lit(0).alias("a"), F.octet_length("seg").alias("z"))).alias("parts"))
+    out = cut_lineage(whole.unionByName(partly), "covered")
+    forget(kinds, blocks, hulls, strings)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
-                   batches: int = BATCHES) -> DataFrame:
+                   batches: int = BATCHES, width: int = WIDTH) -> DataFrame:
     """``(<id_col>, n_bytes, n_removed, n_spans, kept_sha256, kept)``, one row per input row; ``kept`` has the remaining bytes, null
     where no string of the text was looked at closely, so that all of it remains.
 
@@ -227,35 +264,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = cut_lineage(find_sync_points(texts, min_len), "sync-points")
     index = LevelIndex()
     for k in range(batches):
-        index.add(points.where(F.pmod(F.col("row"), F.lit(batches)) == k).select("head"))
+        index.add(points.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == k).select("suffix"))
+        release(spark)
+    repeated = index.repeated_suffixes().select(F.col("suffix").alias("_suffix"))
+    mine = cut_lineage(points.join(repeated, F.col("suffix") == F.col("_suffix"), "left_semi")
+                       .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "left", "right"))).alias("points")), "points")
+    forget(points, *index.levels.values(), *index.repeated)
     release(spark)
-    repeated = index.repeated_heads().select(F.col("head").alias("_head"))
-    mine = (points.join(repeated, F.col("head") == F.col("_head"), "left_semi")
-            .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "head", "left", "right"))).alias("points")))
     work = cut_lineage(texts.withColumn("_row", _row_key()).join(mine, F.col("_row") == F.col("row"), "left")
                        .select("_id", F.col("_row").alias("row"), "points", F.octet_length("_text").alias("n_bytes"),
                                F.when(F.col("points").isNull(), F.sha2("_text", 256)).alias("whole_sha"),
                                F.when(F.col("points").isNotNull(), F.col("_text")).alias("_text")), "work")
-    forget(points, *index.levels.values(), *index.repeated)
+    forget(mine)
     release(spark)
     touched = work.where("points is not null")
-    folded = cut_lineage(segments(touched, min_len, True).groupBy("head", "left", "sid", "seg").agg(F.count(F.lit(1)).alias("n")), "folded")
+    folded = cut_lineage(segments(touched, min_len, True).groupBy("sid", "left", "seg").agg(F.count(F.lit(1)).alias("n")), "folded")
     release(spark)
-    variety = folded.groupBy("head").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("times"))
-    variety = cut_lineage(variety.where("times > 1").select(F.col("head").alias("_h"), "kinds"), "variety")
-
-    def kinds(where):
-        return variety.where(where).select("_h")
-
-    one = (folded.where("n > 1").select("head", "sid", F.octet_length("seg").alias("z"))
-           .join(kinds("kinds = 1"), F.col("head") == F.col("_h"), "left_semi")
-           .select("head", "sid", F.array(F.struct(F.lit(0).alias("a"), "z")).alias("parts")))
-    few = folded.join(kinds(F.col("kinds").between(2, TOGETHER)), F.col("head") == F.col("_h"), "left_semi")
-    many = folded.join(kinds(F.col("kinds") > TOGETHER), F.col("head") == F.col("_h"), "left_semi")
-    covered = cut_lineage(one.unionByName(compare_together(few, min_len)).unionByName(compare_strings(many, min_len)), "covered")
-    forget(folded, variety)
+    covered = extend_matches(folded, min_len, width)
+    forget(folded)
     release(spark)
-    spans = (segments(touched, min_len, False).join(covered.withColumnsRenamed({"head": "_h", "sid": "_s"}), F.expr("head = _h and sid = _s"))
+    spans = (segments(touched, min_len, False).join(covered.withColumnsRenamed({"sid": "_s"}), F.col("sid") == F.col("_s"))
              .select("row", F.explode("parts").alias("p"), "start")
              .groupBy(F.col("row").alias("_row"))
              .agg(F.collect_set(F.struct((F.col("start") + F.col("p.a")).alias("a"), (F.col("start") + F.col("p.z")).alias("z"))).alias("spans")))

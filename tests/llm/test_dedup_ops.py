@@ -107,10 +107,9 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("together", [256, 1])
-def test_suffix_dedup(spark, monkeypatch, together):
-    """``together`` = 1 sends every beginning with two surroundings through the string-by-string aggregation."""
-    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+@pytest.mark.parametrize("width", [13, 1, 200])
+def test_suffix_dedup(spark, width):
+    """With a ``width`` of 1 blocks are single strings; with 200 each surroundings is one block, looked up string by string."""
     rnd = random.Random(5)
     shared = ["".join(rnd.choice("abcdé \n") for _ in range(rnd.randrange(150, 420))) for _ in range(6)]
     texts = [None, "", "short", "ab" * 300, "x" * 199, "x" * 200]
@@ -122,10 +121,27 @@ def test_suffix_dedup(spark, monkeypatch, together):
         texts.append("".join(parts))
     texts += [texts[-1], texts[-2][:230], "y" * 900]
     rows = list(enumerate(texts))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_df(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_df(spark, rows), width=width).collect()}
     assert got == dict(enumerate(brute_repeats(texts, 200)))
 
 
+@pytest.mark.parametrize("batches", [1, 5])
+def test_suffix_dedup_of_a_line_in_many_surroundings(spark, batches):
+    """One line of 190 bytes, with few and with many different neighbours on each side, in one batch and over uneven levels."""
+    rnd = random.Random(11)
+    line = "".join(rnd.choice("abcdefghij") for _ in range(190))
+    few = ["".join(rnd.choice("klm ") for _ in range(40)) for _ in range(3)]
+    rows = []
+    for i in range(120):
+        own = "".join(rnd.choice("nopqrs") for _ in range(rnd.randrange(30)))
+        before, after = rnd.choice([own, rnd.choice(few)]), rnd.choice([own, rnd.choice(few)[:rnd.randrange(41)]])
+        rows.append((i, f"{own}{before}{line}{after}{own[::-1]}"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+           for r in suffix_dedup.remove_repeats(docs_df(spark, rows), batches=batches).collect()}
+    want = dict(enumerate(brute_repeats([t for _, t in rows], 200)))
+    assert got == want and 0 < sum(w[1] > 0 for w in want.values()) < len(want)
+
+
 def test_suffix_dedup_edges(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(docs_df(spark, [])).count() == 0
     t = "".join(random.Random(1).choice("abc") for _ in range(300))
