@@ -36,8 +36,9 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 
 def _safe_uri(url: Column) -> Column:
-    """Control characters and spaces of a URI percent-encoded, so that it stays on its header line."""
-    return F.when(url.rlike(r"[\x00-\x20\x7f]"), F.url_encode(url)).otherwise(url)
+    """Control characters and spaces of a URI percent-encoded, so that it stays on its header line; nothing else changes."""
+    one = lambda c: F.when(c.rlike(r"[\x00-\x20\x7f]"), F.concat(F.lit("%"), F.hex(F.encode(c, "UTF-8")))).otherwise(c)
+    return F.when(url.rlike(r"[\x00-\x20\x7f]"), F.array_join(F.transform(F.split(url, ""), one), "")).otherwise(url)
 
 
 def write_archive(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z") -> None:
