@@ -85,6 +85,13 @@ class Forest:
         return found
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to [0.5, 1): cosines stay what they are,
+    and no square underflows or overflows."""
+    _, power = np.frexp(np.abs(vectors).max(1, initial=0.0))
+    return np.ldexp(vectors, -power[:, None])
+
+
 def cosine(queries: np.ndarray, q: int, vectors: np.ndarray, norms: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines of one query with some rows; equal vectors get equal values."""
     x = queries[q]
@@ -122,7 +129,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
     def search(table: pa.Table) -> pa.Table:
         dim = table["dim"][0].as_py()
-        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        flat = scaled(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
         ids, asks = table["id"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
         order = np.argsort(ids[~asks], kind="stable")
         x, xid, q, qid = flat[~asks][order], ids[~asks][order], flat[asks], ids[asks]
