@@ -112,7 +112,9 @@ class Generation:
     body: list = field(default_factory=list)
 
 
-_TAGS = re.compile(r"(\{%-?.*?-?%\}|\{\{-?.*?-?\}\})", re.S)
+_STRING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+#: A tag ends at the first closing braces outside its strings.
+_TAGS = re.compile(rf"(\{{%(?:{_STRING}|[^'\"])*?%\}}|\{{\{{(?:{_STRING}|[^'\"])*?\}}\}})", re.S)
 _LEX = re.compile(r"\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)"
                   r"|(?P<op>==|!=|[|.+~()%]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
@@ -205,8 +207,15 @@ class _Expr:
 
 
 def parse(source: str) -> list:
-    """The template's syntax tree."""
+    """The template's syntax tree. A dash inside a tag's braces trims the white space of the text on that side."""
     parts = _TAGS.split(source)
+    for i in range(0, len(parts), 2):  # texts stand between the tags
+        if "{{" in parts[i] or "{%" in parts[i]:
+            raise TemplateError(f"unclosed tag at {parts[i][-20:]!r}")
+        if i and parts[i - 1][-3] == "-":
+            parts[i] = parts[i].lstrip()
+        if i + 1 < len(parts) and parts[i + 1][2:3] == "-":
+            parts[i] = parts[i].rstrip()
     at = 0
 
     def body(ends: tuple[str, ...], inside: tuple[str, ...]):
@@ -215,11 +224,11 @@ def parse(source: str) -> list:
         while at < len(parts):
             part = parts[at]
             at += 1
-            if not part.startswith(("{%", "{{")):
+            if at % 2:
                 if part:
                     out.append(Out(Const(part)))
                 continue
-            inner = part[2:-2].strip("-").strip()
+            inner = part[2:-2].removeprefix("-").removesuffix("-").strip()
             if part.startswith("{{"):
                 out.append(Out(_Expr(inner).parse()))
                 continue
