@@ -71,20 +71,17 @@ def random_offset(source, seed: int):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = (1, 2, 3), max_repeat: int = MAX_REPEAT, seed: int = 20) -> DataFrame:
-    """One row per input row: ``(<id_col>, size, source_size, target, copies, taken)``.
-
-    ``weights`` repeat over the sources in code-point order, the null source last. Null or empty texts have
-    size 0: they are drawn like any other document but add no words. A source of size 0 has target 0 and no
-    copies. Ties in size go by id (null first); rows that repeat an id are documents of their own. An empty table gives an
-    empty result; other columns are not read.
-    """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+def _draw(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], max_repeat: int, seed: int,
+          row_key: Sequence[str]) -> DataFrame:
+    """``mix`` with the columns of ``row_key`` as ``_key0``, ``_key1`` and so on; they and a hash of the text settle ties of size and id."""
+    tie = [F.xxhash64(F.col(text_col)).alias("_text_hash"), *[F.col(c).alias(f"_key{i}") for i, c in enumerate(row_key)]] if row_key else []
+    ties = ["_text_hash", *[f"_key{i}" for i in range(len(row_key))]] if row_key else []
+    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+                       *tie)
     bits = F.bin("size")
     key = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
     base = base.select(
-        "_id", "source", "size", F.length(bits).alias("_len"), F.substring(bits, 1, 3).alias("_top"),
+        "_id", "source", "size", *ties, F.length(bits).alias("_len"), F.substring(bits, 1, 3).alias("_top"),
         F.conv(F.substring(key, 1, 8), 16, 10).cast("long").bitwiseAND(SLICES - 1).cast("int").alias("_slice"))
     base = cut_lineage(base, "mix-sizes")
     targets = source_targets(base, weights, max_repeat)
@@ -94,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = counts.select(*chunk, F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
     per_chunk = starts.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select(
         *[F.col(f"c.{x}").alias(f"k{x}") for x in chunk], "_start", "source_size", "target")
-    number = Window.partitionBy(*chunk).orderBy("size", "_id")
+    number = Window.partitionBy(*chunk).orderBy("size", "_id", *ties)
     rows = base.withColumn("_nth", F.row_number().over(number))
     rows = rows.join(per_chunk, F.expr("source <=> ksource and _len = k_len and _top = k_top and _slice = k_slice"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -102,15 +99,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = F.col("_start") + F.col("_nth")
     copies = (F.floor(u + share * at) - F.floor(u + share * (at - 1))).cast("long")
     rows = rows.withColumn("copies", F.greatest(F.least(copies, F.lit(max_repeat)), F.lit(0)))
-    return rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies",
-                       (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("_id", *ties, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: Sequence[float] = (1, 2, 3), max_repeat: int = MAX_REPEAT, seed: int = 20) -> DataFrame:
+    """One row per input row: ``(<id_col>, size, source_size, target, copies, taken)``.
+
+    ``weights`` repeat over the sources in code-point order, the null source last. Null or empty texts have
+    size 0: they are drawn like any other document but add no words. A source of size 0 has target 0 and no
+    copies. Ties in size go by id (null first); rows that repeat an id are documents of their own. An empty table gives an
+    empty result; other columns are not read.
+    """
+    drawn = _draw(docs, id_col, text_col, source_col, weights, max_repeat, seed, ())
+    return drawn.withColumnRenamed("_id", id_col)
 
 
-def emit(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+         weights: Sequence[float] = (1, 2, 3), max_repeat: int = MAX_REPEAT, seed: int = 20, row_key: Sequence[str] = ()) -> DataFrame:
     """The mixed documents themselves, all columns of ``docs``, each as often as the mix takes it (a document
-    not taken goes). Rows that repeat an id are each emitted as often as the id is drawn on average, rounded up."""
-    drawn = (mix(docs, id_col, **kw).groupBy(F.col(id_col).alias("_mix_id"))
-             .agg(F.ceil(F.avg("copies")).cast("int").alias("_mix_copies")))
-    out = docs.join(drawn, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return (out.where("_mix_copies > 0").withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-            .select(*[docs[c] for c in docs.columns]))
+    not taken goes).
+
+    ``row_key`` names columns of ``docs`` that together tell its rows apart; they stay in the result. Without it the rows
+    are written once and told apart by their places in the files. So rows that repeat an id, or have none, are drawn one by one.
+    """
+    rows, key = docs, list(row_key)
+    if not key:
+        written = cut_lineage(docs, "mix-rows")
+        rows = written.select("*", F.col("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_at"))
+        key = ["_mix_file", "_mix_at"]
+    drawn = _draw(rows, id_col, text_col, source_col, weights, max_repeat, seed, key).where("copies > 0").select(
+        *[f"_key{i}" for i in range(len(key))], F.col("copies").cast("int").alias("_mix_copies"))
+    out = rows.join(drawn, [rows[k].eqNullSafe(drawn[f"_key{i}"]) for i, k in enumerate(key)])
+    return out.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("col")

@@ -147,15 +147,16 @@ def predict_lang(docs: DataFrame, profiles: dict[str, list[int]], id_col: str =
                     f"`{id_col}` long, lang_pred string, score double", make, 256)
 
 
-def lang_of(text, profiles: dict[str, list[int]], length: int = PROFILE):
-    """The predicted language of a text column, as a column."""
-    @F.pandas_udf(T.StringType())
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def resembles(text, profiles: dict[str, list[int]], length: int = PROFILE):
+    """Whether a text column lies nearer to some profile than the largest distance possible, as a column: false for null,
+    for texts without a letter, and for texts none of whose frequent n-grams stands in any profile."""
+    @F.pandas_udf(T.BooleanType())
+    def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = Classifier(profiles, length)
         for s in parts:
-            yield pd.Series([c.predict(t)[0] for t in s], index=s.index, dtype=object)
+            yield pd.Series([c.predict(t)[1] > 0 for t in s], index=s.index, dtype=bool)
 
-    return predict(text)
+    return test(text)
 
 
 def has_letter(text):

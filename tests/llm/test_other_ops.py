@@ -113,6 +113,17 @@ def test_templates():
             chat.compile_template(bad)
 
 
+def test_template_dashes_and_strings():
+    say = lambda source: "".join(text for text, _ in chat.compile_template(source)([{"role": "a", "text": "t"}]))
+    assert say("a \n{%- if true -%} b {%- endif -%}\t c") == "abc"
+    assert say("a {{- 'x-' -}} b {{ 'y' }} c") == "ax-b y c"
+    assert say("{{ '}}' }}{{ \"%}{{\" }}{% for m in messages %}{{ m.text ~ '\\'}}' }}{% endfor %}") == "}}%}{{t'}}"
+    assert say(" a ") == " a "
+    for bad in ("{{ 'a }}", "x {% if true", "{{", "a {{ b } }"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+
+
 def test_bpe_equals_library(spark):
     from tokenizers import Tokenizer
 
@@ -169,3 +180,41 @@ def test_language_id_held_out(spark):
     got = sorted((r.doc_id, r.lang_pred) for r in rank_order_lang.identify(odd).collect())
     assert got[:2] == [(1, "und"), (2, "und")] and len(got) == 4
     assert rank_order_lang.identify(odd.limit(0)).count() == 0
+
+
+def test_uri_keeps_all_but_spaces_and_controls(spark):
+    uris = ["http://a/x y", "http://a/é?q=1%20&b=\n", "http://a/plain", "", None]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(uris)] + [(7, "u", "y" * 3_000_000, 1)] * 2,
+                                  "page_id long, url string, html string, payload int")
+    path = scratch_path(spark, "warc-uri")
+    warc.write_archive(pages, path)
+    got = sorted((r.page_id, r.uri or "", r.record_type) for r in warc.read_archive(spark, path).collect())
+    assert got == [(0, "http://a/x%20y", "response"), (1, "http://a/é?q=1%20&b=%0A", "response"), (2, "http://a/plain", "response"),
+                   (3, "", "response"), (4, "", "response"), (7, "u", "response"), (7, "u", "response")]
+
+
+def test_forest_scales_vectors(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e-200, 2e-200]), (2, [1.0, 1.0]), (3, [1e300, -1e300]), (4, [5e-324, 0.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = lsh_forest.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 4, 1, 4, 3]  # fewer candidates than asked for would all come
+    assert np.allclose([r.score for r in got], [1, 1, 3 / 10 ** 0.5, 0.5 ** 0.5, 0])
+    assert not lsh_forest.nearest(df.limit(1), F.col("vec_id") == 0).collect()
+
+
+def test_emit_draws_rows_one_by_one(spark):
+    rows = [(None if d < 400 else d % 7, f"w{d} " * (1 + d % 5), "ab"[d % 2], 1) for d in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(3)
+    written = scratch_path(spark, "emit")
+    docs.write.parquet(written)
+    out = mixing.emit(spark.read.parquet(written))
+    assert out.columns == docs.columns
+    texts = [r.text for r in out.collect()]
+    words = {s: sum(len(t.split()) for d, t, src, _ in rows if src == s) for s in "ab"}
+    targets = {"a": sum(words.values()) / 3, "b": sum(words.values()) * 2 / 3}
+    for s in "ab":
+        taken = sum(len(t.split()) for t in texts if int(t[1:].split()[0]) % 2 == "ab".index(s))
+        assert abs(taken - targets[s]) <= 0.02 * targets[s]
+    assert max(texts.count(t) for t in set(texts)) <= 3
+    again = mixing.emit(spark.read.parquet(written).select("*", F.col("text").alias("key")), row_key=["key"])
+    assert sorted(r.text for r in again.collect()) == sorted(texts)
