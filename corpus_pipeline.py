@@ -2,12 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs. All but the last
-return the columns of ``docs``, whatever further columns there are. Rows that repeat a doc_id
-share its verdicts; an empty table goes through every stage.
+return the columns of ``docs``, whatever further columns there are. Rows that repeat a doc_id, or have none,
+are documents of their own in exact dedup and in the mix, which tell rows apart by their places in the files; in
+near dedup rows that repeat an id share its verdict and rows without one stay. An empty table goes through every stage.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ from cadenza.llm.common import cut_lineage, read_table
 ORACLE_SQL = None
 
 
+#: Columns that tell the rows of a stage's docs apart.
+PLACE = ["_place_file", "_place_row"]
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and the position that each row is read from; what is no read of files is written first."""
+    place = [F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1])]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return cut_lineage(docs, "pipeline-docs").select("*", *place)
+
+
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id a verdict keeps; ``verdicts(doc_id, kept)``."""
     ids = verdicts.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
@@ -25,17 +40,21 @@ def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language is undetermined: null texts and texts without a letter. The same where no
-    profile can be learned (no ``lang``, all labelled rows held out): the text alone decides then."""
+    """Documents go that the classifier cannot place: null texts, texts without a letter, and texts at the largest distance
+    from every profile. Where no profile can be learned (no ``lang``, all labelled rows held out) the text alone decides."""
     profiles = rank_order_lang.learn_profiles(docs.where(~rank_order_lang.held_out()))
     if not profiles:
         return docs.where(rank_order_lang.has_letter(F.col("text")))
-    return docs.where(rank_order_lang.lang_of(F.col("text"), profiles) != rank_order_lang.UNDETERMINED)
+    return docs.where(rank_order_lang.resembles(F.col("text"), profiles))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z the one with the largest doc_id stays."""
-    return _keep(docs, exact_dedup.exact_dedup(docs, keep="max"))
+    """Of texts equal but for the case of A-Z one row stays, the one with the largest doc_id (of several, the last by place)."""
+    placed = _placed(docs)
+    verdicts = exact_dedup.exact_dedup(placed.withColumn("_row", F.struct("doc_id", *PLACE)), "_row", keep="max")
+    kept = verdicts.where("kept").select(*[F.col("_row")[c].alias(f"_kept{c}") for c in PLACE])
+    same = [F.col(c) == F.col(f"_kept{c}") for c in PLACE]
+    return placed.join(kept, same, "left_semi").drop(*PLACE)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +64,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn: each document as often as the mix takes it."""
-    return mixing.emit(docs)
+    return mixing.emit(_placed(docs), row_key=PLACE).drop(*PLACE)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
