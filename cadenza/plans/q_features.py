@@ -86,6 +86,35 @@ def q_feature_wide(spark, sf):
                          for c in wide.columns])
 
 
+#: The sparse form's columns: ``name`` has about as many values as there are parts.
+SPARSE_COLUMNS = ["gender", "genre", "mirex", "name", "artist"]
+
+
+def _duck_sparse() -> str:
+    values = " UNION ".join(f"SELECT {i} AS c, {col} AS value FROM k WHERE {col} IS NOT NULL" for i, col in enumerate(SPARSE_COLUMNS))
+    ones = " UNION ALL ".join(f"SELECT id, feature, 1.0::DOUBLE AS value FROM k JOIN d ON d.c = {i} AND d.value = k.{col}"
+                              for i, col in enumerate(SPARSE_COLUMNS))
+    numbers = " UNION ALL ".join(f"SELECT id, CAST({i} AS BIGINT) AS feature, round(CAST({col} AS DOUBLE), 6) AS value FROM k WHERE {col} IS NOT NULL"
+                                 for i, col in enumerate(SCORE_COLUMNS))
+    n = len(SCORE_COLUMNS)
+    return f"""
+    WITH k AS MATERIALIZED ({CATALOGUE_SQL}),
+    d AS MATERIALIZED (SELECT c, value, CAST({n + 1} + row_number() OVER (ORDER BY c, value) - 1 AS BIGINT) AS feature FROM ({values}))
+    {numbers} UNION ALL
+    SELECT id, CAST({n} AS BIGINT), round((year - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6)
+    FROM k, (SELECT avg(year) AS m, stddev_pop(year) AS s FROM k) WHERE year IS NOT NULL
+    UNION ALL {ones}"""
+
+
+@query("feature_sparse", _duck_sparse())
+def q_feature_sparse(spark, sf):
+    """The feature table as ``(id, feature, value)`` rows, with two columns of many values beside the wide form's three."""
+    songs_ = catalogue(spark, sf)
+    std = FE.standardise(songs_, "year", "year_std")
+    rows = FE.sparse_features(std, "id", [*SCORE_COLUMNS, "year_std"], SPARSE_COLUMNS, FE.category_index(songs_, SPARSE_COLUMNS))
+    return rows.select("id", "feature", r6("value").alias("value"))
+
+
 @query("holdout_split", """
 SELECT vec_id, (('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT % 100) < 20 AS holdout
 FROM embeddings

@@ -31,6 +31,12 @@ def q_stream_ingest(spark, sf):
     return _out(jobs.ingest_stream(spark, root, DEDUP_ORDER, max_files_per_trigger=FILES_PER_BATCH))
 
 
+@query("stream_ingest_keyed", _OUT_SQL + f" FROM ({KEPT_SQL})")
+def q_stream_ingest_keyed(spark, sf):
+    """All files in one micro-batch, so that first arrivals do not depend on the order of the files."""
+    return _out(jobs.ingest_stream_keyed(spark, write_json_tree(spark, sf), DEDUP_ORDER))
+
+
 @query("stream_topk", TOPK_SQL + """
 SELECT qid, CAST(rank AS BIGINT) AS rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 15
 """)

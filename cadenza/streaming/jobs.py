@@ -6,8 +6,10 @@ Each gives the same rows as its batch form:
   to a Parquet sink, without state; reading keeps the first per id by the same
   aggregate as the batch form, so repeated records fall out there. Equal to the
   batch keep-first whatever order the files arrive in.
+* ``ingest_stream_keyed``: the same records into a sink that is keyed itself: the first arrival of an id stays. A second
+  stream holds the batch of each id's first arrival in Spark's state store, so a batch costs what it holds.
 * ``topk_stream``: request vectors arrive as a stream; each micro-batch is
-  scored against the static catalogue with the batch operator.
+  scored with the batch operator against the static catalogue, whose unit vectors are stored and counted once.
 * ``replay_stream``: each micro-batch numbers its requests by range
   partitioning, so that no session is held by one task, searches for its own
   texts and picks the reply at its position. From batch to batch Spark's state
@@ -47,10 +49,8 @@ def _run(writer):
 
 # ---- X1 -----------------------------------------------------------------
 
-def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Validated records land once per arrival, append-only and without state (the sink keeps each
-    file's rows once), and the keyed table is the keep-first over what landed."""
+def _good_records(spark: SparkSession, root: str, max_files_per_trigger: int | None) -> DataFrame:
+    """The valid records of the JSON files below ``root``, as a stream."""
     src = (spark.readStream.schema(J.record_schema())
            .option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*json")
@@ -60,13 +60,62 @@ def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
     if max_files_per_trigger:
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
     good, _ = J.split_good(J.flatten(src.json(root).withColumn("_file", F.col("_metadata.file_path"))))
-    good = good.drop("date", "_file")
+    return good.drop("date", "_file")
+
+
+def ingest_stream(spark: SparkSession, root: str, dedup_order: Sequence[str],
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Validated records land once per arrival, append-only and without state (the sink keeps each
+    file's rows once), and the keyed table is the keep-first over what landed."""
+    good = _good_records(spark, root, max_files_per_trigger)
     base = scratch_path(spark, "ingest-stream")
     _run(good.writeStream.outputMode("append").format("parquet")
          .option("path", f"{base}/landed").option("checkpointLocation", f"{base}/_checkpoint"))
     return dedup_first(spark.read.schema(good.schema).parquet(f"{base}/landed"), "id", list(dedup_order))
 
 
+def ingest_stream_keyed(spark: SparkSession, root: str, dedup_order: Sequence[str],
+                        max_files_per_trigger: int | None = None, base: str | None = None) -> DataFrame:
+    """The keyed table itself as the sink: each id once, with the record of its first arrival. Within a micro-batch the
+    record smallest in ``dedup_order`` (then in the other columns) comes first, so with one micro-batch the rows are those
+    of the batch form. ``base`` names the stream's folder: given again, the stream goes on from its checkpoints and rows
+    in the sink stay as they are.
+
+    The first stream lands each micro-batch keyed by itself. The second reads only ``(id, arrival)`` of what landed and
+    aggregates the first arrival per id in Spark's state store (two numbers per id; it never expires, as an id may come
+    again at any time, so a cluster takes the RocksDB provider). An id seen in an earlier batch keeps an
+    earlier first arrival and falls out; the others fetch their records from the batches just read."""
+    good = _good_records(spark, root, max_files_per_trigger)
+    base = base or scratch_path(spark, "ingest-keyed")
+    names, key_type = good.columns, good.schema["id"].dataType
+    landed = T.StructType([*good.schema.fields, T.StructField("arrival", T.LongType())])
+    mark_ddl = "epoch bigint, mark bigint"
+
+    def land(batch: DataFrame, epoch: int) -> None:
+        dedup_first(batch, "id", list(dedup_order)).select(*names, F.lit(epoch).cast("bigint").alias("arrival")) \
+            .write.mode("overwrite").parquet(f"{base}/landed/part={epoch}")
+
+    def settle(touched: DataFrame, epoch: int) -> None:
+        touched.write.mode("overwrite").parquet(f"{base}/touched/part={epoch}")
+        seen = spark.read.schema(touched.schema).parquet(f"{base}/touched/part={epoch}")
+        marks = spark.read.schema(mark_ddl).parquet(f"{base}/marks")
+        before = marks.where(F.col("epoch") < epoch).agg(F.coalesce(F.max("mark"), F.lit(-1))).first()[0]
+        mark = seen.agg(F.coalesce(F.max("latest"), F.lit(before))).first()[0]  # the last batch read so far
+        fresh = seen.where(F.col("first") > before).select(F.col("id").alias("_id"), "first")
+        rows = spark.read.schema(landed).parquet(f"{base}/landed").where(F.col("part").between(before + 1, mark))
+        rows.join(fresh, F.col("id").eqNullSafe(F.col("_id")) & (F.col("arrival") == F.col("first")), "left_semi").select(*names) \
+            .write.mode("overwrite").parquet(f"{base}/keyed/part={epoch}")
+        spark.createDataFrame([(epoch, mark)], mark_ddl).write.mode("overwrite").parquet(f"{base}/marks/part={epoch}")
+
+    for folder, schema in (("landed", landed), ("keyed", good.schema), ("marks", mark_ddl)):  # a stream without data has no batch
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{folder}/part=-1")
+    _run(good.writeStream.foreachBatch(land).option("checkpointLocation", f"{base}/_landing"))
+    ids = spark.readStream.schema(T.StructType([T.StructField("id", key_type), landed["arrival"]])).parquet(f"{base}/landed")
+    first = ids.groupBy("id").agg(F.min("arrival").alias("first"), F.max("arrival").alias("latest"))
+    _run(first.writeStream.outputMode("update").foreachBatch(settle).option("checkpointLocation", f"{base}/_keys"))
+    return spark.read.schema(good.schema).parquet(f"{base}/keyed").select(*names)
+
+
 def _answer_batches(spark: SparkSession, stream: DataFrame, answer: Callable[[DataFrame, int], DataFrame],
                     schema: str, base: str) -> DataFrame:
     """Run the stream to its end; ``answer(batch, batch id)`` goes to a folder named by the batch id. Each
@@ -98,7 +147,8 @@ def topk_stream(spark: SparkSession, query_path: str, query_schema: str,
         src = src.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = src.parquet(query_path).select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec"))
 
-    return _answer_batches(spark, stream, lambda batch, _: TK.topk_cosine(batch, catalogue, k=k), TOPK_OUT, base)
+    stored = TK.stored_catalogue(catalogue)
+    return _answer_batches(spark, stream, lambda batch, _: TK.topk_cosine(batch, stored, k=k), TOPK_OUT, base)
 
 
 # ---- X3 -----------------------------------------------------------------

@@ -59,3 +59,32 @@ def test_holdout_is_stable(spark):
     a = spark.range(500).select(FE.holdout_flag(F.col("id")).alias("h")).filter("h").count()
     b = spark.range(500).repartition(7).select(FE.holdout_flag(F.col("id")).alias("h")).filter("h").count()
     assert a == b == 91
+
+
+def test_sparse_rows_over_many_values(spark):
+    n = 200_000  # a third of the rows share one value, the rest have 100,000 others
+    df = spark.range(n).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('v', id % 100000) END AS a",
+                                   "CASE WHEN id % 2 = 0 THEN 'x' END AS b", "CASE WHEN id % 4 <> 0 THEN id / 2 END AS num")
+    index = FE.category_index(df, ["a", "b"])
+    values = sorted({"hot" if i % 3 == 0 else f"v{i % 100000}" for i in range(n)})
+    got = {r["value"]: (r["idx"], r["n"]) for r in index.where("column = 'a'").collect()}
+    assert [v for v, _ in sorted(got.items(), key=lambda x: x[1][0])] == values and len(values) > 60_000
+    assert got["hot"][1] == (n + 2) // 3
+    rows = FE.sparse_features(df, "id", ["num"], ["a", "b"], index)
+    place = {v: 1 + i for i, v in enumerate(values)}
+    for i in (0, 1, 2, 3, 99_998, 199_999):
+        want = {place["hot" if i % 3 == 0 else f"v{i % 100000}"]: 1.0}
+        want |= {1 + len(values): 1.0} if i % 2 == 0 else {}
+        want |= {0: i / 2} if i % 4 else {}
+        assert {r["feature"]: r["value"] for r in rows.where(f"id = {i}").collect()} == want
+    assert rows.count() == n + n // 2 + n - n // 4
+    with pytest.raises(ValueError, match="sparse_features"):
+        FE.fit_categories(df, ["a"])
+    new = spark.createDataFrame([(1, "v1", None, None), (2, "unseen", "x", 3.0)], "id long, a string, b string, num double")
+    got = {(r["id"], r["feature"], r["value"]) for r in FE.sparse_features(new, "id", ["num"], ["a", "b"], index).collect()}
+    assert got == {(1, place["v1"], 1.0), (2, 1 + len(values), 1.0), (2, 0, 3.0)}
+
+
+def test_sparse_rows_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id long, a string, num double")
+    assert FE.sparse_features(df, "id", ["num"], ["a"], FE.category_index(df, ["a"])).count() == 0

@@ -29,7 +29,7 @@ def test_entry_without_the_llm_folder(tmp_path):
             "assert not any(m.startswith('cadenza.llm') for m in sys.modules)\n"
             "print('QUERIES', len(e.queries()), len(e.oracle_sql()), any(q.startswith('op') for q in e.queries()))")
     done = _run(code, tmp_path)
-    assert "QUERIES 65 63 False" in done.stdout, done.stderr[-2000:]
+    assert "QUERIES 67 65 False" in done.stdout, done.stderr[-2000:]
 
 
 def test_checkpoint_folder_is_not_machine_local_on_a_cluster():
