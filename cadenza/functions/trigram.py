@@ -26,7 +26,8 @@ def trigram_set(s: Column) -> Column:
         padded = F.concat(F.lit("  "), w, F.lit(" "))
         return F.transform(F.sequence(F.lit(1), F.char_length(w) + 1),
                            lambda i: F.substring(padded, i, 3))
-    return F.array_distinct(F.flatten(F.transform(words(s), word_trigrams)))
+    # a word that repeats adds no trigram
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(s)), word_trigrams)))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -38,7 +39,11 @@ def set_similarity(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return set_similarity(trigram_set(a), trigram_set(b))
+    """Similarity of two texts. The sets and their sizes are bound as lambda variables, so that each is computed once."""
+    sets = F.array(F.struct(trigram_set(a).alias("x"), trigram_set(b).alias("y")))
+    sizes = F.transform(sets, lambda s: F.struct(F.size(s["x"]).alias("m"), F.size(s["y"]).alias("n"),
+                                                 F.size(F.array_intersect(s["x"], s["y"])).alias("both")))
+    return F.element_at(F.transform(sizes, lambda c: similarity_from_counts(c["both"], c["m"], c["n"])), 1)
 
 
 def similarity_from_counts(shared: Column, na: Column, nb: Column) -> Column:
