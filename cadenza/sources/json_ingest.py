@@ -1,7 +1,7 @@
 """Ingest of a tree of nested JSON records into the flat, keyed catalogue.
 
-* Scan: every file below ``root`` whose name ends in ``json`` (nested folders
-  included), read with an explicit schema (no inference pass), ``PERMISSIVE``
+* Scan: every file below ``root`` whose name ends in ``json`` or ``json.gz`` (nested
+  folders included), read with an explicit schema (no inference pass), ``PERMISSIVE``
   mode with a corrupt-record column, so a broken file becomes a reject instead
   of failing the job.
 * Extract: fixed paths into the nested structs; first array elements with
@@ -25,6 +25,8 @@ from ..session import cut_lineage
 from . import tables
 
 CORRUPT = "_corrupt_record"
+#: JSON files by name, plain or compressed.
+PATTERN = "{*json,*json.gz}"
 
 # The score paths of a record, as (output column, model, key).
 SCORE_PATHS = [
@@ -70,7 +72,7 @@ def record_schema() -> T.StructType:
     ])
 
 
-def scan(spark: SparkSession, root: str, multi_line: bool = True, pattern: str = "*json") -> DataFrame:
+def scan(spark: SparkSession, root: str, multi_line: bool = True, pattern: str = PATTERN) -> DataFrame:
     """Raw records below ``root`` (recursive, names that match ``pattern``), with
     the source file path. ``multi_line``: one document per file; a task takes as many small
     files as fit its share of bytes, and a file that is no document is one reject."""
@@ -117,17 +119,17 @@ def split_good(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest(spark: SparkSession, root: str, multi_line: bool = True,
-           dedup_order: Sequence[str] = ("_file",), pattern: str = "*json") -> tuple[DataFrame, DataFrame]:
+           dedup_order: Sequence[str] = ("_file",), pattern: str = PATTERN) -> tuple[DataFrame, DataFrame]:
     """``(catalogue, rejects)``: one row per id, first by ``dedup_order``
-    (source path by default, then the record content)."""
-    flat = flatten(scan(spark, root, multi_line, pattern))
+    (source path by default, then the record content). The tree is read once: its rows are written with their reasons."""
+    flat = cut_lineage(flatten(scan(spark, root, multi_line, pattern)), "flat")
     good, rejects = split_good(flat)
     kept = dedup_first(good.drop("date"), "id", list(dedup_order))
     return kept.select(*CATALOGUE_ORDER, *[c for c in kept.columns if c not in CATALOGUE_ORDER]), rejects
 
 
 def load(spark: SparkSession, root: str, path: str, multi_line: bool = True, dedup_order: Sequence[str] = ("_file",),
-         pattern: str = "*json") -> dict[str, int]:
+         pattern: str = PATTERN) -> dict[str, int]:
     """Ingest the tree into the keyed table at ``path`` (``sources.tables``) and its rejects into ``<path>/rejects``.
 
     The tree is read once: its rows are written with their reasons, and read and rejected rows are counted in that pass,
