@@ -8,54 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-
-def _leading(c: Column, kind: str) -> Column | None:
-    """A fixed-width image of an order column that never reverses its order; None where there is none."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "boolean") or kind.startswith("decimal"):
-        return c
-    if kind == "string":  # the first seven bytes as a number
-        head = F.substring(F.hex(F.substring(c.cast("binary"), 1, 7)), 1, 14)
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
-    return None
-
 
 def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the one smallest in ``order`` (then in all other
     columns, so the choice is total and repeatable).
 
-    Rows are written once, each with a number. Keys that repeat are found by a hash aggregate over the keys and a
-    fixed-width image of the first order column, without the other columns; partial aggregation leaves a hot key one
-    row per task. Only rows of such keys that share the least image are compared in full, and only the numbers of the
-    rows that lose go back to the table, so the payload of rows that stay is not sorted, and not shuffled
-    where the losers are few."""
+    Each task first keeps its own first row per key (the ``WindowGroupLimit`` that Spark puts before the shuffle),
+    so a row crosses the network once and a hot key costs one row per task."""
     keys = [key] if isinstance(key, str) else list(key)
-    table = cut_lineage(df.withColumn("_pos", F.monotonically_increasing_id()), "dedup")
-    kinds = dict(df.dtypes)
     full = [*order, *[c for c in df.columns if c not in keys and c not in order]]
-    lead = _leading(F.col(full[0]), kinds[full[0]]) if full else None
-    # nulls sort first: their image is kept apart
-    image = [F.col(full[0]).isNotNull().cast("int").alias("_some"), lead.alias("_lead")] if lead is not None else []
-    narrow = table.select(*keys, *image, "_pos")
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    stats = [F.count(F.lit(1)).alias("_n"), *([F.min("_some").alias("_least_some"), F.min("_lead").alias("_least")] if image else [])]
-    repeated = narrow.groupBy(*keys).agg(*stats).where("_n > 1").select(*named, *[c for c in ("_least_some", "_least") if image])
-    repeated = cut_lineage(repeated, "dedup-keys")
-    same = None
-    for i, k in enumerate(keys):
-        on = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        same = on if same is None else same & on
-    again = narrow.join(repeated, same)
-    if image:
-        tied = again.where((F.col("_least_some") == 0) & (F.col("_some") == 0)
-                           | (F.col("_least_some") == 1) & F.col("_lead").eqNullSafe(F.col("_least"))).select("_pos")
-    else:
-        tied = again.select("_pos")
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in full], "_pos")
-    winners = (table.join(tied, "_pos", "left_semi").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_pos"))
-    losers = again.select("_pos").join(winners, "_pos", "left_anti")
-    return table.join(losers, "_pos", "left_anti").select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in full or keys])
+    return df.withColumn("_dedup_rank", F.row_number().over(w)).where("_dedup_rank = 1").select(*df.columns)
 
 
 def key_violations(df: DataFrame, key: str) -> DataFrame:

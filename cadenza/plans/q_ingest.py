@@ -4,13 +4,14 @@ and the dirty-value parse on ``pages.url``."""
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import json_ingest as J
-from ..session import read_table, scratch_path, written_once
+from ..session import read_table, scratch_path, session_conf, written_once
 from ..operators import quality as Q
 from .catalogue import SCORE_COLUMNS, SONGS_RAW_SQL, songs_raw
 from .q_features import DEDUP_ORDER, _REST
@@ -56,6 +57,10 @@ SELECT * FROM (
 """
 
 
+#: Folders of the JSON tree a task writes to at a time (there are six pairs of flags at most).
+FOLDERS_OPEN = 16
+
+
 def write_json_tree(spark, sf) -> str:
     """The derived JSON tree for ``sf`` (written once per session)."""
     inputs = [os.path.join(sf, f"{t}.parquet") for t in ("lineitem", "orders", "customer", "part")]
@@ -73,8 +78,10 @@ def _write_json_tree(spark, sf) -> str:
         F.when(_null_gender(), F.lit(None).cast("string")).otherwise(F.col("gender")).alias("gender"),
     )
     path = scratch_path(spark, "json-tree")
-    (J.to_records(dirty, extra=["l_returnflag", "l_linestatus"])
-     .write.partitionBy("l_returnflag", "l_linestatus").json(path))
+    records = J.to_records(dirty, extra=["l_returnflag", "l_linestatus"])
+    # a task keeps one file per folder open instead of sorting its records by folder first
+    with session_conf(spark, "spark.sql.maxConcurrentOutputFileWriters", FOLDERS_OPEN):
+        records.write.partitionBy("l_returnflag", "l_linestatus").option("compression", "gzip").json(path)
     return path
 
 
@@ -123,6 +130,10 @@ _DOC_DATE = "CASE WHEN s_suppkey % 7 = 0 THEN 'unknown' ELSE CAST(1950 + s_natio
 _DOC_SCORE = "(s_acctbal + 1000.0) / 11000.0"
 
 
+#: Documents of the tree that one task writes.
+DOCUMENTS_PER_TASK = 2000
+
+
 def write_document_tree(spark, sf) -> str:
     """A nested tree of pretty-printed documents, one file each, written by Spark once per session."""
     def write() -> str:
@@ -136,8 +147,11 @@ def write_document_tree(spark, sf) -> str:
         text = F.to_json(F.struct("metadata", "highlevel"), {"pretty": "true"})
         doc = F.when(F.col("s_suppkey") % 13 == 0, F.substring(text, 1, 40)).otherwise(text)
         path = scratch_path(spark, "documents-tree")
-        (J.to_records(flat, extra=["s_suppkey", "s_nationkey"]).select(doc.alias("value"), "s_nationkey", "s_suppkey")
-         .write.partitionBy("s_nationkey", "s_suppkey").text(path))
+        docs = J.to_records(flat, extra=["s_suppkey", "s_nationkey"]).select(doc.alias("value"), "s_nationkey", "s_suppkey")
+        # a file per document without a folder per document; a task makes few files and moves them itself when it commits
+        tasks = max(1, math.ceil(read_table(spark, sf, "supplier").count() / DOCUMENTS_PER_TASK))
+        (docs.repartition(tasks, "s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey")
+         .option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path))
         return path
     return written_once(spark, "documents-tree", [os.path.join(sf, f"{t}.parquet") for t in ("supplier", "nation")], write)
 
