@@ -148,9 +148,12 @@ def write_document_tree(spark, sf) -> str:
         doc = F.when(F.col("s_suppkey") % 13 == 0, F.substring(text, 1, 40)).otherwise(text)
         path = scratch_path(spark, "documents-tree")
         docs = J.to_records(flat, extra=["s_suppkey", "s_nationkey"]).select(doc.alias("value"), "s_nationkey", "s_suppkey")
-        # a file per document without a folder per document; a task makes few files and moves them itself when it commits
+        # a file per supplier without a folder per supplier (rows of one key share its file, one after the other); a task
+        # makes few files and moves them itself when it commits
         tasks = max(1, math.ceil(read_table(spark, sf, "supplier").count() / DOCUMENTS_PER_TASK))
-        (docs.repartition(tasks, "s_nationkey", "s_suppkey").drop("s_suppkey").write.partitionBy("s_nationkey")
+        each = (docs.withColumn("_pos", F.monotonically_increasing_id()).repartition(tasks, "s_nationkey", "s_suppkey")
+                .groupBy("s_nationkey", "s_suppkey").agg(F.array_sort(F.collect_list(F.struct("_pos", "value"))).alias("d")))
+        (each.select(F.array_join("d.value", "\n").alias("value"), "s_nationkey").write.partitionBy("s_nationkey")
          .option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path))
         return path
     return written_once(spark, "documents-tree", [os.path.join(sf, f"{t}.parquet") for t in ("supplier", "nation")], write)

@@ -48,6 +48,15 @@ def test_a_document_tree_has_no_folder_per_document(spark):
     assert len(files) == spark.read.parquet(f"{SF001}/supplier.parquet").count()
 
 
+def test_rows_of_one_supplier_share_a_file(spark, tmp_path):
+    sup = spark.read.parquet(f"{SF001}/supplier.parquet")
+    sup.unionByName(sup).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.read.parquet(f"{SF001}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    assert len(_files(q_ingest.write_document_tree(spark, str(tmp_path)))) == sup.count()
+    rows = lambda sf: sorted(map(str, q_ingest.q_ingest_documents(spark, sf).collect()))
+    assert rows(str(tmp_path)) == rows(SF001)
+
+
 def test_keep_first_shuffles_rows_once(spark):
     df = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("a"), F.lit("x").alias("b"))
     plan = _plan(Q.dedup_first(df, "k", ["a"]))
