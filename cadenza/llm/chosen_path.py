@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, cut_lineage, forget, min_label_components, release
+from .common import arrow_rows, cut_lineage, files_for, forget, min_label_components, release
 
 HASHES = 64
 TREES = 25
@@ -51,6 +51,8 @@ SHORT = 5.2
 BEST = 4
 #: Documents outside the main component of a large node that are compared with a block of as many of its documents at once.
 FEW = 1024
+#: Documents whose rows in a scratch table are worth a file of their own.
+DOCS_PER_FILE = 4_000
 #: Characters per array computation.
 SLICE = 1 << 20
 
@@ -226,6 +228,32 @@ def _split(t: pa.Table):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _near_pairs(g: dict, p: np.ndarray, q: np.ndarray, once: bool, fresh: bool, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows ``p`` and ``q`` of a group worth confirming, and minus the tokens they share. ``once``: ``p`` and ``q`` are
+    the same rows, a pair counts in one order; ``fresh``: less pairs that an earlier tree compares. Few rows and few pairs at a
+    time, as a group of near copies has a million pairs and a bin sketch 512 bytes."""
+    comp, n = g["comp"], g["n"]
+    sk, m = g["sk"][q], n[q]
+    found = [(np.empty(0, np.int64),) * 3]
+    for at in range(0, len(p), 32):
+        some = p[at:at + 32]
+        agree = (g["sk"][some][:, None, :] == sk[None, :, :]).sum(2, dtype=np.int16)
+        near = (agree >= AGREE) & (comp[some][:, None] != comp[q][None, :])
+        near &= 100 * np.minimum(n[some][:, None], m[None, :]) >= pct * np.maximum(n[some][:, None], m[None, :])
+        if once:
+            near = np.triu(near, at)
+        i, j = np.nonzero(near)
+        for z in range(0, len(i), 4096):
+            x, y, level = some[i[z:z + 4096]], q[j[z:z + 4096]], -agree[i[z:z + 4096], j[z:z + 4096]].astype(np.int64)
+            keep = may_link(g["bins"][x], g["bins"][y], n[x], n[y], pct)
+            if fresh:
+                before = (g["prints"][x] == g["prints"][y]) & (np.arange(TREES)[None, :] < g["tree"][x][:, None])
+                before &= ((g["whole"][x][:, None] >> np.arange(TREES)[None, :]) & 1).astype(bool)
+                keep &= ~before.any(1)
+            found.append((x[keep], y[keep], level[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
     """Pairs ``(a, b)``, a < b, worth confirming in leaves ``(node, half, id, comp, n, sk, bins)``: of different components,
     sizes and sketches near enough. ``best`` = 1: only the best of each document; more: so many of each two components; 0:
@@ -239,25 +267,9 @@ def leaf_pairs(leaves: DataFrame, best: int, pct: int) -> DataFrame:
         for g in _groups(batches, columns):
             ids, comp, n, half = g["id"], g["comp"], g["n"], g["half"]
             p, q = (np.flatnonzero(half == 1), np.flatnonzero(half == 2)) if half.any() else (np.arange(len(ids)),) * 2
-            sk = g["sk"][q]
-            agree = np.concatenate([(g["sk"][p[at:at + 32]][:, None, :] == sk[None, :, :]).sum(2, dtype=np.int16) for at in range(0, len(p), 32)]
-                                   ) if len(p) and len(q) else np.zeros((len(p), len(q)), np.int16)
-            near = (agree >= AGREE) & (comp[p][:, None] != comp[q][None, :])
-            near &= 100 * np.minimum(n[p][:, None], n[q][None, :]) >= pct * np.maximum(n[p][:, None], n[q][None, :])
-            if not half.any():
-                near = np.triu(near)
-            x, y = np.nonzero(near)
-            level = -agree[x, y].astype(np.int64)
-            x, y = p[x], q[y]
-            keep = may_link(g["bins"][x], g["bins"][y], n[x], n[y], pct)
-            x, y, level = x[keep], y[keep], level[keep]
+            x, y, level = _near_pairs(g, p, q, not half.any(), not best, pct)
             if not len(x):
                 continue
-            if not best:
-                e, f = g["prints"][x], g["prints"][y]
-                before = (e == f) & (np.arange(TREES)[None, :] < g["tree"][x][:, None])
-                before &= ((g["whole"][x][:, None] >> np.arange(TREES)[None, :]) & 1).astype(bool)
-                x, y = x[fresh := ~before.any(1)], y[fresh]
             if best:  # each pair from both sides
                 x, y, level = np.append(x, y), np.append(y, x), np.append(level, level)
             if best:
@@ -306,11 +318,11 @@ def _children(rows: DataFrame, depth: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _mixed(nodes: DataFrame) -> DataFrame:
+def _mixed(nodes: DataFrame, files: int) -> DataFrame:
     """``(node, tree, id, comp, rows)``: the rows of nodes that hold more than one component, written, without sketches."""
     about = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     mixed = about.where("c0 <> c1").select(F.col("node").alias("_node"), "rows")
-    return cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).select("node", "tree", "id", "comp", "rows"), "nodes")
+    return cut_lineage(nodes.join(mixed, F.col("node") == F.col("_node")).select("node", "tree", "id", "comp", "rows"), "nodes", files)
 
 
 def _in_components(tree: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -331,7 +343,7 @@ def deal_pairs(nodes: DataFrame, about: DataFrame, pct: int, salt: int) -> DataF
     return leaf_pairs(nodes.withColumn("node", leaf).withColumn("half", F.lit(0)).join(about, "id"), 1, pct)
 
 
-def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFrame:
+def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int, files: int) -> DataFrame:
     """Candidate pairs of all nodes ``(node, tree, id, comp, rows)``: large ones are compared in blocks with the documents
     outside their main component, or branched on. ``best`` as in ``leaf_pairs``. In the round that wants all pairs, rows know
     in which trees their first node is compared whole, so that a pair is found in the first of these only."""
@@ -344,18 +356,18 @@ def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFr
         main = (sizes.join(main, (F.col("node") == F.col("_node")) & (F.col("size") == F.col("most")))
                 .groupBy("_node", "most").agg(F.min("comp").alias("main")))
         large = cut_lineage(large.join(main, F.col("node") == F.col("_node")).select(
-            "node", "tree", "id", "comp", "rows", "main", (F.col("rows") - F.col("most")).alias("others")), "large-nodes")
+            "node", "tree", "id", "comp", "rows", "main", (F.col("rows") - F.col("most")).alias("others")), "large-nodes", files)
         met = large if depth == DEPTH else large.where(F.col("others") <= FEW)
         leaves = nodes.where(F.col("rows") <= LEAF).withColumn("half", F.lit(0))
         if best == 0 and depth == 0:
             in_tree = F.sum(F.pow(F.lit(2), F.col("tree")).cast("long"))  # a document is once in a tree
-            whole = cut_lineage(leaves.select("id", "tree").unionByName(met.select("id", "tree")).groupBy("id").agg(in_tree.alias("whole")), "whole")
+            whole = cut_lineage(leaves.select("id", "tree").unionByName(met.select("id", "tree")).groupBy("id").agg(in_tree.alias("whole")), "whole", files)
 
         def compared(rows: DataFrame, name: str) -> DataFrame:
             rows = rows.join(about, "id")
             if best == 0:
                 rows = rows.join(whole, "id", "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
-            return cut_lineage(leaf_pairs(rows, best, pct), name)
+            return cut_lineage(leaf_pairs(rows, best, pct), name, files)
 
         found.append(compared(leaves, "leaf-pairs"))
         if large.limit(1).count() == 0:
@@ -370,7 +382,7 @@ def all_pairs(nodes: DataFrame, about: DataFrame, best: int, pct: int) -> DataFr
         more = large.where(F.col("others") > FEW)
         if depth == DEPTH or more.limit(1).count() == 0:
             break
-        nodes = _mixed(_children(more.select("node", "tree", "id", "comp").join(about.select("id", "sk"), "id"), depth).drop("sk"))
+        nodes = _mixed(_children(more.select("node", "tree", "id", "comp").join(about.select("id", "sk"), "id"), depth).drop("sk"), files)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -394,14 +406,14 @@ def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 class _Sets:
     """Full sets of the documents that take part in a pair, written once."""
 
-    def __init__(self, docs: DataFrame, words: int, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, words: int, id_col: str, text_col: str, files: int):
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-        self.words, self.table = words, None
+        self.words, self.files, self.table = words, files, None
 
     def add(self, ids: DataFrame) -> None:
         new = ids if self.table is None else ids.join(self.table.select("id"), "id", "left_anti")
         if self.table is not None:
-            new = cut_lineage(new, "set-ids")
+            new = cut_lineage(new, "set-ids", self.files)
             if new.limit(1).count() == 0:
                 return
         words = self.words
@@ -414,7 +426,7 @@ class _Sets:
 
         # the exact join comes after the sets are made: the optimizer would move it below the filter otherwise
         made = _marked(self.docs, new).mapInArrow(run, "id long, s binary").join(new, "id", "left_semi")
-        made = cut_lineage(made.dropDuplicates(["id"]), "sets")
+        made = cut_lineage(made.dropDuplicates(["id"]), "sets", self.files)
         self.table = made if self.table is None else self.table.unionByName(made)
 
 
@@ -431,7 +443,7 @@ def _reaches(a, b, pct):
 
 def confirm(pairs: DataFrame, sets: _Sets, pct: int) -> DataFrame:
     """The pairs whose full sets reach the threshold: 100 * intersection >= pct * union."""
-    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+    ids = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids", sets.files)
     sets.add(ids)
     s = _marked(sets.table, ids)
     both = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -451,18 +463,19 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     """
     spark = docs.sparkSession
     base = cut_lineage(sketch_documents(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    files = files_for(spark, base.count(), DOCS_PER_FILE)
     linked = base.where("n > 0 and doc_id is not null")
     # one row stands for all documents with its set; the others of a set are mostly few
     classes = cut_lineage(linked.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("m"))
-                          .select("key", F.col("m.doc_id").alias("id"), F.col("m.row").alias("_row")), "classes")
-    copies = cut_lineage(linked.select("key", "row").join(classes.select("key", "_row"), "key").where("row <> _row").select("row"), "copies")
+                          .select("key", F.col("m.doc_id").alias("id"), F.col("m.row").alias("_row")), "classes", files)
+    copies = cut_lineage(linked.select("key", "row").join(classes.select("key", "_row"), "key").where("row <> _row").select("row"), "copies", files)
     reps = linked.join(copies, "row", "left_anti").withColumnRenamed("doc_id", "id")
     first = reps.select(F.posexplode("nodes").alias("tree", "node"), "id")
     shared = first.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("node").alias("_node"))
-    tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node"), "left_semi"), "tree")
-    about = cut_lineage(_marked(reps.select("id", "n", "sk", "bins", "prints"), tree.select("id").distinct()), "class-sketches")
+    tree = cut_lineage(first.join(shared, F.col("node") == F.col("_node"), "left_semi"), "tree", files)
+    about = cut_lineage(_marked(reps.select("id", "n", "sk", "bins", "prints"), tree.select("id").distinct()), "class-sketches", files)
     release(spark)
-    sets = _Sets(docs, words, id_col, text_col)
+    sets = _Sets(docs, words, id_col, text_col, files)
     links = tried = comp = None
 
     def join_by(pairs: DataFrame) -> int:
@@ -471,24 +484,24 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
+        pairs = cut_lineage(pairs, "pairs", files)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if pairs.limit(1).count() == 0:
             return 0
-        new = cut_lineage(confirm(pairs, sets, pct), "links")
+        new = cut_lineage(confirm(pairs, sets, pct), "links", files)
         release(spark)
         n = new.count()
         if n:
             links = new if links is None else links.unionByName(new)
-            comp = cut_lineage(min_label_components(links), "components")
+            comp = cut_lineage(min_label_components(links), "components", files)
             release(spark)
         return n
 
-    salt, nodes = 0, _mixed(_in_components(tree, comp))
+    salt, nodes = 0, _mixed(_in_components(tree, comp), files)
     while True:
         new = join_by(deal_pairs(nodes, about, pct, salt))
         forget(nodes)
-        nodes = _mixed(_in_components(tree, comp))
+        nodes = _mixed(_in_components(tree, comp), files)
         large = nodes.where(F.col("rows") > LEAF).count()
         if new * LEAF < large or not large:  # dealing no longer pays; the next rounds compare the rest
             break
@@ -496,8 +509,8 @@ def near_dedup(docs: DataFrame, words: int = 5, pct: int = 80, id_col: str = "do
     for best in (BEST, 0):
         if best == 0:
             forget(nodes)
-            nodes = _mixed(_in_components(tree, comp))
-        join_by(all_pairs(nodes, about, best, pct))
+            nodes = _mixed(_in_components(tree, comp), files)
+        join_by(all_pairs(nodes, about, best, pct, files))
     by_class = classes.select(F.col("key").alias("_key"), F.col("id").alias("_class"))
     if comp is not None:
         by_class = (by_class.join(comp, F.col("_class") == F.col("node"), "left")
