@@ -39,3 +39,19 @@ def test_a_later_arrival_changes_nothing(spark, tmp_path):
     ids = [r["id"] for r in rows]
     assert set(before) <= set(map(tuple, rows)) and len(ids) == len(set(ids)) > len(before)
     assert set(ids) == {r["id"] for r in kept.where(kept["id"].isin(ids)).collect()}
+
+
+def test_what_holds_of_a_batch_stays_small(spark, monkeypatch):
+    """``foreachBatch`` asks the stream's optimised plan for its constraints, on the driver."""
+    run, asked = jobs._run, []
+
+    def watched(writer):
+        state = spark._jsparkSession.sessionState()
+        plan = state.optimizer().execute(writer._df._jdf.queryExecution().analyzed())
+        asked.append(plan.validConstraints().size())
+        assert asked[-1] < 1000
+        return run(writer)
+
+    monkeypatch.setattr(jobs, "_run", watched)
+    rows = jobs.ingest_stream_keyed(spark, write_json_tree(spark, SF001), DEDUP_ORDER)
+    assert len(asked) == 2 and rows.count() == rows.select("id").distinct().count() > 0
