@@ -106,3 +106,53 @@ def test_sparse_inputs_train_the_same():
     whole = pd.DataFrame({"x": x})
     places = pd.DataFrame({"xi": [np.flatnonzero(v) for v in x], "xv": [v[v != 0] for v in x]})
     assert (PR._inputs(whole, 4) == PR._inputs(places, 4)).all()
+
+
+def test_encoded_tokens_are_no_rows(spark):
+    df = spark.createDataFrame([(1, "B a"), (1, "a"), (None, "c"), (None, "c d"), (2, None), (3, " .")], "id long, text string")
+    want = sorted((str(r.id), r.bucket, round(r.weight, 9)) for r in EN.hash_embed_sparse(df, "id", "text", 16).collect())
+    whole, places = (EN.HashEncoder(16).encode(df, "id", "text", out="x", sparse=s) for s in (False, True))
+    assert "Generate" not in _plan(whole) + _plan(places) and _plan(places).count("Exchange") == 1
+    assert sorted((str(r.id), i, round(v, 9)) for r in whole.collect() for i, v in enumerate(r.x) if v) == want
+    assert sorted((str(r.id), i, round(v, 9)) for r in places.collect() for i, v in zip(r.xi, r.xv)) == want
+
+
+def test_encoder_counts_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(EN, "BATCH_TOKENS", 3)
+    df = spark.createDataFrame([(i, "a b c d"[:1 + 2 * (i % 4)]) for i in range(9)], "id long, text string").coalesce(1)
+    got = EN.hash_embed_vectors(df, "id", "text", 16).collect()
+    assert len(got) == 9 and all(abs(np.linalg.norm(r.vec) - 1) < 1e-12 for r in got)
+
+
+def test_places_and_whole_inputs_train_the_same(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float(v) if rnd.random() < 0.1 else 0.0 for v in rnd.random(30)], [float(v) for v in rnd.random(3)]) for i in range(60)]
+    whole = spark.createDataFrame(rows, "id long, x array<double>, y array<double>")
+    places = spark.createDataFrame([(i, [k for k, v in enumerate(x) if v], [v for v in x if v], y) for i, x, y in rows],
+                                   "id long, xi array<int>, xv array<double>, y array<double>")
+    a, _ = PR.fit_projection(whole, None, epochs=2)
+    b, _ = PR.fit_projection(places, None, epochs=2, width=30)
+    assert all(np.allclose(p, q, rtol=0, atol=1e-12) for x, y in zip(a, b) for p, q in zip(x, y))
+
+
+def test_adam_in_place_equals_the_written_out_steps():
+    rnd = np.random.default_rng(2)
+    x = np.where(rnd.random((50, 40)) < 0.02, rnd.random((50, 40)), 0.0)
+    y, start = rnd.random((50, 3)), PR.init_params([40, 6, 5, 3], 1)
+    kept = [a.copy() for layer in start for a in layer]
+    got, loss = PR.adam_epoch(start, x, y, PR.cosine_similarity_loss, 8, np.random.default_rng(0))
+    params, total, t = [list(layer) for layer in start], 0.0, 0
+    m, v = ([[np.zeros_like(a) for a in layer] for layer in start] for _ in range(2))
+    order = np.random.default_rng(0).permutation(50)
+    for s in range(0, 50, 8):
+        i, t = order[s:s + 8], t + 1
+        acts, zs = PR.forward(params, x[i])
+        one, g = PR.cosine_similarity_loss(y[i], acts[-1])
+        total += one * len(i)
+        for li, layer in enumerate(PR.backward(params, acts, zs, g)):
+            for k, grad in enumerate(layer):
+                m[li][k] = 0.9 * m[li][k] + 0.1 * grad
+                v[li][k] = 0.999 * v[li][k] + 0.001 * grad ** 2
+                params[li][k] = params[li][k] - 0.001 * (m[li][k] / (1 - 0.9 ** t)) / (np.sqrt(v[li][k] / (1 - 0.999 ** t)) + 1e-7)
+    assert abs(loss - total) < 1e-12 and all((a == b).all() for a, b in zip(kept, [a for layer in start for a in layer]))
+    assert all(np.allclose(p, q, rtol=0, atol=1e-12) for a, b in zip(got, params) for p, q in zip(a, b))
